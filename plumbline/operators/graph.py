@@ -190,7 +190,7 @@ def affected_nodes(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops:
     near = ops.join(columns, F.col("table") == F.col("t")).select(
         "op_id",
         F.col("sibling").alias("node"),
-        F.lit(MAX_HOPS + 1).alias("hops"),
+        F.lit(max_hops + 1).alias("hops"),
         F.lit(DIRECT_DECAY).alias("weight"),
         F.array("primary", "sibling").alias("path"),
     )
@@ -198,7 +198,7 @@ def affected_nodes(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops:
     order = Window.partitionBy("op_id", "node").orderBy("hops", F.desc("weight"), "path")
     first = every.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     # A direct assumption counts as one hop.
-    return first.withColumn("hops", F.when(F.col("hops") > MAX_HOPS, 1).otherwise(F.col("hops")))
+    return first.withColumn("hops", F.when(F.col("hops") > max_hops, 1).otherwise(F.col("hops")))
 
 
 def impact(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
