@@ -10,9 +10,10 @@ LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
 def endpoint_template(path: Column) -> Column:
-    """A path segment that is not alphabetic becomes ``{id}``, so that one endpoint is one key."""
+    """A path segment that is not alphabetic (dots aside) becomes ``{id}``, so that one endpoint is one key."""
     parts = F.split(path, "/")
-    shown = F.transform(parts, lambda p: F.when((p == "") | p.rlike(r"(?U)^\p{Alpha}+$"), p).otherwise("{id}"))
+    word = F.lit(r"^[\p{L}.]*\p{L}[\p{L}.]*$")
+    shown = F.transform(parts, lambda p: F.when((p == "") | F.rlike(p, word), p).otherwise("{id}"))
     return F.array_join(shown, "/")
 
 
