@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.parsing import as_number
 from plumbline.operators.profile import chunks
+from plumbline.session import small_frame
 
 BINS = 10
 #: Pairs per aggregate; wider ones leave code generation.
@@ -82,7 +83,7 @@ def _chi_part(spark: SparkSession, numbers: DataFrame, pairs: list[Pair], bins:
     for i, (a, b) in enumerate(pairs):
         n, lo, hi = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
         (ranges if n >= 5 and hi > lo else plain).append((i, a, b, n, lo, hi))
-    flat = spark.createDataFrame([(a, b, n, 0.0, 1.0) for _, a, b, n, _, _ in plain], CHI_SCHEMA)
+    flat = small_frame(spark, [(a, b, n, 0.0, 1.0) for _, a, b, n, _, _ in plain], CHI_SCHEMA)
     if not ranges:
         return flat
 
@@ -113,7 +114,7 @@ def _chi_part(spark: SparkSession, numbers: DataFrame, pairs: list[Pair], bins:
             F.sum(F.pow(F.col("seen") - F.col("expected"), 2) / F.col("expected")).alias("stat"),
         )
     )
-    names = spark.createDataFrame([(i, a, b) for i, a, b, *_ in ranges], "pair int, x string, y string")
+    names = small_frame(spark, [(i, a, b) for i, a, b, *_ in ranges], "pair int, x string, y string")
     p = F.when(F.col("stat") > 0, F.exp(-F.col("stat") / 2)).otherwise(1.0)
     return (
         scored.join(F.broadcast(names), "pair")

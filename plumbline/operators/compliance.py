@@ -14,6 +14,7 @@ from plumbline.functions.names import matching_columns
 from plumbline.functions.parsing import is_iso_date, parse_integer, parse_number, parse_time
 from plumbline.operators.integrity import orphan_summary
 from plumbline.operators.rules import same_prefix
+from plumbline.session import small_frame
 
 VIOLATION_SCHEMA = (
     "rule_id string, standard string, `table` string, field string, severity string, "
@@ -253,7 +254,7 @@ def check_tables(
         rows += count_findings(df, t, findings)
         if "referential_integrity" in wanted:
             rows += reference_rows(df, t, tables, config.get("referential_integrity", []))
-    return spark.createDataFrame(rows, VIOLATION_SCHEMA)
+    return small_frame(spark, rows, VIOLATION_SCHEMA)
 
 
 # Report name of each standard.
@@ -268,7 +269,7 @@ REPORT_NAMES = {
 def reports(spark: SparkSession, tables: dict[str, DataFrame], violations: DataFrame) -> DataFrame:
     """One row per standard: fields checked, failed, passed, score."""
     fields = sum(len(df.columns) for df in tables.values())
-    names = spark.createDataFrame([(n,) for n in REPORT_NAMES.values()], "standard string")
+    names = small_frame(spark, [(n,) for n in REPORT_NAMES.values()], "standard string")
     counts = violations.groupBy("standard").agg(
         F.count("*").alias("failed"), F.count_if(F.col("severity") == "critical").alias("critical")
     )

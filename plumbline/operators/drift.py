@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.grading import is_breaking_type_change
 from plumbline.sources.tables import catalogue, ddl_rows
+from plumbline.session import small_frame
 
 RECENT = 50
 
@@ -125,7 +126,7 @@ def cast_survival(df: DataFrame, casts: dict[str, str]) -> DataFrame:
         (c, df.schema[c].dataType.simpleString(), t, row[f"n{i}"], row[f"l{i}"])
         for i, (c, t) in enumerate(casts.items())
     ]
-    return spark.createDataFrame(rows, "`column` string, old_dtype string, new_dtype string, values long, lost long")
+    return small_frame(spark, rows, "`column` string, old_dtype string, new_dtype string, values long, lost long")
 
 
 def newest_first(log: DataFrame, key: str) -> Window:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from plumbline.functions.grading import effect_type, is_destructive, op_label, op_multiplier
 from plumbline.functions.names import jobs_of_node, node_id
 from plumbline.session import cut_lineage
+from plumbline.session import small_frame
 
 MAX_HOPS = 6
 DIRECT_DECAY = 0.8
@@ -28,7 +29,7 @@ def nodes_of(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str,
     for t, df in tables.items():
         rows = [(t, t, None, None, False, "table")]
         rows += [(f"{t}.{f.name}", t, f.name, f.dataType.simpleString(), f.name in keys.get(t, []), "column") for f in df.schema.fields]
-        listed = spark.createDataFrame(
+        listed = small_frame(spark, 
             rows, "node string, `table` string, `column` string, dtype string, is_key boolean, node_type string"
         )
         count = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("table", F.lit(t))

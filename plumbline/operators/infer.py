@@ -12,6 +12,7 @@ from plumbline.operators.association import all_pairs, chi_squares, correlations
 from plumbline.operators.overlap import overlaps
 from plumbline.operators.profile import blank_to_null, column_statistics, inference_stats, is_flat
 from plumbline.operators.quantiles import numeric_columns, numeric_value
+from plumbline.session import small_frame
 
 EDGE_SCHEMA = (
     "source string, target string, mechanism string, strength double, confidence double, "
@@ -29,7 +30,7 @@ MIN_ROWS = 10
 
 
 def _edge(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, EDGE_SCHEMA)
+    return small_frame(spark, rows, EDGE_SCHEMA)
 
 
 def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], stats: DataFrame | None = None) -> DataFrame:

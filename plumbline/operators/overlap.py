@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.profile import is_flat
+from plumbline.session import small_frame
 
 WORD = 62  # columns per mask word
 
@@ -98,7 +99,7 @@ def overlaps(spark: SparkSession, tables: dict[str, DataFrame], across: bool = T
         .groupBy("a", "b")
         .agg(F.sum("n").alias("shared"))
     )
-    names = spark.createDataFrame(
+    names = small_frame(spark, 
         [(i, t, f"{t}.{c}") for i, (t, c) in enumerate(columns)], "id int, `table` string, node string"
     ).join(single, "id")
     a, b = names.alias("x"), names.alias("y")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.quantiles import EMPTY, numeric_columns, numeric_value, spreads
+from plumbline.operators.quantiles import EMPTY, Spread, bracket_aggs, finish, numeric_columns, numeric_value, spreads
+from plumbline.session import at_once, small_frame
 
 PROFILE_SCHEMA = (
     "`table` string, `column` string, dtype string, row_count long, null_count long, null_pct double, "
@@ -63,11 +62,14 @@ def profile_rows(
     """Statistics of every column as driver rows: as many rows as the table has columns."""
     names = columns or df.columns
     flat = [c for c in names if is_flat(df.schema[c].dataType)]
-    numeric = [c for c in numeric_columns(df) if c in names]
     stats: dict[str, dict] = {}
-    total = None
-    for part in chunks(names):
-        aggs = [F.count(F.lit(1)).alias("rows")]
+    spread: dict[str, Spread] = {}
+    total = 0
+
+    def scan(part: list[str]) -> None:
+        nonlocal total
+        numeric = [c for c in numeric_columns(df) if c in part]
+        aggs = [F.count(F.lit(1)).alias("rows"), *bracket_aggs(df, numeric)]
         for i, c in enumerate(part):
             aggs.append(F.count(_q(c)).alias(f"n{i}"))
             if c in flat:
@@ -75,18 +77,21 @@ def profile_rows(
             if c in numeric:
                 v = numeric_value(df, c)
                 aggs += [F.avg(v).alias(f"avg{i}"), F.stddev_samp(v).alias(f"std{i}")]
-        row = df.agg(*aggs).first().asDict()
+        row = df.agg(*aggs).first()
         total = row["rows"]
+        known = row.asDict()
         for i, c in enumerate(part):
-            stats[c] = {k: row.get(f"{k}{i}") for k in ("n", "lo", "hi", "avg", "std")}
-    uniques = distinct_counts(df, flat, distinct == "exact")
-    spread = spreads(df, numeric, method=quantiles)
+            stats[c] = {k: known.get(f"{k}{i}") for k in ("n", "lo", "hi", "avg", "std")}
+        spread.update(finish(df, numeric, row, method=quantiles))
+
+    exact = distinct == "exact"
+    *_, uniques = at_once([*[lambda p=p: scan(p) for p in chunks(names)], lambda: distinct_counts(df, flat, exact)])
     rows = []
     for c in names:
         s, sp = stats[c], spread.get(c, EMPTY)
         outliers = sp.outliers if s["n"] > min_outlier_values else 0
         std = s["std"]
-        if c in numeric and s["n"] == 1:
+        if s["n"] == 1 and s["avg"] is not None:
             std = 0.0
         rows.append(
             (
@@ -117,8 +122,8 @@ def _share(part: int, whole: int) -> float:
 
 def profile(spark: SparkSession, tables: dict[str, DataFrame], **options) -> DataFrame:
     """Profile of all given tables, long form."""
-    rows = [row for name, df in tables.items() for row in profile_rows(df, name, **options)]
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+    found = at_once([lambda n=n, df=df: profile_rows(df, n, **options) for n, df in tables.items()])
+    return small_frame(spark, [row for rows in found for row in rows], PROFILE_SCHEMA)
 
 
 def audit_profile(spark: SparkSession, tables: dict[str, DataFrame], **options) -> DataFrame:
@@ -177,8 +182,8 @@ def inference_stats(df: DataFrame, table: str) -> list[tuple]:
                 F.avg(v).alias(f"avg{i}"),
                 F.stddev_pop(v).alias(f"std{i}"),
             ]
-        row = df.agg(*aggs).first()
-        unique = df.agg(*[F.count_distinct(present[c]) for c in part]).first()
+        unique_aggs = [F.count_distinct(present[c]) for c in part]
+        row, unique = at_once([lambda a=aggs: df.agg(*a).first(), lambda a=unique_aggs: df.agg(*a).first()])
         for i, c in enumerate(part):
             n, total = row[f"n{i}"], row["rows"]
             rows.append(
@@ -197,9 +202,5 @@ def inference_stats(df: DataFrame, table: str) -> list[tuple]:
 
 
 def column_statistics(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    rows = [row for name, df in tables.items() for row in inference_stats(df, name)]
-    return spark.createDataFrame(rows, STATS_SCHEMA)
-
-
-def is_number(x) -> bool:
-    return x is not None and not math.isnan(x)
+    found = at_once([lambda n=n, df=df: inference_stats(df, n) for n, df in tables.items()])
+    return small_frame(spark, [row for rows in found for row in rows], STATS_SCHEMA)

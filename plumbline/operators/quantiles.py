@@ -14,11 +14,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.session import small_frame
+
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10000
 #: Most single values a column may keep in the second scan.
@@ -72,38 +74,63 @@ def spreads(
     found: dict[str, Spread] = {}
     for i in range(0, len(columns), CHUNK):
         part = columns[i : i + CHUNK]
-        found |= (
-            _approx_spreads(df, part, k, accuracy)
-            if method == "approx"
-            else _exact_spreads(df, part, k, accuracy, bracket_limit)
-        )
+        first = df.agg(*bracket_aggs(df, part, accuracy)).first()
+        found |= finish(df, part, first, k, method, accuracy, bracket_limit)
     return found
 
 
+def _grid(accuracy: int) -> list[float]:
+    slack = 2.0 / accuracy
+    around = [min(1.0, max(0.0, p + d)) for p in QUARTILES for d in (-slack, slack)]
+    return [*around, *QUARTILES]
+
+
+def bracket_aggs(df: DataFrame, columns: list[str], accuracy: int = ACCURACY) -> list[Column]:
+    """Aggregates of the first scan; callers may add their own to the same scan."""
+    aggs = []
+    for i, c in enumerate(columns):
+        v = numeric_value(df, c)
+        aggs += [
+            F.percentile_approx(v, _grid(accuracy), accuracy).alias(f"bracket{i}"),
+            F.count(v).alias(f"finite{i}"),
+            F.count(F.col(f"`{c}`")).alias(f"present{i}"),
+        ]
+    return aggs
+
+
+def finish(
+    df: DataFrame,
+    columns: list[str],
+    first: Row,
+    k: float = 1.5,
+    method: str = "exact",
+    accuracy: int = ACCURACY,
+    bracket_limit: int = BRACKET_LIMIT,
+) -> dict[str, Spread]:
+    """The remaining scans, given the row of ``bracket_aggs``."""
+    points = {c: first[f"bracket{i}"] for i, c in enumerate(columns)}
+    counts = {c: first[f"finite{i}"] for i, c in enumerate(columns)}
+    not_null = {c: first[f"present{i}"] for i, c in enumerate(columns)}
+    known = [c for c in columns if counts[c] > 0]
+    # Only NaN, which sorts above every fence, or nothing at all.
+    result = {c: Spread(not_null[c], None, None, None, None, None, not_null[c]) for c in columns if c not in known}
+    if not known:
+        return result
+    if method == "approx":
+        return result | _approx_spreads(df, known, points, not_null, k)
+    return result | _exact_spreads(df, known, points, counts, not_null, k, accuracy, bracket_limit)
+
+
 def fences(q25: float, q75: float, k: float) -> tuple[float, float]:
     iqr = q75 - q25
     return q25 - k * iqr, q75 + k * iqr
 
 
-def _approx_spreads(df: DataFrame, columns: list[str], k: float, accuracy: int) -> dict[str, Spread]:
-    first = df.agg(
-        *[F.percentile_approx(numeric_value(df, c), list(QUARTILES), accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
-    ).first()
-    edges = {c: fences(first[i][0], first[i][2], k) for i, c in enumerate(columns) if first[i] is not None}
-    second = df.agg(
-        *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[
-            F.count_if(~F.col(f"`{c}`").cast("double").between(*edges[c])).alias(f"o{i}")
-            for i, c in enumerate(columns)
-            if c in edges
-        ],
-    ).first()
-    return {
-        c: Spread(second[f"n{i}"], *first[i], *edges[c], second[f"o{i}"])
-        if c in edges
-        else Spread(second[f"n{i}"], None, None, None, None, None, second[f"n{i}"])
-        for i, c in enumerate(columns)
-    }
+def _approx_spreads(df, columns, points, not_null, k) -> dict[str, Spread]:
+    quart = {c: points[c][-3:] for c in columns}
+    edges = {c: fences(q[0], q[2], k) for c, q in quart.items()}
+    row = df.agg(*[F.count_if(~F.col(f"`{c}`").cast("double").between(*edges[c])) for c in columns]).first()
+    return {c: Spread(not_null[c], *quart[c], *edges[c], n) for c, n in zip(columns, row)}
 
 
 def _rank_positions(n: int, p: float) -> tuple[int, int, float]:
@@ -112,42 +139,22 @@ def _rank_positions(n: int, p: float) -> tuple[int, int, float]:
     return low, math.ceil(at), at - low
 
 
-def _exact_spreads(
-    df: DataFrame, columns: list[str], k: float, accuracy: int, bracket_limit: int
-) -> dict[str, Spread]:
+def _exact_spreads(df, columns, points, counts, not_null, k, accuracy, bracket_limit) -> dict[str, Spread]:
     values = {c: numeric_value(df, c) for c in columns}
-    slack = 2.0 / accuracy
-    grid = [min(1.0, max(0.0, p + d)) for p in QUARTILES for d in (-slack, slack)]
-    row = df.agg(
-        *[F.percentile_approx(v, grid, accuracy).alias(f"b{i}") for i, v in enumerate(values.values())],
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
-        *[F.count(F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(columns)],
-    ).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    not_null = {c: row[f"a{i}"] for i, c in enumerate(columns)}
-    live = [c for c in columns if counts[c] > 0]
-    brackets = {
-        c: [(b[2 * j], b[2 * j + 1]) for j in range(len(QUARTILES))]
-        for i, c in enumerate(columns)
-        if (b := row[f"b{i}"]) is not None
-    }
-    held = {c: 4 * slack * counts[c] for c in live}
-    while wide := [c for c in live if held[c] > bracket_limit]:
-        _narrow(df, values, counts, brackets, held, wide, accuracy)
-
-    result = {
-        c: Spread(not_null[c], None, None, None, None, None, not_null[c]) if not_null[c] else EMPTY
-        for c in columns
-        if c not in live
-    }
-    todo = live
-    while todo:
-        picked = _pick(df, values, counts, not_null, brackets, todo, k)
-        result |= picked
-        missed = [c for c in todo if c not in picked]
-        for c in missed:  # the error bound did not hold: take in everything around the target
+    brackets = {c: [(b[2 * j], b[2 * j + 1]) for j in range(len(QUARTILES))] for c, b in points.items() if c in values}
+    held = {c: 8.0 / accuracy * counts[c] for c in columns}
+    result: dict[str, Spread] = {}
+    todo = columns
+    for attempt in range(3):
+        while attempt < 2 and (wide := [c for c in todo if held[c] > bracket_limit]):
+            _narrow(df, values, counts, brackets, held, wide, accuracy)
+        result |= _pick(df, values, counts, not_null, brackets, todo, k)
+        todo = [c for c in todo if c not in result]
+        if not todo:
+            break
+        for c in todo:  # the error bound did not hold: start over from the whole range
             brackets[c] = [(-math.inf, math.inf)] * len(QUARTILES)
-        todo = missed
+            held[c] = counts[c]
     return result
 
 
@@ -196,20 +203,18 @@ def _bands(brackets: list[tuple[float, float]], k: float) -> list[tuple[float, f
 
 
 def _pick(df, values, counts, not_null, brackets, todo, k) -> dict[str, Spread]:
-    spark = df.sparkSession
     bands = {c: _bands(brackets[c], k) for c in todo}
     width = max(len(b) for b in bands.values())
     rows = []
     for c in todo:
         ranks = [_rank_positions(counts[c], p) for p in QUARTILES]
         edges = [x for band in bands[c] + bands[c][-1:] * (width - len(bands[c])) for x in band]
-        rows.append((c, *edges, *[r for low, high, _ in ranks for r in (low, high)], *[f for *_, f in ranks]))
+        rows.append((c, *edges, *[r for low, high, _ in ranks for r in (low, high)]))
     fields = ["column string"]
     fields += [f"{e}{i} double" for i in range(width) for e in ("lo", "hi")]
     fields += [f"rank{j}{side} long" for j in range(len(QUARTILES)) for side in (0, 1)]
-    fields += [f"part{j} double" for j in range(len(QUARTILES))]
     # One row per column, at most CHUNK: a proven bound, safe to broadcast.
-    marks = F.broadcast(spark.createDataFrame(rows, ", ".join(fields)))
+    marks = F.broadcast(small_frame(df.sparkSession, rows, ", ".join(fields)))
 
     inside = F.lit(False)
     passed = F.lit(0)
@@ -225,38 +230,32 @@ def _pick(df, values, counts, not_null, brackets, todo, k) -> dict[str, Spread]:
         .groupBy("column", "gap", "key")
         .agg(F.count("*").alias("n"), F.min("v").alias("v"))
     )
-    upto = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = steps.withColumn("upto", F.sum("n").over(upto)).join(marks, "column")
-    names = [f"{j}{side}" for j in range(len(QUARTILES)) for side in (0, 1)]
-    at = ranked.groupBy("column", *[f"part{j}" for j in range(len(QUARTILES))]).agg(
-        *[F.min(F.when(F.col("upto") > F.col(f"rank{n}"), F.col("v"))).alias(f"v{n}") for n in names],
-        *[F.min_by("gap", F.when(F.col("upto") > F.col(f"rank{n}"), F.col("v"))).alias(f"gap{n}") for n in names],
-    )
-    quart = [
-        (F.col(f"v{j}0") + (F.col(f"v{j}1") - F.col(f"v{j}0")) * F.col(f"part{j}")).alias(q)
-        for j, q in enumerate(("q25", "q50", "q75"))
-    ]
-    sure = F.greatest(*[F.col(f"gap{n}") for n in names]) == -1
-    spread = at.select("column", *quart, sure.alias("sure")).withColumns(
-        {
-            "lower": F.col("q25") - (F.col("q75") - F.col("q25")) * k,
-            "upper": F.col("q75") + (F.col("q75") - F.col("q25")) * k,
-        }
-    )
-    beyond = F.when(~F.col("v").between(F.col("lower"), F.col("upper")), F.col("n")).otherwise(0)
+    # A gap stands for its values by the least of them: no target rank lies in one, which `sure` checks.
+    whole = Window.partitionBy("column")
+    quart = F.percentile("v", list(QUARTILES), F.col("n")).over(whole)
+    placed = steps.join(marks, "column").withColumn("q", quart)
+    sure = F.lit(True)
+    for j in range(len(QUARTILES)):
+        lo, hi = (F.col("lo0"), F.col("hi0")) if width < len(QUARTILES) else (F.col(f"lo{j}"), F.col(f"hi{j}"))
+        below = F.coalesce(F.sum(F.when(F.col("v") < lo, F.col("n"))), F.lit(0))
+        upto = F.coalesce(F.sum(F.when(F.col("v") <= hi, F.col("n"))), F.lit(0))
+        sure = sure & (below <= F.max(f"rank{j}0")) & (upto > F.max(f"rank{j}1"))
+    q1, q3 = F.col("q")[0], F.col("q")[2]
+    beyond = ~F.col("v").between(q1 - (q3 - q1) * k, q3 + (q3 - q1) * k)
     found = (
-        steps.join(F.broadcast(spread), "column")
-        .groupBy("column", "q25", "q50", "q75", "sure")
-        .agg(F.sum(beyond).alias("outliers"))
+        placed.groupBy("column")
+        .agg(
+            F.first("q").alias("q"),
+            sure.alias("sure"),
+            F.coalesce(F.sum(F.when(beyond, F.col("n"))), F.lit(0)).alias("outliers"),
+        )
         .collect()
     )
     return {
         (c := r["column"]): Spread(
             not_null[c],
-            r["q25"],
-            r["q50"],
-            r["q75"],
-            *fences(r["q25"], r["q75"], k),
+            *r["q"],
+            *fences(r["q"][0], r["q"][2], k),
             # NaN sorts above every fence.
             r["outliers"] + not_null[c] - counts[c],
         )

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.parsing import parse_time
 from plumbline.operators.profile import chunks
+from plumbline.session import small_frame
 
 VIOLATION_SCHEMA = (
     "rule_id string, rule_type string, `table` string, field string, severity string, status string, "
@@ -298,7 +299,7 @@ def violations(
             rows += [_row(r, name, "missing_table", 0, 0) for r in rules]
         else:
             rows += evaluate(df, rules, name, samples, unique_rows)
-    return spark.createDataFrame(rows, VIOLATION_SCHEMA)
+    return small_frame(spark, rows, VIOLATION_SCHEMA)
 
 
 def _passed() -> Column:

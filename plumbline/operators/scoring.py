@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.grading import badge, letter_grade
+from plumbline.session import small_frame
 
 # Weights of the three parts of a table score, and default thresholds.
 NULL_WEIGHT, OUTLIER_WEIGHT, UNIQUE_WEIGHT = 0.40, 0.35, 0.25
@@ -116,7 +117,7 @@ def audit_tables(scored: DataFrame, unreadable: list[str] | None = None) -> Data
     )
     if unreadable:
         spark = scored.sparkSession
-        lost = spark.createDataFrame([(t, 0, 0, 0.0, "F") for t in unreadable], tables.schema)
+        lost = small_frame(spark, [(t, 0, 0, 0.0, "F") for t in unreadable], tables.schema)
         tables = tables.unionByName(lost)
     return tables
 

@@ -13,6 +13,7 @@ from plumbline.operators.profile import profile
 from plumbline.operators.rules import ROW_RULES, duplicate_counts, evaluate, field_of
 from plumbline.operators.scoring import quick_scores
 from plumbline.sources.tables import write_table
+from plumbline.session import small_frame
 
 METRICS_SCHEMA = (
     "source string, target string, before_count long, after_count long, removed_count long, modified_count long, "
@@ -82,8 +83,8 @@ def clean_to_targets(
             results[t["name"]] = done.df
     finally:
         source.unpersist()
-    metrics = spark.createDataFrame(rows, METRICS_SCHEMA)
-    log = spark.createDataFrame(lineage, LINEAGE_SCHEMA).withColumn("ts", F.current_timestamp())
+    metrics = small_frame(spark, rows, METRICS_SCHEMA)
+    log = small_frame(spark, lineage, LINEAGE_SCHEMA).withColumn("ts", F.current_timestamp())
     overall = sum(r[7] for r in rows) / len(rows) if rows else 0.0
     return CleanJob(results, metrics, log, overall)
 

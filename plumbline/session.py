@@ -4,8 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+X = TypeVar("X")
+JOBS_AT_ONCE = 4
 
 
 def local_session(cores: int | str = "*", app: str = "plumbline") -> SparkSession:
@@ -48,3 +57,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, so that losing an executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], ddl: str | T.StructType) -> DataFrame:
+    """A DataFrame of catalogue-sized rows that becomes part of the plan, without a job of its own."""
+    schema = T.StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(arrow)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
+def at_once(jobs: list[Callable[[], X]]) -> list[X]:
+    """Run independent Spark actions side by side, so that small ones do not wait for each other."""
+    if len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(min(JOBS_AT_ONCE, len(jobs))) as pool:
+        return list(pool.map(lambda job: job(), jobs))

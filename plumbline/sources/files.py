@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from plumbline.functions.names import clean_name_text
 from plumbline.operators.profile import null_counts
 from plumbline.sources.tables import write_table
+from plumbline.session import small_frame
 
 SUFFIXES = ["csv", "json", "parquet"]
 INGEST_SCHEMA = "file string, `table` string, status string, row_count long, column_count int, error string"
@@ -93,4 +94,4 @@ def ingest(
             lineage += rows
         except (PySparkException, KeyError) as e:
             status.append((path, table, "error", 0, 0, type(e).__name__))
-    return spark.createDataFrame(status, INGEST_SCHEMA), spark.createDataFrame(lineage, LINEAGE_SCHEMA)
+    return small_frame(spark, status, INGEST_SCHEMA), small_frame(spark, lineage, LINEAGE_SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from plumbline.session import small_frame
 
 HISTORY_RUNS = 20
 
@@ -67,7 +68,7 @@ def catalogue(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
         for name, df in tables.items()
         for i, f in enumerate(df.schema.fields)
     ]
-    return spark.createDataFrame(rows, "`table` string, ordinal int, `column` string, dtype string")
+    return small_frame(spark, rows, "`table` string, ordinal int, `column` string, dtype string")
 
 
 def ddl_text(table: str, df: DataFrame) -> str:

@@ -23,6 +23,7 @@ from plumbline.operators.cleaning import first_rows
 from plumbline.operators.logs import LATENCY_BOUNDS, bucket_columns
 from plumbline.operators.rules import VIOLATION_SCHEMA, evaluate, failing_rows
 from plumbline.operators.scoring import SCORE_MIN
+from plumbline.session import small_frame
 
 
 def read_folder(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", **options) -> DataFrame:
@@ -112,7 +113,7 @@ def rule_outcomes(rules: list[dict], table: str) -> Callable[[DataFrame], DataFr
     """Job for ``by_batch``: the fused rule check on one micro-batch."""
 
     def job(batch: DataFrame) -> DataFrame:
-        return batch.sparkSession.createDataFrame(evaluate(batch, rules, table), VIOLATION_SCHEMA)
+        return small_frame(batch.sparkSession, evaluate(batch, rules, table), VIOLATION_SCHEMA)
 
     return job
 
