@@ -1,6 +1,6 @@
 """All registered queries and the SQL they must match."""
 
-from plumbline.workloads import cleaning, compliance, functions, profiles, rules  # noqa: F401
+from plumbline.workloads import cleaning, compliance, functions, history, profiles, rules  # noqa: F401
 from plumbline.workloads.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

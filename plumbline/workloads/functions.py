@@ -8,7 +8,9 @@ from plumbline.functions import grading as G
 from plumbline.functions import masking as M
 from plumbline.functions import names as N
 from plumbline.functions import parsing as X
+from plumbline.operators.drift import snapshot
 from plumbline.operators.overlap import candidate_pairs
+from plumbline.operators.profile import column_statistics
 from plumbline.sources.tables import catalogue, ddl_rows
 from plumbline.workloads.registry import COLUMNS, query, table, tables, view, with_views
 
@@ -91,19 +93,19 @@ def _ddl(t: str) -> str:
     ),
 )
 def sf11(spark, sf):
-    from plumbline.operators.drift import snapshot
-
     return snapshot(spark, tables(spark, sf, *SPARK_TYPES), "now").select("table", "ddl_hash", "row_count").distinct()
 
 
 @query(
     "io17_ddl_text",
     " UNION ALL ".join(
-        f"SELECT '{t}' AS \"table\", {len(SPARK_TYPES[t])}::INTEGER AS columns, '{_ddl(t)}' AS ddl" for t in SPARK_TYPES
+        f"SELECT '{t}' AS \"table\", {len(SPARK_TYPES[t])}::INTEGER AS columns, '{_ddl(t)}' AS ddl, count(*) AS row_count FROM {t}" for t in SPARK_TYPES
     ),
 )
 def io17(spark, sf):
-    return ddl_rows(catalogue(spark, tables(spark, sf, *SPARK_TYPES))).drop("ddl_hash")
+    found = tables(spark, sf, *SPARK_TYPES)
+    counts = snapshot(spark, found, "now").select("table", "row_count").distinct()
+    return ddl_rows(catalogue(spark, found)).drop("ddl_hash").join(counts, "table")
 
 
 @query(
@@ -237,17 +239,19 @@ def jo08(spark, sf):
     return df.groupBy("node", F.array_join(N.jobs_of_node(F.col("node")), "|").alias("jobs")).agg(F.count("*").alias("n"))
 
 
+PAIRED = ["region", "nation", "supplier"]
+
+
 @query(
     "jo05_candidate_pairs",
-    "WITH c AS (SELECT DISTINCT event_type || '.u' || user_id AS node FROM events WHERE value > (SELECT avg(value) * 4 FROM events)) "
-    "SELECT a.node AS source, b.node AS target FROM c a JOIN c b ON a.node < b.node",
+    "WITH c AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count({c}) AS n FROM {t}" for t in PAIRED for c in COLUMNS[t])
+    + ") SELECT a.t || '.' || a.c AS source, b.t || '.' || b.c AS target, a.n + b.n AS present FROM c a JOIN c b ON (a.t, a.c) < (b.t, b.c)",
 )
 def jo05(spark, sf):
-    df = table(spark, sf, "events")
-    mean = df.agg(F.avg("value")).first()[0]
-    columns = df.where(F.col("value") > mean * 4).select(
-        F.col("event_type").alias("table"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("column")
-    )
-    return candidate_pairs(columns.distinct())
-
-
+    found = tables(spark, sf, *PAIRED)
+    columns = catalogue(spark, found)
+    pairs = candidate_pairs(columns)
+    stats = column_statistics(spark, found).select(F.concat_ws(".", "table", "column").alias("node"), "count")
+    counted = pairs.join(stats.toDF("source", "a"), "source").join(stats.toDF("target", "b"), "target")
+    return counted.select("source", "target", (F.col("a") + F.col("b")).alias("present"))
