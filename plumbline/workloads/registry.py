@@ -61,6 +61,19 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "o_orderstatus",
         ],
     ),
+    "linked": (
+        "orders",
+        [
+            "o_orderkey",
+            "o_custkey",
+            "CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS o_batch",
+            "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price",
+            "CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 20 = 1 THEN NULL ELSE o_totalprice * 0.9 + 5 END AS net",
+            "o_orderstatus AS status",
+            "lower(o_orderstatus) AS status_code",
+        ],
+    ),
+    "buyers": ("customer", ["c_custkey AS buyer_id", "c_acctbal AS acctbal"]),
     "contacts": (
         "customer",
         [
