@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from plumbline.operators.association import all_pairs, chi_squares, correlations
 from plumbline.operators.overlap import overlaps
-from plumbline.operators.profile import blank_to_null, column_statistics, inference_stats, is_flat
+from plumbline.operators.profile import blank_to_null, inference_stats, is_flat
 from plumbline.operators.quantiles import numeric_columns, numeric_value
-from plumbline.session import small_frame
+from plumbline.session import at_once, small_frame
 
 EDGE_SCHEMA = (
     "source string, target string, mechanism string, strength double, confidence double, "
@@ -33,10 +33,19 @@ def _edge(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return small_frame(spark, rows, EDGE_SCHEMA)
 
 
-def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], stats: DataFrame | None = None) -> DataFrame:
+Stats = dict[str, dict[str, tuple]]
+
+
+def table_stats(tables: dict[str, DataFrame]) -> Stats:
+    """Statistics of every column by table and column; take them once for several mechanisms."""
+    found = at_once([lambda t=t, df=df: inference_stats(df, t) for t, df in tables.items()])
+    return {t: {r[1]: r for r in rows} for t, rows in zip(tables, found)}
+
+
+def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], stats: Stats | None = None) -> DataFrame:
     """Edges between tables, from the less unique column to the more unique one that shares its values."""
-    stats = stats if stats is not None else column_statistics(spark, tables)
-    ratio = stats.select(F.concat_ws(".", "table", "column").alias("node"), "unique_ratio")
+    rows = [(f"{t}.{c}", r[6]) for t, rs in (stats or table_stats(tables)).items() for c, r in rs.items()]
+    ratio = small_frame(spark, rows, "node string, unique_ratio double")
     pairs = overlaps(spark, tables).where(F.col("overlap") >= OVERLAP_MIN)
     both = pairs.join(ratio.toDF("source", "ra"), "source").join(ratio.toDF("target", "rb"), "target")
     up = F.col("ra") < F.col("rb")
@@ -64,15 +73,12 @@ def _numbers(df: DataFrame) -> dict[str, Column]:
     return {c: found[c] for c in df.columns if c in found}
 
 
-def _stats(df: DataFrame, table: str) -> dict[str, tuple]:
-    return {r[1]: r for r in inference_stats(df, table)}
-
-
-def transforms(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def transforms(spark: SparkSession, tables: dict[str, DataFrame], stats: Stats | None = None) -> DataFrame:
     """Edges within a table between strongly correlated numbers, from the smaller spread to the larger."""
+    known = stats or table_stats(tables)
     rows = []
     for t, df in tables.items():
-        stats = _stats(df, t)
+        stats = known[t]
         values = {c: v for c, v in _numbers(df).items() if stats[c][10] and stats[c][10] > 0}
         for (a, b), (r, n) in correlations(df, values, all_pairs(list(values))).items():
             if n >= 5 and abs(r) >= CORRELATION_MIN:
@@ -129,11 +135,12 @@ def quality_propagation(spark: SparkSession, tables: dict[str, DataFrame]) -> Da
     return _edge(spark, rows)
 
 
-def cascades(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def cascades(spark: SparkSession, tables: dict[str, DataFrame], stats: Stats | None = None) -> DataFrame:
     """Edges from the key of a table to nearly unique columns that move with it."""
+    known = stats or table_stats(tables)
     rows = []
     for t, df in tables.items():
-        stats = _stats(df, t)
+        stats = known[t]
         key = next((c for c, s in stats.items() if s[6] > KEY_RATIO), None)
         values = _numbers(df)
         if key is None or key not in values:
@@ -156,8 +163,17 @@ def cascades(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def infer_edges(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """All mechanisms together."""
-    parts = [f(spark, tables) for f in (foreign_keys, transforms, dependencies, quality_propagation, cascades)]
+    """All mechanisms together, over one set of column statistics."""
+    stats = table_stats(tables)
+    parts = at_once(
+        [
+            lambda: foreign_keys(spark, tables, stats),
+            lambda: transforms(spark, tables, stats),
+            lambda: dependencies(spark, tables),
+            lambda: quality_propagation(spark, tables),
+            lambda: cascades(spark, tables, stats),
+        ]
+    )
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.cleaning import Options, clean, first_rows
 from plumbline.operators.profile import profile
-from plumbline.operators.rules import ROW_RULES, duplicate_counts, evaluate, field_of
+from plumbline.operators.rules import ROW_RULES, evaluate, field_of
 from plumbline.operators.scoring import quick_scores
 from plumbline.sources.tables import write_table
 from plumbline.session import small_frame
@@ -148,11 +148,11 @@ def _keep_first(df: DataFrame, field: str, order: list[str] | None) -> DataFrame
     return first_rows(df.where(c.isNotNull()), [field], order).unionByName(df.where(c.isNull()))
 
 
-def clean_table(spark: SparkSession, table: str, rules: list[dict], apply_fixes: bool = False) -> RuleCleanJob:
+def clean_table(
+    spark: SparkSession, table: str, rules: list[dict], apply_fixes: bool = False, path: str | None = None
+) -> RuleCleanJob:
     """Clean a stored table by rules and store the result as ``<table>_cleaned``."""
     job = clean_by_rules(spark.table(table), rules, table, apply_fixes)
-    write_table(job.df, f"{table}_cleaned")
+    write_table(job.df, f"{table}_cleaned", path)
     return job
 
-
-__all__ = ["clean_to_targets", "clean_one", "clean_by_rules", "clean_table", "duplicate_counts"]

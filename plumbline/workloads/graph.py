@@ -267,8 +267,8 @@ OUTCOMES = ["revenue_total", "quality_score", "etl_job"]
 OUTCOME_SQL = """
 asked AS (SELECT e.*, o.outcome, list_bool_or(list_transform(string_split(o.outcome, '_'), w -> contains(lower(node), w) OR contains(lower(array_to_string(jobs, ' ')), w))) AS hit
   FROM effects e, (SELECT unnest(['revenue_total', 'quality_score', 'etl_job']) AS outcome) o),
-any_hit AS (SELECT op_id, outcome, bool_or(hit) AS some FROM asked GROUP BY 1, 2),
-chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY op_id, outcome ORDER BY p DESC, node) AS rk FROM asked) JOIN any_hit USING (op_id, outcome) WHERE hit OR (NOT some AND rk <= 3))
+any_hit AS (SELECT op_id, outcome, bool_or(hit) AS found FROM asked GROUP BY 1, 2),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY op_id, outcome ORDER BY p DESC, node) AS rk FROM asked) JOIN any_hit USING (op_id, outcome) WHERE hit OR (NOT found AND rk <= 3))
 """
 
 
