@@ -54,9 +54,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage, so that losing an executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back: losing an executor costs no recomputation,
+    the plan starts over, and later steps read only the columns they use."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], ddl: str | T.StructType) -> DataFrame:

@@ -265,7 +265,7 @@ def gr11(spark, sf):
 
 OUTCOMES = ["revenue_total", "quality_score", "etl_job"]
 OUTCOME_SQL = """
-asked AS (SELECT e.*, o.outcome, list_bool_or(list_transform(string_split(o.outcome, '_'), w -> contains(lower(node), w) OR contains(lower(array_to_string(jobs, ' ')), w))) AS hit
+asked AS (SELECT e.*, o.outcome, list_bool_or(list_transform(string_split(o.outcome, '_'), lambda w: contains(lower(node), w) OR contains(lower(array_to_string(jobs, ' ')), w))) AS hit
   FROM effects e, (SELECT unnest(['revenue_total', 'quality_score', 'etl_job']) AS outcome) o),
 any_hit AS (SELECT op_id, outcome, bool_or(hit) AS found FROM asked GROUP BY 1, 2),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY op_id, outcome ORDER BY p DESC, node) AS rk FROM asked) JOIN any_hit USING (op_id, outcome) WHERE hit OR (NOT found AND rk <= 3))
@@ -280,10 +280,10 @@ def fi12(spark, sf):
 @query(
     "gr12_whatif",
     f"WITH RECURSIVE {EFFECTS}, {OUTCOME_SQL} SELECT op_id, outcome, round(max(p) * 30, 4) AS quality_loss, count(*) FILTER (WHERE p > 0.5) AS affected, round(max(p) * 0.15, 4) AS metric_error, "
-    "round(least(0.95, avg(p) * (0.5 + 0.3 * least(1.0, avg(len(path))))), 2) AS confidence FROM chosen GROUP BY 1, 2",
+    "round(least(0.95, avg(p) * (0.5 + 0.3 * least(1.0, avg(len(path))))), 3) AS confidence FROM chosen GROUP BY 1, 2",
 )
 def gr12(spark, sf):
-    return rounded(G.what_if(_impact(spark, sf), OUTCOMES)).withColumn("confidence", F.round("confidence", 2))
+    return rounded(G.what_if(_impact(spark, sf), OUTCOMES))
 
 
 # ---- measures of the whole graph
