@@ -7,10 +7,11 @@ the values themselves and runs as one grouped count per field.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +83,12 @@ def _null_check(rule, schema):
 @row_rule("regex_match")
 def _regex_match(rule, schema):
     c = _q(rule["field"])
-    return Check(~same_prefix(c.cast("string"), rule.get("pattern", "")), c.isNotNull())
+    pattern = rule.get("pattern", "")
+    try:
+        re.compile(pattern)
+    except re.error:
+        return None
+    return Check(~same_prefix(c.cast("string"), pattern), c.isNotNull())
 
 
 @row_rule("range_check")
@@ -208,7 +214,7 @@ def evaluate(df: DataFrame, rules: list[dict], table: str, samples: bool = False
                 check = ROW_RULES[kind](rule, schema)
                 if check is not None:
                     df.select(check.fails)  # an unfit rule fails here, alone, and not the fused scan
-            except (AnalysisException, KeyError, TypeError, ValueError):
+            except (PySparkException, KeyError, TypeError, ValueError):
                 found[i] = _row(rule, table, "error", 0, 0)
                 continue
             if check is None:
@@ -216,16 +222,14 @@ def evaluate(df: DataFrame, rules: list[dict], table: str, samples: bool = False
             else:
                 checks[i] = check
     for part in chunks(list(checks), 40):
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        for i in part:
-            aggs.append(F.count_if(checks[i].fails).alias(f"f{i}"))
-            if checks[i].over is not None:
-                aggs.append(F.count_if(checks[i].over).alias(f"t{i}"))
-        row = df.agg(*aggs).first().asDict()
+        counted = _count_checks(df, {i: checks[i] for i in part})
         for i in part:
-            failed = row[f"f{i}"]
-            status = "failed" if failed else "passed"
-            found[i] = _row(rules[i], table, status, failed, row.get(f"t{i}", row["rows"]))
+            if i not in counted:
+                found[i] = _row(rules[i], table, "error", 0, 0)
+                checks.pop(i)
+            else:
+                failed, total = counted[i]
+                found[i] = _row(rules[i], table, "failed" if failed else "passed", failed, total)
     for i in unique:
         field = field_of(rules[i])
         row = (
@@ -248,6 +252,26 @@ def evaluate(df: DataFrame, rules: list[dict], table: str, samples: bool = False
     return [found[i] for i in range(len(rules))]
 
 
+def _count_checks(df: DataFrame, checks: dict[int, Check]) -> dict[int, tuple[int, int]]:
+    """Failed and counted rows of each check in one scan. When a check breaks on the data, the
+    checks are halved until it stands alone, and it is left out."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, check in checks.items():
+        aggs.append(F.count_if(check.fails).alias(f"f{i}"))
+        if check.over is not None:
+            aggs.append(F.count_if(check.over).alias(f"t{i}"))
+    try:
+        row = df.agg(*aggs).first().asDict()
+    except PySparkException:
+        if len(checks) == 1:
+            df.agg(F.count(F.lit(1))).first()  # the data itself must be readable
+            return {}
+        items = list(checks.items())
+        middle = len(items) // 2
+        return _count_checks(df, dict(items[:middle])) | _count_checks(df, dict(items[middle:]))
+    return {i: (row[f"f{i}"], row.get(f"t{i}", row["rows"])) for i in checks}
+
+
 def _samples(df: DataFrame, rules: list[dict], checks: dict[int, Check], failed: list[int]) -> dict[int, list]:
     """Five smallest failing values per rule: the limit is applied in every task before the shuffle."""
 
