@@ -20,6 +20,8 @@ from plumbline.session import small_frame
 
 MAX_HOPS = 6
 DIRECT_DECAY = 0.8
+#: Most nodes whose ranks (a name and a number each) are sent to every task.
+BROADCAST_NODES = 500_000
 
 
 def nodes_of(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> DataFrame:
@@ -361,24 +363,26 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
 
     A node without upstream neighbours keeps what it has; its weight is not spread.
     """
-    ids = nodes.select("node").distinct()
-    n = ids.count()
+    ids = nodes.select("node").distinct().persist()
+    n = max(ids.count(), 1)
     back = links(edges).select(F.col("target").alias("from"), F.col("source").alias("to"))
     out = back.groupBy("from").agg(F.count("*").alias("degree"))
-    flow = back.join(out, "from").persist()
-    rank = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    flow = back.join(out, "from").join(ids.withColumnRenamed("node", "to"), "to", "left_semi").persist()
+    rest = ids.withColumn("got", F.lit(0.0))
+    rank = ids.withColumn("rank", F.lit(1.0 / n))
     for i in range(rounds):
-        given = (
-            flow.join(rank, F.col("from") == F.col("node"))
-            .groupBy(F.col("to").alias("node"))
-            .agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        # A counted, small set of ranks goes to every task: then a node with very many links
+        # needs no shuffle by its name. Beyond that size the join shuffles, and splits hot nodes.
+        side = F.broadcast(rank) if n <= BROADCAST_NODES else rank
+        given = flow.join(side, F.col("from") == F.col("node")).select(
+            F.col("to").alias("node"), (F.col("rank") / F.col("degree")).alias("got")
         )
-        rank = ids.join(given, "node", "left").select(
-            "node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
+        rank = given.unionByName(rest).groupBy("node").agg(
+            (F.lit((1 - damping) / n) + damping * F.sum("got")).alias("rank")
         )
-        if i % 3 == 2:
+        if i % 5 == 4 or i == rounds - 1:
             rank = cut_lineage(rank)
-    rank = cut_lineage(rank)
+    ids.unpersist()
     flow.unpersist()
     return rank
 

@@ -120,6 +120,30 @@ def _share(part: int, whole: int) -> float:
     return part / whole if whole else 0.0
 
 
+QUICK_SCHEMA = "`table` string, `column` string, row_count long, null_pct double, outlier_pct double"
+
+
+def quick_rows(df: DataFrame, table: str, quantiles: str = "exact") -> list[tuple]:
+    """Null and outlier shares alone: no distinct values, no other statistics."""
+    rows = []
+    for part in chunks(df.columns):
+        numeric = [c for c in numeric_columns(df) if c in part]
+        nulls = [F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(part)]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *nulls, *bracket_aggs(df, numeric)).first()
+        spread = finish(df, numeric, row, method=quantiles)
+        total = row["rows"]
+        rows += [
+            (table, c, total, _share(total - row[f"n{i}"], total), _share(spread.get(c, EMPTY).outliers, total))
+            for i, c in enumerate(part)
+        ]
+    return rows
+
+
+def quick_profile(spark: SparkSession, tables: dict[str, DataFrame], **options) -> DataFrame:
+    found = at_once([lambda n=n, df=df: quick_rows(df, n, **options) for n, df in tables.items()])
+    return small_frame(spark, [row for rows in found for row in rows], QUICK_SCHEMA)
+
+
 def profile(spark: SparkSession, tables: dict[str, DataFrame], **options) -> DataFrame:
     """Profile of all given tables, long form."""
     found = at_once([lambda n=n, df=df: profile_rows(df, n, **options) for n, df in tables.items()])

@@ -8,12 +8,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.cleaning import Options, clean, first_rows
-from plumbline.operators.profile import profile
+from plumbline.operators.cleaning import Cleaned, Options, clean, first_rows
+from plumbline.operators.profile import quick_profile
 from plumbline.operators.rules import ROW_RULES, evaluate, field_of
 from plumbline.operators.scoring import quick_scores
 from plumbline.sources.tables import write_table
-from plumbline.session import small_frame
+from plumbline.session import at_once, small_frame
 
 METRICS_SCHEMA = (
     "source string, target string, before_count long, after_count long, removed_count long, modified_count long, "
@@ -34,8 +34,8 @@ class CleanJob:
 
 
 def quick_score(spark: SparkSession, df: DataFrame, name: str, quantiles: str = "exact") -> tuple[int, float]:
-    """Row count and quick score; distinct counts are not needed, so the cheap ones are used."""
-    row = quick_scores(profile(spark, {name: df}, distinct="approx", quantiles=quantiles)).first()
+    """Row count and quick score."""
+    row = quick_scores(quick_profile(spark, {name: df}, quantiles=quantiles)).first()
     return row["row_count"], row["score"]
 
 
@@ -55,10 +55,13 @@ def clean_to_targets(
     source = source.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         before, score_before = quick_score(spark, source, source_name, options.quantiles)
-        rows, lineage, results = [], [], {}
-        for t in targets:
+
+        def one(t: dict) -> tuple[Cleaned, int, float]:
             done = clean(source, t.get("rules", []), replace(options, **t.get("options", {})))
-            after, score_after = quick_score(spark, done.df, t["name"], options.quantiles)
+            return done, *quick_score(spark, done.df, t["name"], options.quantiles)
+
+        rows, lineage, results = [], [], {}
+        for t, (done, after, score_after) in zip(targets, at_once([lambda t=t: one(t) for t in targets])):
             rows.append(
                 (
                     source_name,

@@ -96,7 +96,7 @@ def ag03(spark, sf):
     ),
 )
 def ag04(spark, sf):
-    return rounded(S.quick_scores(P.profile(spark, tables(spark, sf, *SCORED), distinct="approx")))
+    return rounded(S.quick_scores(P.quick_profile(spark, tables(spark, sf, *SCORED))))
 
 
 AUDIT = """
