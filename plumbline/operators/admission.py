@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.operators.ordered import CHUNK, ROWS_PER_CHUNK, previous_value, with_chunks
+from plumbline.operators.ordered import CHUNK, ROWS_PER_CHUNK, join_carry, with_chunks
 
 MICROS = 1_000_000
 
@@ -39,23 +39,26 @@ def fold(times: np.ndarray, accepted: deque, limit: int, window: int) -> tuple[n
 
 
 def run_starts(df: DataFrame, key: str, ts: str, tie: str, window: int, rows_per_chunk: int) -> DataFrame:
-    """Add ``_run``: the time at which the current uninterrupted run of the key began."""
+    """Add ``_t``, the time in microseconds, and ``_run``, when the current uninterrupted run of the key began."""
     timed = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    before = previous_value(timed, [key], ["_t", tie], "_t", "_prev", rows_per_chunk)
+    cut, several = with_chunks(timed, "_t", rows_per_chunk)
+    inside = Window.partitionBy(key, CHUNK).orderBy("_t", tie)
+    by_key = Window.partitionBy(key).orderBy(CHUNK)
+    placed = cut.withColumn("_prev", F.lag("_t").over(inside))
+    if several:
+        ends = cut.groupBy(key, CHUNK).agg(F.max("_t").alias("_end"))
+        placed = join_carry(placed, ends, [key], {"_before": F.lag("_end").over(by_key)})
+        placed = placed.withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before")
     opens = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= window)
-    starts = before.withColumn("_open", F.when(opens, F.col("_t"))).drop("_prev")
-    return _carry_start(starts, key, tie, rows_per_chunk)
-
-
-def _carry_start(df: DataFrame, key: str, tie: str, rows_per_chunk: int) -> DataFrame:
-    """Running maximum of the opening times, carried over chunks of the key."""
-    cut = with_chunks(df, "_t", rows_per_chunk)
-    ends = cut.groupBy(key, CHUNK).agg(F.max("_open").alias("_end"))
-    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(key, CHUNK, F.max("_end").over(before).alias("_carry"))
-    run = Window.partitionBy(key, CHUNK).orderBy("_t", tie).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.withColumn("_in", F.max("_open").over(run)).join(carried, [key, CHUNK])
-    return joined.withColumn("_run", F.coalesce("_in", "_carry")).drop("_in", "_carry", "_open", CHUNK)
+    opened = placed.withColumn("_open", F.when(opens, F.col("_t"))).drop("_prev")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    runs = opened.withColumn("_run", F.max("_open").over(upto))
+    if several:
+        ends = opened.groupBy(key, CHUNK).agg(F.max("_open").alias("_end"))
+        earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+        runs = join_carry(runs, ends, [key], {"_earlier": F.max("_end").over(earlier)})
+        runs = runs.withColumn("_run", F.coalesce("_run", "_earlier")).drop("_earlier")
+    return runs.drop("_open", CHUNK)
 
 
 def admit(

@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.masking import strip_space
 from plumbline.operators.ordered import ROWS_PER_CHUNK, last_known
-from plumbline.operators.profile import chunks, null_counts
+from plumbline.operators.profile import null_counts
 from plumbline.operators.quantiles import Spread, numeric_columns, numeric_value, spreads
+from plumbline.session import at_once
 
 
 @dataclass
@@ -99,8 +100,9 @@ def _fill(df: DataFrame, fills: dict[str, float | None], nulls: dict[str, int])
 @strategy("fill_null_median", "nulls of number columns become the median")
 def fill_null_median(df: DataFrame, options: Options) -> Step:
     numeric = numeric_columns(df)
-    found = spreads(df, numeric, method=options.quantiles)
-    _, nulls = null_counts(df, numeric)
+    found, (_, nulls) = at_once(
+        [lambda: spreads(df, numeric, method=options.quantiles), lambda: null_counts(df, numeric)]
+    )
     return _fill(df, {c: found[c].q50 for c in numeric}, nulls)
 
 
@@ -126,8 +128,7 @@ def fill_null_forward(df: DataFrame, options: Options) -> Step:
     fixed = {*options.key, *options.order}
     columns = [c for c in (options.measures or df.columns) if c not in fixed]
     done = last_known(df, options.key, options.order, columns, options.rows_per_chunk)
-    _, before = null_counts(df, columns)
-    _, after = null_counts(done, columns)
+    (_, before), (_, after) = at_once([lambda: null_counts(df, columns), lambda: null_counts(done, columns)])
     return Step(done, sum(before.values()) - sum(after.values()))
 
 
@@ -295,5 +296,3 @@ def aggregate_count(df: DataFrame, options: Options) -> Step:
         raise ValueError("aggregate_count needs dims")
     return Step(df.groupBy(*options.dims).agg(F.count("*").alias("row_count")))
 
-
-__all__ = ["Cleaned", "Options", "STRATEGIES", "clean", "first_rows", "strategy", "strategy_list", "chunks"]

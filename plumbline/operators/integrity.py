@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.profile import is_flat
-
 EXAMPLES = 5
 
 
 def orphans(source: DataFrame, source_field: str, target: DataFrame, target_field: str) -> DataFrame:
     """Distinct non-null source values without an equal target value.
 
-    Both sides are reduced to distinct values per task before the shuffle, so a hot key
-    costs one row per task; the engine picks broadcast or sort-merge by measured size.
+    Both sides are marked and grouped together by value. Marks combine per task before the
+    one shuffle, so a value that fills a third of the source costs one row per task; a join
+    would send all its rows to one place.
     """
-    values = source.where(F.col(source_field).isNotNull()).select(F.col(source_field).alias("value")).distinct()
-    known = target.select(F.col(target_field).alias("known")).distinct()
-    return values.join(known, F.col("value") == F.col("known"), "left_anti")
+    here = source.select(F.col(source_field).alias("value"), F.lit(True).alias("used"), F.lit(False).alias("known"))
+    there = target.select(F.col(target_field).alias("value"), F.lit(False).alias("used"), F.lit(True).alias("known"))
+    marked = here.unionByName(there).where(F.col("value").isNotNull())
+    seen = marked.groupBy("value").agg(F.bool_or("used").alias("used"), F.bool_or("known").alias("known"))
+    return seen.where(F.col("used") & ~F.col("known")).select("value")
 
 
 def orphan_summary(source: DataFrame, source_field: str, target: DataFrame, target_field: str) -> DataFrame:
@@ -34,7 +35,3 @@ def orphan_summary(source: DataFrame, source_field: str, target: DataFrame, targ
         .join(examples.withColumn("one", one), "one")
         .select("orphans", F.transform("examples", lambda v: v.cast("string")).alias("examples"))
     )
-
-
-def flat_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_flat(f.dataType)]

@@ -31,21 +31,22 @@ def _position(df: DataFrame, order: str) -> Column:
     return F.col(order)
 
 
-def with_chunks(df: DataFrame, order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add a chunk number that never decreases along the order column.
+def with_chunks(df: DataFrame, order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, bool]:
+    """Add a chunk number that never decreases along the order column; say whether there are several.
 
     Boundaries are quantiles of the order column over all rows, so a key with a third of
-    the rows spreads over a third of the chunks even if its times are uneven.
+    the rows spreads over a third of the chunks even if its times are uneven. A table that
+    fits into one chunk as a whole needs no cut.
     """
     total = df.count()
     parts = min(MOST_CHUNKS, math.ceil(total / rows_per_chunk))
     if parts <= 1:
-        return df.withColumn(CHUNK, F.lit(0))
+        return df.withColumn(CHUNK, F.lit(0)), False
     at = _position(df, order)
     bounds = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
     edges = F.array(*[F.lit(b) for b in sorted(set(bounds))])
     below = F.aggregate(edges, F.lit(0), lambda n, b: n + F.when(at >= b, 1).otherwise(0))
-    return df.withColumn(CHUNK, F.coalesce(below, F.lit(-1)))
+    return df.withColumn(CHUNK, F.coalesce(below, F.lit(-1))), True
 
 
 def last_known(
@@ -55,38 +56,30 @@ def last_known(
 
     The order must be total within a key: ties are broken by the later order columns.
     """
-    cut = with_chunks(df, order[0], rows_per_chunk)
-    spot = F.struct(*order)
-    marks = cut.groupBy(*keys, CHUNK).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), spot)).alias(f"_end_{c}") for c in columns]
-    )
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(
-        *keys, CHUNK, *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
-    )
-    renamed = carried.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col(CHUNK).alias("_at"), *[f"_carry_{c}" for c in columns])
-    same = F.col(CHUNK) == F.col("_at")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    cut, several = with_chunks(df, order[0], rows_per_chunk)
     run = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     filled = cut.withColumns({f"_run_{c}": F.last(c, ignorenulls=True).over(run) for c in columns})
-    joined = filled.join(renamed, same, "left")
-    return joined.select(
-        *[
-            F.coalesce(f"_run_{c}", f"_carry_{c}").alias(c) if c in columns else F.col(c)
-            for c in df.columns
-        ]
-    )
+    known = {c: F.col(f"_run_{c}") for c in columns}
+    if several:
+        spot = F.struct(*order)
+        ends = cut.groupBy(*keys, CHUNK).agg(
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), spot)).alias(f"_end_{c}") for c in columns]
+        )
+        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carry = {f"_carry_{c}": F.last(f"_end_{c}", ignorenulls=True).over(before) for c in columns}
+        filled = join_carry(filled, ends, keys, carry)
+        known = {c: F.coalesce(f"_run_{c}", f"_carry_{c}") for c in columns}
+    return filled.select(*[known[c].alias(c) if c in known else F.col(c) for c in df.columns])
 
 
-def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], column: str, name: str, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Add the value of ``column`` in the row before, within each key."""
-    cut = with_chunks(df, order[0], rows_per_chunk)
-    marks = cut.groupBy(*keys, CHUNK).agg(F.max_by(column, F.struct(*order)).alias("_end"))
-    by_key = Window.partitionBy(*keys).orderBy(CHUNK)
-    carried = marks.select(*keys, CHUNK, F.lag("_end").over(by_key).alias("_carry"))
-    run = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    joined = cut.withColumn("_before", F.lag(column).over(run)).join(carried, [*keys, CHUNK])
-    return joined.select(*df.columns, F.coalesce("_before", "_carry").alias(name))
+def join_carry(rows: DataFrame, ends: DataFrame, keys: list[str], carry: dict[str, Column]) -> DataFrame:
+    """Add to every row what its (key, chunk) takes over from earlier chunks; null keys meet each other.
+
+    ``ends`` has one row per (key, chunk), and ``carry`` windows over it.
+    """
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    small = ends.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(CHUNK).alias("_at"), *[c.alias(n) for n, c in carry.items()])
+    same = F.col(CHUNK) == F.col("_at")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(small, same, "left").drop(*names.values(), "_at")

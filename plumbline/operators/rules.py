@@ -12,14 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.parsing import parse_time
 from plumbline.operators.profile import chunks
-from plumbline.session import small_frame
+from plumbline.session import at_once, small_frame
 
 VIOLATION_SCHEMA = (
     "rule_id string, rule_type string, `table` string, field string, severity string, status string, "
@@ -230,19 +230,7 @@ def evaluate(df: DataFrame, rules: list[dict], table: str, samples: bool = False
             else:
                 failed, total = counted[i]
                 found[i] = _row(rules[i], table, "failed" if failed else "passed", failed, total)
-    for i in unique:
-        field = field_of(rules[i])
-        row = (
-            df.where(_q(field).isNotNull())
-            .groupBy(_q(field))
-            .agg(F.count("*").alias("rows"))
-            .agg(
-                F.count_if(F.col("rows") > 1).alias("v"),
-                F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("r"),
-                F.coalesce(F.sum("rows"), F.lit(0)).alias("n"),
-            )
-            .first()
-        )
+    for i, row in zip(unique, at_once([lambda f=field_of(rules[i]): _duplicates(df, f) for i in unique])):
         failed = row["r"] if unique_rows else row["v"]
         found[i] = _row(rules[i], table, "failed" if failed else "passed", failed, row["n"])
     if samples:
@@ -252,6 +240,60 @@ def evaluate(df: DataFrame, rules: list[dict], table: str, samples: bool = False
     return [found[i] for i in range(len(rules))]
 
 
+def _duplicates(df: DataFrame, field: str) -> Row:
+    """Duplicated values, rows that hold one, and all rows with a value."""
+    repeated = F.col("rows") > 1
+    return (
+        df.where(_q(field).isNotNull())
+        .groupBy(_q(field))
+        .agg(F.count("*").alias("rows"))
+        .agg(
+            F.count_if(repeated).alias("v"),
+            F.coalesce(F.sum(F.when(repeated, F.col("rows"))), F.lit(0)).alias("r"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("n"),
+        )
+        .first()
+    )
+
+
+def drop_failing(df: DataFrame, rules: list[dict], table: str) -> tuple[DataFrame, list[tuple]]:
+    """Apply row rules one after another, each on the rows the ones before it left, in one scan.
+
+    Returns the remaining rows and the outcome of every rule that removed some. Should a rule
+    break on the data, the rules are applied singly and that one removes nothing.
+    """
+    names = set(df.columns)
+    steps = []
+    for rule in rules:
+        if field_of(rule) in names and rule.get("type") in ROW_RULES:
+            check = ROW_RULES[rule["type"]](rule, df.schema)
+            if check is not None:
+                steps.append((rule, check, F.coalesce(check.fails, F.lit(False))))
+    if not steps:
+        return df, []
+    alive = F.lit(True)
+    aggs = []
+    for i, (_, check, fails) in enumerate(steps):
+        over = alive if check.over is None else alive & check.over
+        aggs += [F.count_if(alive & fails).alias(f"f{i}"), F.count_if(over).alias(f"t{i}")]
+        alive = alive & ~fails
+    try:
+        row = df.agg(*aggs).first()
+    except PySparkException:
+        if len(steps) == 1:
+            df.agg(F.count(F.lit(1))).first()  # the data itself must be readable
+            return df, [_row(steps[0][0], table, "error", 0, 0)]
+        outcomes = []
+        for rule, *_ in steps:
+            df, found = drop_failing(df, [rule], table)
+            outcomes += found
+        return df, outcomes
+    outcomes = [
+        _row(rule, table, "failed", row[f"f{i}"], row[f"t{i}"]) for i, (rule, *_) in enumerate(steps) if row[f"f{i}"]
+    ]
+    return df.where(alive), outcomes
+
+
 def _count_checks(df: DataFrame, checks: dict[int, Check]) -> dict[int, tuple[int, int]]:
     """Failed and counted rows of each check in one scan. When a check breaks on the data, the
     checks are halved until it stands alone, and it is left out."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.cleaning import Cleaned, Options, clean, first_rows
 from plumbline.operators.profile import quick_profile
-from plumbline.operators.rules import ROW_RULES, evaluate, field_of
+from plumbline.operators.rules import drop_failing, evaluate
 from plumbline.operators.scoring import quick_scores
 from plumbline.sources.tables import write_table
 from plumbline.session import at_once, small_frame
@@ -123,25 +123,27 @@ def clean_by_rules(
 ) -> RuleCleanJob:
     """Check rules in order; with fixes, each rule sees what the fixes before it left.
 
-    Rows without a value survive every fix except that of ``null_check``. Without a
-    uniqueness fix in between, all checks still run fused in one scan.
+    Rows without a value survive every fix except that of ``null_check``. Row rules that
+    follow one another are counted and applied together in one scan.
     """
     total = df.count()
     if not apply_fixes:
         outcome = evaluate(df, rules, table, unique_rows=True)
-        return RuleCleanJob(df, [r for r in outcome if r[5] == "failed"], total, total)
-    found = []
-    for rule in rules:
-        outcome = evaluate(df, [rule], table, unique_rows=True)[0]
-        if outcome[5] != "failed":
+        return RuleCleanJob(df, [r for r in outcome if r[5] in ("failed", "error")], total, total)
+    found: list[tuple] = []
+    row_rules: list[dict] = []
+    for rule in [*rules, {"type": "uniqueness", "field": None}]:
+        if rule.get("type") != "uniqueness":
+            row_rules.append(rule)
             continue
-        found.append(outcome)
-        field = field_of(rule)
-        if rule["type"] == "uniqueness":
-            df = _keep_first(df, field, order)
-        else:
-            fails = ROW_RULES[rule["type"]](rule, df.schema).fails
-            df = df.where(~F.coalesce(fails, F.lit(False)))
+        df, outcomes = drop_failing(df, row_rules, table)
+        found += outcomes
+        row_rules = []
+        if rule.get("field") in df.columns:
+            outcome = evaluate(df, [rule], table, unique_rows=True)[0]
+            if outcome[5] == "failed":
+                found.append(outcome)
+                df = _keep_first(df, rule["field"], order)
     return RuleCleanJob(df, found, total, df.count())
 
 

@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import cleaning as C
-from plumbline.operators import ordered as O
 from plumbline.plans import cleaning_jobs as J
 
 
@@ -73,13 +72,6 @@ def test_forward_fill_in_chunks(spark, rows_per_chunk):
     assert got == want
 
 
-@pytest.mark.parametrize("rows_per_chunk", [10_000, 13])
-def test_previous_value_in_chunks(spark, rows_per_chunk):
-    df = spark.range(200).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
-    got = {r["t"]: r["p"] for r in O.previous_value(df, ["k"], ["t"], "t", "p", rows_per_chunk).collect()}
-    assert got == {t: (t - 3 if t >= 3 else None) for t in range(200)}
-
-
 def test_first_row_limit_acts_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     plan = C.first_rows(df, ["k"], ["id"])._jdf.queryExecution().toString()

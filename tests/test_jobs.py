@@ -169,3 +169,18 @@ def test_incremental_load_reads_each_file_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
     now = S.current_rows(spark, str(tmp_path / "log"), ["k"], [-F.col("version")])
     assert sorted((r["k"], r["v"]) for r in now.collect()) == [(1, "c"), (2, "b"), (3, "d")]
+
+
+def test_governance_run(spark, tmp_path):
+    from plumbline.plans.governance import run
+
+    source = tmp_path / "sales.csv"
+    lines = ["order_id,amount,region"] + [f"{i},{'' if i % 4 == 0 else 100 + i},N" for i in range(40)]
+    source.write_text("\n".join(lines))
+    for day in (1, 2, 3):
+        done = run(spark, [str(source)], "ods", str(tmp_path / "warehouse"), f"2024-01-0{day} 00:00:00")
+    row = done.trends.first()
+    assert (row["table"], row["runs"], row["direction"]) == ("ods_sales", 3, "stable")
+    assert done.health.first()["health"] == "healthy"
+    assert {r["type"] for r in done.alerts.collect()} >= {"null_rate"}
+    assert done.snapshot.first()["row_count"] == 40
