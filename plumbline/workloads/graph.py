@@ -51,12 +51,10 @@ def _edges(spark, sf) -> DataFrame:
 def _nodes(spark, sf) -> DataFrame:
     parts = []
     for t, name, columns, key in NODES:
-        for c in columns:
-            parts.append(
-                table(spark, sf, t).selectExpr(
-                    f"concat({name}, '.{c}') AS node", f"{name} AS table", f"'{c}' AS column", f"{'true' if c == key else 'false'} AS is_key", "'column' AS node_type"
-                )
-            )
+        rows = ", ".join(f"('{c}', {'true' if c == key else 'false'})" for c in columns)
+        listed = f"inline(array({rows})) AS (column, is_key)"
+        named = table(spark, sf, t).selectExpr(f"{name} AS table", listed)
+        parts.append(named.selectExpr("concat(table, '.', column) AS node", "table", "column", "is_key", "'column' AS node_type"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -101,8 +99,8 @@ CLOSURE = "start, node, hops::INTEGER AS hops, round(weight, 6) AS weight"
 
 
 def _order_starts(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.selectExpr("concat('orders_', o_orderkey, '.id') AS start").unionByName(o.selectExpr("concat('orders_', o_orderkey, '.total') AS start"))
+    both = "explode(array(concat('orders_', o_orderkey, '.id'), concat('orders_', o_orderkey, '.total'))) AS start"
+    return table(spark, sf, "orders").selectExpr(both)
 
 
 def _shown(reach):
@@ -362,13 +360,13 @@ def gr15(spark, sf):
     f"WITH {OPS_SQL}, reads AS (SELECT concat('job_', l_suppkey) AS job, concat('orders_', l_orderkey, '.', CASE WHEN l_linenumber % 2 = 0 THEN 'id' ELSE 'total' END) AS node FROM lineitem), "
     "js AS (SELECT concat('job_', s_suppkey) AS job, abs(s_acctbal) / 100 AS score, s_nationkey AS dependents FROM supplier), "
     "hit AS (SELECT op_id, job FROM opx JOIN (SELECT DISTINCT job, node FROM reads) r ON r.node = opx.prim) "
-    "SELECT o.op_id, round(coalesce(sum(score / 100 * dependents), 0), 4) AS severity, count(js.job) AS jobs FROM opx o LEFT JOIN hit USING (op_id) LEFT JOIN js ON js.job = hit.job GROUP BY 1",
+    "SELECT o.op_id, round(coalesce(sum(score / 100 * dependents), 0), 6) AS severity, count(js.job) AS jobs FROM opx o LEFT JOIN hit USING (op_id) LEFT JOIN js ON js.job = hit.job GROUP BY 1",
 )
 def gr16(spark, sf):
     reads = table(spark, sf, "lineitem").selectExpr(
         "concat('job_', l_suppkey) AS job", "concat('orders_', l_orderkey, '.', CASE WHEN l_linenumber % 2 = 0 THEN 'id' ELSE 'total' END) AS node"
     )
     scores = table(spark, sf, "supplier").selectExpr("concat('job_', s_suppkey) AS job", "abs(s_acctbal) / 100 AS score", "s_nationkey AS dependents")
-    return rounded(G.change_severity(_ops(spark, sf), reads, scores))
+    return rounded(G.change_severity(_ops(spark, sf), reads, scores), 6)
 
 
