@@ -10,6 +10,7 @@ from plumbline.functions.masking import strip_space
 
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+NUMBER_START = r"^\s*[-+]?(?:[0-9.]|(?i:inf|nan))"
 HASH_RANGE = 10000
 
 
@@ -23,7 +24,10 @@ def parse_integer(c: Column) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    return strip_space(c.cast("string")).try_cast("double")
+    """A double from text, else null. Text that cannot begin a number is told apart first,
+    because a failing cast costs an exception per row."""
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER_START), text.try_cast("double"))
 
 
 def parse_time(c: Column, dtype: T.DataType) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.masking import strip_space
+from plumbline.functions.parsing import parse_number
 from plumbline.operators.ordered import ROWS_PER_CHUNK, last_known
 from plumbline.operators.profile import null_counts
 from plumbline.operators.quantiles import Spread, numeric_columns, numeric_value, spreads
@@ -269,7 +270,7 @@ def cast_datetime(df: DataFrame, options: Options) -> Step:
 
 @strategy("cast_numeric", "text columns that hold numbers become doubles")
 def cast_numeric(df: DataFrame, options: Options) -> Step:
-    return _adopt(df, {c: _q(c).try_cast("double") for c in _text_columns(df)})
+    return _adopt(df, {c: parse_number(_q(c)) for c in _text_columns(df)})
 
 
 # ---- roll-ups

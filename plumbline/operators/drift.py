@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.functions.grading import is_breaking_type_change
 from plumbline.sources.tables import catalogue, ddl_rows
@@ -127,7 +126,3 @@ def cast_survival(df: DataFrame, casts: dict[str, str]) -> DataFrame:
         for i, (c, t) in enumerate(casts.items())
     ]
     return small_frame(spark, rows, "`column` string, old_dtype string, new_dtype string, values long, lost long")
-
-
-def newest_first(log: DataFrame, key: str) -> Window:
-    return Window.partitionBy(key).orderBy(F.desc("ts"))

@@ -20,7 +20,7 @@ from plumbline.session import small_frame
 
 MAX_HOPS = 6
 DIRECT_DECAY = 0.8
-#: Most nodes whose ranks (a name and a number each) are sent to every task.
+#: Most nodes whose ranks (two numbers each) are sent to every task.
 BROADCAST_NODES = 500_000
 
 
@@ -363,28 +363,32 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
 
     A node without upstream neighbours keeps what it has; its weight is not spread.
     """
-    ids = nodes.select("node").distinct().persist()
+    # Numbers in place of names keep every round narrow; writing them down fixes them.
+    ids = cut_lineage(nodes.select("node").distinct().withColumn("id", F.monotonically_increasing_id()))
     n = max(ids.count(), 1)
-    back = links(edges).select(F.col("target").alias("from"), F.col("source").alias("to"))
+    back = (
+        links(edges)
+        .join(ids.toDF("target", "from"), "target")
+        .join(ids.toDF("source", "to"), "source")
+        .select("from", "to")
+    )
     out = back.groupBy("from").agg(F.count("*").alias("degree"))
-    flow = back.join(out, "from").join(ids.withColumnRenamed("node", "to"), "to", "left_semi").persist()
-    rest = ids.withColumn("got", F.lit(0.0))
-    rank = ids.withColumn("rank", F.lit(1.0 / n))
+    flow = cut_lineage(back.join(out, "from"))
+    rest = ids.select("id", F.lit(0.0).alias("got"))
+    rank = ids.select("id", F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
         # A counted, small set of ranks goes to every task: then a node with very many links
-        # needs no shuffle by its name. Beyond that size the join shuffles, and splits hot nodes.
+        # needs no shuffle by its number. Beyond that size the join shuffles, and splits hot nodes.
         side = F.broadcast(rank) if n <= BROADCAST_NODES else rank
-        given = flow.join(side, F.col("from") == F.col("node")).select(
-            F.col("to").alias("node"), (F.col("rank") / F.col("degree")).alias("got")
+        given = flow.join(side, F.col("from") == F.col("id")).select(
+            F.col("to").alias("id"), (F.col("rank") / F.col("degree")).alias("got")
         )
-        rank = given.unionByName(rest).groupBy("node").agg(
+        rank = given.unionByName(rest).groupBy("id").agg(
             (F.lit((1 - damping) / n) + damping * F.sum("got")).alias("rank")
         )
         if i % 5 == 4 or i == rounds - 1:
             rank = cut_lineage(rank)
-    ids.unpersist()
-    flow.unpersist()
-    return rank
+    return rank.join(ids, "id").select("node", "rank")
 
 
 def weighted_health(ranks: DataFrame, issues: DataFrame) -> DataFrame:

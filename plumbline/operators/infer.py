@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.parsing import parse_number
 from plumbline.operators.association import all_pairs, chi_squares, correlations
 from plumbline.operators.overlap import overlaps
 from plumbline.operators.profile import blank_to_null, inference_stats, is_flat
@@ -69,7 +70,7 @@ def _numbers(df: DataFrame) -> dict[str, Column]:
     found = {c: numeric_value(df, c) for c in numeric_columns(df)}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType):
-            found[f.name] = F.col(f"`{f.name}`").try_cast("double")
+            found[f.name] = parse_number(F.col(f"`{f.name}`"))
     return {c: found[c] for c in df.columns if c in found}
 
 

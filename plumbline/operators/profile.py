@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.parsing import parse_number
 from plumbline.operators.quantiles import EMPTY, Spread, bracket_aggs, finish, numeric_columns, numeric_value, spreads
 from plumbline.session import at_once, small_frame
 
@@ -193,7 +194,7 @@ def inference_stats(df: DataFrame, table: str) -> list[tuple]:
         number = {
             c: numeric_value(df, c)
             if c in numeric_columns(df)
-            else (present[c].try_cast("double") if isinstance(df.schema[c].dataType, T.StringType) else F.lit(None).cast("double"))
+            else (parse_number(present[c]) if isinstance(df.schema[c].dataType, T.StringType) else F.lit(None).cast("double"))
             for c in part
         }
         aggs = [F.count(F.lit(1)).alias("rows")]
