@@ -67,3 +67,10 @@ def test_parsing(spark):
 def test_endpoint_template(spark):
     paths = ["/api/orders/12/items", "/report.html", "/a1", "/"]
     assert values(spark, paths, endpoint_template) == ["/api/orders/{id}/items", "/report.html", "/{id}", "/"]
+
+
+def test_numbers_in_text(spark):
+    texts = ["1", " 2.5 ", "-.5", "1e3", "inf", "NaN", "north", "12ab", "", None]
+    found = values(spark, texts, X.parse_number)
+    assert found[:5] == [1.0, 2.5, -0.5, 1000.0, float("inf")] and found[5] != found[5]
+    assert found[6:] == [None] * 4
