@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing
+from plumbline.llm import order_minhash, packing, secret_scan
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_order_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query("op3_pack_best_fit")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secrets_by_grammar")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
