@@ -85,6 +85,12 @@ def remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any storage that Spark reads is a single file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+
+
 def one_thread() -> None:
     """Tasks share the cores already; native libraries must not start threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

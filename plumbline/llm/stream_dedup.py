@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, is_file
 
 #: Input taken into one micro-batch at most.
 BYTES_PER_BATCH = 64 << 30
@@ -59,7 +59,12 @@ def state_of(
 ) -> DataFrame:
     """Run the stream to the end of what is there; the last entry of every digest."""
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch))
+    if is_file(spark, path):  # a stream reads folders: take the one file of its folder
+        folder, _, name = path.rpartition("/")
+        source = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        source = reader.parquet(path)
     entries = (
         _rows(source, digest)
         .groupBy("digest")
