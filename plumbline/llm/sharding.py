@@ -20,8 +20,6 @@ from plumbline.llm.common import Scratch
 
 SHARDS = 40
 ROUNDS = 8
-#: How far above its share a shard may grow while documents move.
-SLACK = 0.05
 #: Rows that are numbered together in one window.
 RUN = 4096
 
@@ -67,14 +65,16 @@ def _votes(links: DataFrame, placed: DataFrame, room: int) -> DataFrame:
     return by_shard.groupBy("node", "shard").agg(best.alias("b")).select("node", "shard", "b.to", "b.key", "b.large")
 
 
-def propagate(links: DataFrame, free: list[int], shards: int, rounds: int, scratch: Scratch) -> DataFrame:
-    """Shards of the linked nodes after the moves. ``free``: rows without links in each shard."""
+def propagate(links: DataFrame, rows: int, shards: int, rounds: int, scratch: Scratch) -> DataFrame:
+    """Shards of the linked nodes after the moves. ``rows``: of all nodes, linked or not.
+
+    Linked nodes may fill a shard's whole share, since nodes without links give way to them later.
+    """
     start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     placed = scratch.keep(links.select("node").distinct().withColumn("shard", start))
-    held = [a + b for a, b in zip(free, _sizes(placed, shards))]
-    share = sum(held) / shards
-    most = [math.ceil(share * (1 + SLACK))] * shards
-    room = max(1, math.floor(share / 2))
+    held = _sizes(placed, shards)
+    share = rows // shards
+    room = max(1, share // 2)
     for number in range(rounds):
         votes = scratch.keep(_votes(links, placed, room))
         flow = votes.filter("to <> shard").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -86,13 +86,13 @@ def propagate(links: DataFrame, free: list[int], shards: int, rounds: int, scrat
             into[r["to"]] += r["n"]
             out[r["shard"]] += r["n"]
         # Quota of a shard: its free room and what leaves it, shared among all who want to come.
-        accept = [min(1.0, max(0.0, (m - h + o) / i)) if i else 0.0 for m, h, o, i in zip(most, held, out, into)]
+        accept = [min(1.0, max(0.0, (share - h + o) / i)) if i else 0.0 for h, o, i in zip(held, out, into)]
         dice = F.when(F.col("large"), _dice("node", F.lit(number))).otherwise(_dice("key", "shard", F.lit(number)))
         moves = (F.col("to") != F.col("shard")) & (dice < _lookup(accept, F.col("to")))
         before = placed
         placed = scratch.keep(votes.select("node", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         scratch.drop(votes, before)
-        held = [a + b for a, b in zip(free, _sizes(placed, shards))]
+        held = _sizes(placed, shards)
     return placed
 
 
@@ -149,10 +149,10 @@ def shard(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
     links = scratch.keep(links.select("node", "key").distinct())
     alone = nodes.select("node").join(links.select("node").distinct(), "node", "left_anti")
     alone = scratch.keep(alone.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")))
-    free = _sizes(alone, shards)
-    placed = propagate(links, free, shards, rounds, scratch)
+    rows = nodes.count()
+    placed = propagate(links, rows, shards, rounds, scratch)
     every = alone.withColumn("linked", F.lit(0)).unionByName(placed.withColumn("linked", F.lit(1)))
-    runs = max(1, math.ceil(nodes.count() / shards / RUN))
+    runs = max(1, math.ceil(rows / shards / RUN))
     even = scratch.keep(level(every, shards, runs))
     return _numbered(even, runs, [], "slot").select("node", "shard", "slot")
 
