@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import order_minhash, packing, quality, secret_scan, sharding, stream_dedup
+from plumbline.llm import mixing, order_minhash, packing, quality, secret_scan, sharding, stream_dedup
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op4_soft_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Domains are languages, learned from the rows that the labelled table covers.
+    labelled = docs.select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    return mixing.mix(docs, labelled.select("doc_id", F.col("lang").alias("label")))
+
+
 @query("op5_subword_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
