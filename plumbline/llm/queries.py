@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import line_dedup, mixing, order_minhash, packing, quality, secret_scan, sharding, stream_dedup
+from plumbline.llm import (
+    line_dedup,
+    mixing,
+    near_dedup,
+    order_minhash,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    stream_dedup,
+)
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +81,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op9_odd_sketches")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op10_secrets_by_grammar")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
