@@ -26,20 +26,20 @@ CLOSE = 1e-6
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = subword.SAMPLE) -> DataFrame:
-    """``doc_id``, ``n_words`` and one probability per domain (``p0``, ``p1``, ...) of every document.
+    """``docs`` with its words (``_words``) and one probability per domain (``_p0``, ``_p1``, ...).
 
     ``labelled`` has ``doc_id`` and ``label``; labels that are no domain are not learned from.
     A domain without labelled rows has probability 0. With no labelled row at all, every
-    domain is equally likely.
+    domain is equally likely. Names that begin with ``_p`` or are ``_words`` must be free.
     """
     model = subword.train(docs, labelled.filter(F.col("label").isin(domains)), sample)
-    names = [f"p{domains.index(c)}" if c in domains else "none" for c in model.classes]
+    names = [f"_p{domains.index(c)}" if c in domains else "_pnone" for c in model.classes]
     found = subword.scored(docs, model, names)
-    missing = 1.0 / len(domains) if names == ["none"] else 0.0
+    missing = 1.0 / len(domains) if names == ["_pnone"] else 0.0
+    own = [f"_p{i}" for i in range(len(domains))]
+    words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), lambda w: w != "")).cast("bigint")
     return found.select(
-        "doc_id",
-        "n_words",
-        *[F.col(n) if n in names else F.lit(missing).alias(n) for n in (f"p{i}" for i in range(len(domains)))],
+        *[F.col(f"`{c}`") for c in docs.columns], words.alias("_words"), *[F.col(n) if n in names else F.lit(missing).alias(n) for n in own]
     )
 
 
@@ -50,7 +50,7 @@ def _rate(steps: list[np.ndarray], width: int, least: float, most: float) -> Col
     taken = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
 
     def step(rate: Column, move: Column) -> Column:
-        change = sum((F.col(f"p{k}") * F.element_at(move, k + 1) for k in range(width)), F.lit(0.0))
+        change = sum((F.col(f"_p{k}") * F.element_at(move, k + 1) for k in range(width)), F.lit(0.0))
         return F.greatest(F.lit(least), F.least(F.lit(most), rate - change))
 
     return F.aggregate(taken, F.lit(1.0), step)
@@ -59,21 +59,21 @@ def _rate(steps: list[np.ndarray], width: int, least: float, most: float) -> Col
 def fit_rates(
     found: DataFrame, targets: list[float], least: float = 0.0, most: float = MOST, steps: int = STEPS, keep_all: bool = False
 ) -> tuple[DataFrame, list[float]]:
-    """``found`` with a ``rate`` per document, and the share of tokens that each domain then has.
+    """``found`` with a ``_rate`` per document, and the share of tokens that each domain then has.
 
     The loss is the sum of squared gaps between expected and wanted tokens per domain, each
     weighted by the domain's own curvature, so that a step of one never overshoots. The total
     wanted is that of the documents; with ``keep_all`` it is large enough for no domain to shrink.
     """
     width = len(targets)
-    p = [F.col(f"p{k}") for k in range(width)]
-    t = F.col("n_words").cast("double")
+    p = [F.col(f"_p{k}") for k in range(width)]
+    t = F.col("_words").cast("double")
     wanted = np.array(targets) / sum(targets)
     sums = [F.sum(t * a * b) for i, a in enumerate(p) for b in p[i:]]
     first = found.agg(F.sum(t), *sums).first()
     total = first[0] or 0.0
     if not total:
-        return found.withColumn("rate", F.lit(1.0)), [0.0] * width
+        return found.withColumn("_rate", F.lit(1.0)), [0.0] * width
     curve = np.zeros((width, width))
     curve[np.triu_indices(width)] = [v or 0.0 for v in first[1:]]
     curve = curve + np.triu(curve, 1).T
@@ -93,7 +93,7 @@ def fit_rates(
             break
         before = loss
         taken.append(np.array([float(f"{v:.9e}") for v in gap * scale]))
-    return found.withColumn("rate", rate), (got / max(got.sum(), 1e-300)).tolist()
+    return found.withColumn("_rate", rate), (got / max(got.sum(), 1e-300)).tolist()
 
 
 def copies(rate: Column, *key: Column | str) -> Column:
@@ -107,7 +107,7 @@ def mix(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, most: float = MOST, keep_all: bool = False,
     sample: int = subword.SAMPLE,
 ) -> DataFrame:
-    """``doc_id``, ``n_words``, a probability per domain, ``rate`` and ``copies`` of every document.
+    """``doc_id``, ``n_words``, a probability per domain (``p_<domain>``), ``rate`` and ``copies`` of every document.
 
     Null and empty texts have the classifier's constant as probabilities and no tokens, so
     they follow the rates but do not move them. Rows that repeat a ``doc_id`` are documents of
@@ -115,9 +115,31 @@ def mix(
     hash of ``doc_id``, so runs agree.
     """
     domains = sorted(targets)
-    found = Scratch(docs.sparkSession, "mixing").keep(posteriors(docs, labelled, domains, sample))
-    rated, _ = fit_rates(found, [targets[d] for d in domains], least, most, keep_all=keep_all)
+    rated = _rated(docs.select("doc_id", "text"), labelled, targets, least, most, keep_all, sample, ("text",))
     return rated.select(
-        "doc_id", "n_words", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate",
-        copies(F.col("rate"), "doc_id").alias("copies"),
+        "doc_id", F.col("_words").alias("n_words"), *[F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(domains)],
+        F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id").alias("copies"),
     )
+
+
+def _rated(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float, most: float, keep_all: bool, sample: int,
+    without: tuple[str, ...] = (),
+) -> DataFrame:
+    """``posteriors`` with a ``_rate``, written once and without the columns not needed again."""
+    domains = sorted(targets)
+    found = Scratch(docs.sparkSession, "mixing").keep(posteriors(docs, labelled, domains, sample).drop(*without))
+    return fit_rates(found, [targets[d] for d in domains], least, most, keep_all=keep_all)[0]
+
+
+def repeat(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 1.0, most: float = MOST, keep_all: bool = True,
+    sample: int = subword.SAMPLE,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as its rate says, with all columns.
+
+    As it stands no document is left out: domains that have too few tokens are repeated.
+    """
+    rated = _rated(docs, labelled, targets, least, most, keep_all, sample)
+    times = rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("_rate"), "doc_id"))))
+    return times.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,35 +31,24 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = subword.SAMPLE, thre
     class only, all documents have that class's score, 0.5 if there is none. Rows that repeat
     a ``doc_id`` are scored each.
     """
-    found = model(docs, labels, sample)
-    names = [f"p{i}" for i in range(len(found.classes))]
-    if len(found.classes) == 1:
-        good = {"1": 1.0, "0": 0.0}.get(found.classes[0], 0.5)
-        rows = docs.select("doc_id", F.lit(good).alias("score"))
-    else:
-        rows = subword.scored(docs, found, names).withColumnRenamed(f"p{found.classes.index('1')}", "score")
+    rows = _scored(docs.select("doc_id", "text"), model(docs, labels, sample), "score")
     return rows.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
+def _scored(docs: DataFrame, found: subword.Model, name: str) -> DataFrame:
+    """``docs`` with the probability of label 1 as column ``name``."""
+    if len(found.classes) == 1:
+        return docs.withColumn(name, F.lit({"1": 1.0, "0": 0.0}.get(found.classes[0], 0.5)))
+    names = [name if c == "1" else f"_p_{i}" for i, c in enumerate(found.classes)]
+    return subword.scored(docs, found, names).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = subword.SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose texts are predicted to be good, with all columns.
 
     The score is worked out next to the row, so that no join with the documents is needed.
     """
-    found = model(docs, labels, sample)
-    if len(found.classes) == 1:
-        return docs if found.classes[0] != "0" else docs.limit(0)
-    good = found.classes.index("1")
-    columns = docs.columns
-    at = columns.index("text")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            kept = [found.probabilities(t or "")[good] >= threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    rows = _scored(docs, model(docs, labels, sample), "_quality_score")
+    return rows.filter(F.col("_quality_score") >= threshold).drop("_quality_score")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import record_batches, rows_of, texts
 
@@ -150,15 +151,17 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
-    """``doc_id``, the words of each whole text, and the probability of each class as ``names``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), *[(n, pa.float64()) for n in names]])
+    """All columns of ``docs`` and the probability of each class of its text as ``names``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
-                yield doc_id, len(text.split()), *model.probabilities(text).tolist()
+    A null text counts as empty. The names must not be among the columns.
+    """
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
-        yield from record_batches(found(), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([model.probabilities(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(names))
+            arrays = [*batch.columns, *[pa.array(found[:, k], pa.float64()) for k in range(len(names))]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *names])
 
-    ddl = "doc_id bigint, n_words bigint, " + ", ".join(f"`{n}` double" for n in names)
-    return texts(docs).mapInArrow(run, ddl)
+    return docs.mapInArrow(run, schema)
