@@ -17,6 +17,7 @@ from plumbline.llm import (
     secret_scan,
     sharding,
     stream_dedup,
+    suffix_dedup,
 )
 from plumbline.llm.common import table
 
@@ -68,6 +69,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_sparse_suffixes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
