@@ -169,11 +169,11 @@ def _relabel(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
     return scratch.keep(labels.join(upper, "label", "left").select("node", F.coalesce("upper", "label").alias("label")))
 
 
-def _hub_pairs(members: DataFrame, number: int) -> DataFrame:
+def _hub_pairs(members: DataFrame, number: int, scratch: Scratch) -> DataFrame:
     """Each node of a bucket with the bucket's hub of this round, where they are not connected."""
     order = F.col("node") if number == 0 else F.xxhash64("node", F.lit(number))
     hubs = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "label", "sketch")).alias("h"))
-    met = members.join(hubs, "key").filter("label <> h.label")
+    met = members.join(scratch.keep(hubs), "key").filter("label <> h.label")
     return met.filter(_fair(F.col("sketch"), F.col("h.sketch"))).select(
         F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")
     )
@@ -214,8 +214,9 @@ def groups(docs: DataFrame) -> DataFrame:
         linkable.groupBy(*digest).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     filed = nodes.select(F.explode("bands").alias("key"), "node")
+    # Keys are written before the join, so that both of its sides are plain shuffles and a large bucket can be split.
     shared = filed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key")
-    filed = scratch.keep(filed.join(shared, "key"))
+    filed = scratch.keep(filed.join(scratch.keep(shared), "key"))
     sketches = nodes.select("node", _words(F.col("sketch")).alias("sketch")).dropDuplicates(["node"])
     sketches = scratch.keep(sketches.join(filed.select("node").distinct(), "node", "left_semi"))
     sets = scratch.keep(_sets(docs, sketches.select("node")))
@@ -231,14 +232,15 @@ def groups(docs: DataFrame) -> DataFrame:
         return _relabel(labels, edges, scratch)
 
     for number in range(HUBS):
-        members = filed.join(labels, "node").join(sketches, "node")
-        labels = link(_hub_pairs(members, number))
+        members = scratch.keep(filed.join(labels, "node").join(sketches, "node"))
+        labels = link(_hub_pairs(members, number, scratch))
         # Buckets whose nodes are all connected have nothing more to give.
         spread = filed.join(labels, "node").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-        before, filed = filed, scratch.keep(filed.join(spread.filter("x <> y").select("key"), "key"))
-        scratch.drop(before)
+        open_keys = scratch.keep(spread.filter("x <> y").select("key"))
+        before, filed = filed, scratch.keep(filed.join(open_keys, "key"))
+        scratch.drop(before, members, open_keys)
     members = scratch.keep(filed.join(labels, "node").join(sketches, "node"))
-    labels = link(_block_pairs(members, members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))))
+    labels = link(_block_pairs(members, scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))))
     scratch.drop(filed, members, sets)
     named = nodes.select(*digest, "node").join(labels, "node", "left")
     named = named.select(*digest, F.coalesce("label", "node").alias("component"))

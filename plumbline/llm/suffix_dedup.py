@@ -225,7 +225,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id IS NOT NULL")
     kept = scratch.keep(_kept(docs))
     several = kept.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("run")
-    suffixes = scratch.keep(_contexts(docs, kept.join(several, "run").select("doc_id", "pos")))
+    # Written before the join, so that both of its sides are plain shuffles and a frequent run can be split.
+    suffixes = scratch.keep(_contexts(docs, kept.join(scratch.keep(several), "run").select("doc_id", "pos")))
     scratch.drop(kept)
     order = ["after", "before", "doc_id", "pos"]
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
