@@ -13,13 +13,14 @@ only lengths and checksums are shuffled, never texts or ids.
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +28,15 @@ from plumbline.llm.common import Scratch, one_thread, record_batches, rows_of, t
 
 WINDOW = 2048
 END_ID = 1
-BLOCK = 16_384
+BLOCK = 4096
 TOKENIZER = "word_bpe_49k.json"
 #: Words held by a task to spare encoding them again; emptied when full.
-CACHED_WORDS = 300_000
-#: Texts of these characters alone are lower-cased and cut alike by Python and by the tokenizer.
-_OTHER = regex.compile(r"[^\t\n\v\f\r\x20-\x7e\xa0-įı-ɏ]")
-#: Fixed value: the tokenizer's own rule for cutting a text.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+CACHED_WORDS = 800_000
+#: Texts without any of these characters are lower-cased and cut alike by Python and by the
+#: tokenizer: beyond U+024F, controls, numbers that are no digits, and a capital of two parts.
+_OTHER = re.compile(r"[^\t\n\v\f\r\x20-\x7e\xa0-\u024f]|[\xb2\xb3\xb9\xbc-\xbe\u0130]")
+#: Fixed value: the tokenizer's own rule for cutting a text, for such characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, salt int"
 PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -57,6 +59,15 @@ class _Words(dict):
         return ids
 
 
+def _byte_names(level) -> dict[int, str]:
+    """The character by which the vocabulary names each byte beyond ASCII, as the tokenizer gives it."""
+    out = {}
+    for code in range(0xA0, 0x250):
+        raw = chr(code).encode()
+        out.update(zip(raw, level.pre_tokenize_str(chr(code))[0][0]))
+    return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], bytes]:
     """Token ids of a text as little-endian unsigned 32-bit integers, without special tokens."""
@@ -65,9 +76,14 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
-    word = Tokenizer(whole.model)
-    word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    words = _Words(lambda w: np.array(word.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    model = whole.model
+    names = _byte_names(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+
+    def of_word(word: str) -> bytes:
+        found = model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(names))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    words = _Words(of_word)
 
     def encode(text: str) -> bytes:
         if _OTHER.search(text):
