@@ -24,7 +24,7 @@ ROUNDS = 8
 RUN = 4096
 
 
-def _lookup(values: list[float], at: Column) -> Column:
+def _lookup(values: list, at: Column) -> Column:
     """``values[at]`` as a column; the list has one entry per shard."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
 
@@ -43,15 +43,25 @@ def _sizes(df: DataFrame, shards: int) -> list[int]:
     return [found.get(i, 0) for i in range(shards)]
 
 
-def _votes(links: DataFrame, placed: DataFrame, room: int) -> DataFrame:
-    """The shard that each linked node is drawn to, its present one first among equals."""
+def _votes(links: DataFrame, placed: DataFrame, room: int, full: list[bool], scratch: Scratch) -> DataFrame:
+    """The shard that each linked node is drawn to, its present one first among equals.
+
+    A key that is not yet in one shard prefers those that are not full.
+    """
     here = links.join(placed, "node")
     counts = here.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
     # Ties go by a hash of key and shard, so that all members of a key agree.
-    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard"))))
-    targets = counts.groupBy("key").agg(ranked.alias("all"), F.sum("n").alias("members"))
+    found = F.collect_list(F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard"))
+    targets = counts.groupBy("key").agg(found.alias("all"), F.sum("n").alias("members"))
+
+    def rank(s: Column) -> Column:
+        fits = (s["n"] == F.col("members")) | ~_lookup(full, s["shard"])
+        return F.struct(fits.alias("fits"), s["n"].alias("n"), s["tie"].alias("tie"), s["shard"].alias("shard"))
+
+    targets = targets.withColumn("all", F.reverse(F.array_sort(F.transform("all", rank))))
     need = F.least(F.ceil(F.col("members") / F.lit(room)).cast("int"), F.size("all"))
-    targets = targets.select("key", F.slice("all", 1, need).alias("targets"))
+    # Written before the join, so that both of its sides are plain shuffles and a large key can be split.
+    targets = scratch.keep(targets.select("key", F.slice("all", 1, need).alias("targets")))
     choice = F.pmod(F.xxhash64("node", "key"), F.size("targets")).cast("int")
     own = F.filter("targets", lambda t: t["shard"] == F.col("shard"))
     voted = here.join(targets, "key").select(
@@ -76,7 +86,7 @@ def propagate(links: DataFrame, rows: int, shards: int, rounds: int, scratch: Sc
     share = rows // shards
     room = max(1, share // 2)
     for number in range(rounds):
-        votes = scratch.keep(_votes(links, placed, room))
+        votes = scratch.keep(_votes(links, placed, room, [h >= share for h in held], scratch))
         flow = votes.filter("to <> shard").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()
         if not flow:
             scratch.drop(votes)
@@ -97,23 +107,23 @@ def propagate(links: DataFrame, rows: int, shards: int, rounds: int, scratch: Sc
 
 
 def _numbered(df: DataFrame, runs: int, order: list[str], name: str) -> DataFrame:
-    """Number the rows of each shard from 0, by ``order`` then by runs of hashes.
+    """Number the rows of each shard from 0, by ``order``, then so that the rows of a ``group`` follow each other.
 
-    A shard is cut into runs; rows are numbered within a run, and runs by sums of their sizes.
+    A shard is cut into runs by hashes of groups; rows are numbered within a run, and runs by sums of their sizes.
     """
-    cut = df.withColumn("run", F.pmod(F.xxhash64("node"), F.lit(runs)))
+    cut = df.withColumn("run", F.pmod(F.xxhash64("group"), F.lit(runs)))
     keys = ["shard", *order, "run"]
     sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy(*order, "run").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy("node")) - 1
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy("group", "node")) - 1
     return cut.withColumn("at", within).join(starts, keys).withColumn(name, F.col("before") + F.col("at")).drop("run", "at", "before")
 
 
 def level(nodes: DataFrame, shards: int, runs: int) -> DataFrame:
     """Move as few nodes as needed from full shards, those without links first, until counts are even.
 
-    Rows of ``nodes``: node, shard, linked.
+    Rows of ``nodes``: node, shard, linked, group. Nodes of a group are moved one after the other.
     """
     sizes = _sizes(nodes, shards)
     wanted = quotas(sum(sizes), shards)
@@ -124,7 +134,7 @@ def level(nodes: DataFrame, shards: int, runs: int) -> DataFrame:
         quota[i] = q
     excess = [max(0, s - q) for s, q in zip(sizes, quota)]
     if not any(excess):
-        return nodes.select("node", "shard")
+        return nodes.select("node", "shard", "group")
     before = [sum(excess[:i]) for i in range(shards)]
     ends, total = [], 0
     for s, q in zip(sizes, quota):
@@ -136,7 +146,15 @@ def level(nodes: DataFrame, shards: int, runs: int) -> DataFrame:
     ends_column = F.array(*[F.lit(e) for e in ends])
     to = F.size(F.filter(ends_column, lambda e: e <= number)).cast("int")
     moved = ranked.select("node", to.alias("to"))
-    return nodes.join(moved, "node", "left").select("node", F.coalesce("to", "shard").alias("shard"))
+    return nodes.join(moved, "node", "left").select("node", F.coalesce("to", "shard").alias("shard"), "group")
+
+
+def _grouped(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """A ``group`` per linked node: one of its keys, or itself where its keys have too many members for one run."""
+    small = scratch.keep(links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RUN).select("key"))
+    named = links.join(small, "key").groupBy("node").agg(F.min(F.xxhash64("key")).alias("group"))
+    every = links.select("node").distinct().join(named, "node", "left")
+    return every.select("node", F.coalesce("group", F.xxhash64("node")).alias("group"))
 
 
 def shard(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -151,7 +169,8 @@ def shard(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
     alone = scratch.keep(alone.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")))
     rows = nodes.count()
     placed = propagate(links, rows, shards, rounds, scratch)
-    every = alone.withColumn("linked", F.lit(0)).unionByName(placed.withColumn("linked", F.lit(1)))
+    every = alone.withColumns({"linked": F.lit(0), "group": F.xxhash64("node")})
+    every = every.unionByName(placed.withColumn("linked", F.lit(1)).join(_grouped(links, scratch), "node"))
     runs = max(1, math.ceil(rows / shards / RUN))
     even = scratch.keep(level(every, shards, runs))
     return _numbered(even, runs, [], "slot").select("node", "shard", "slot")
@@ -174,7 +193,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
             F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
         )
     )
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    several = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     placed = shard(rows.select("node"), rows.select("node", "key").join(several, "key"), shards, rounds)
     return rows.join(placed, "node").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
