@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.operators.ordered import CHUNK, ROWS_PER_CHUNK, join_carry, with_chunks
+from plumbline.operators.ordered import CHUNK, join_carry, with_chunks
 
 MICROS = 1_000_000
 
@@ -38,27 +38,22 @@ def fold(times: np.ndarray, accepted: deque, limit: int, window: int) -> tuple[n
     return ok, left
 
 
-def run_starts(df: DataFrame, key: str, ts: str, tie: str, window: int, rows_per_chunk: int) -> DataFrame:
+def run_starts(df: DataFrame, key: str, ts: str, tie: str, window: int, chunks: int | None) -> DataFrame:
     """Add ``_t``, the time in microseconds, and ``_run``, when the current uninterrupted run of the key began."""
     timed = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    cut, several = with_chunks(timed, "_t", rows_per_chunk)
+    cut = with_chunks(timed, [key], ["_t", tie], chunks)
     inside = Window.partitionBy(key, CHUNK).orderBy("_t", tie)
     by_key = Window.partitionBy(key).orderBy(CHUNK)
-    placed = cut.withColumn("_prev", F.lag("_t").over(inside))
-    if several:
-        ends = cut.groupBy(key, CHUNK).agg(F.max("_t").alias("_end"))
-        placed = join_carry(placed, ends, [key], {"_before": F.lag("_end").over(by_key)})
-        placed = placed.withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before")
+    ends = cut.groupBy(key, CHUNK).agg(F.max("_t").alias("_end"))
+    placed = join_carry(cut.withColumn("_prev", F.lag("_t").over(inside)), ends, [key], {"_before": F.lag("_end").over(by_key)})
+    placed = placed.withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before")
     opens = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= window)
     opened = placed.withColumn("_open", F.when(opens, F.col("_t"))).drop("_prev")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    runs = opened.withColumn("_run", F.max("_open").over(upto))
-    if several:
-        ends = opened.groupBy(key, CHUNK).agg(F.max("_open").alias("_end"))
-        earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
-        runs = join_carry(runs, ends, [key], {"_earlier": F.max("_end").over(earlier)})
-        runs = runs.withColumn("_run", F.coalesce("_run", "_earlier")).drop("_earlier")
-    return runs.drop("_open", CHUNK)
+    ends = opened.groupBy(key, CHUNK).agg(F.max("_open").alias("_end"))
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    runs = join_carry(opened.withColumn("_run", F.max("_open").over(upto)), ends, [key], {"_earlier": F.max("_end").over(earlier)})
+    return runs.withColumn("_run", F.coalesce("_run", "_earlier")).drop("_earlier", "_open", CHUNK)
 
 
 def admit(
@@ -68,11 +63,12 @@ def admit(
     tie: str,
     limit: int,
     window_sec: int,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: int | None = None,
 ) -> DataFrame:
-    """Add ``accepted`` and ``remaining`` to every event."""
+    """Add ``accepted`` and ``remaining`` to every event; both are null for events without a key or a time."""
     window = window_sec * MICROS
-    runs = run_starts(df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()), key, ts, tie, window, rows_per_chunk)
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    runs = run_starts(df.where(known), key, ts, tie, window, chunks)
     placed = runs.repartition(key, "_run").sortWithinPartitions(key, "_run", "_t", tie)
     schema = T.StructType(
         [*placed.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("remaining", T.IntegerType())]
@@ -95,4 +91,6 @@ def admit(
                 ok[a:b], left[a:b] = fold(times[a:b], state, limit, window)
             yield batch.assign(accepted=ok, remaining=left)
 
-    return placed.mapInPandas(decide, schema).drop("_t", "_run")
+    decided = placed.mapInPandas(decide, schema).drop("_t", "_run")
+    undecided = df.where(~known).withColumns({"accepted": F.lit(None).cast("boolean"), "remaining": F.lit(None).cast("int")})
+    return decided.unionByName(undecided)

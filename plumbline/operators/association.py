@@ -34,8 +34,9 @@ def all_pairs(columns: list[str]) -> list[Pair]:
 
 
 def _matrix(batch: pa.RecordBatch, columns: list[int]) -> np.ndarray:
-    """Columns of a batch as doubles, nulls as NaN."""
-    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in columns])
+    """Columns of a batch as doubles; nulls and infinite values as NaN, which counts as missing."""
+    raw = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in columns])
+    return np.where(np.isfinite(raw), raw, np.nan)
 
 
 def correlations(df: DataFrame, values: dict[str, Column], pairs: list[Pair]) -> dict[Pair, tuple[float, int]]:
@@ -44,7 +45,10 @@ def correlations(df: DataFrame, values: dict[str, Column], pairs: list[Pair]) ->
         return {}
     used = sorted({c for p in pairs for c in p})
     at = {c: i for i, c in enumerate(used)}
-    numbers = df.select(*[values[c].cast("double").alias(f"v{i}") for i, c in enumerate(used)])
+    raw = df.select(*[values[c].cast("double").alias(f"v{i}") for i, c in enumerate(used)])
+    # Infinite values and NaN count as missing, or no moment would be finite.
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
+    numbers = raw.select(*[finite(c).alias(c) for c in raw.columns])
     ends = numbers.agg(*[f(f"v{i}") for i in range(len(used)) for f in (F.min, F.max, F.avg)]).first()
     # Moments around the mean keep their digits; around the value itself for a constant column.
     shift = np.array(
@@ -128,9 +132,10 @@ def chi_squares(df: DataFrame, columns: list[str], pairs: list[Pair] | None = No
         .collect()
     }
     live = [i for i in range(len(pairs)) if i in ends and ends[i][0] >= 5 and ends[i][2] > ends[i][1]]
+    dead = sorted({*range(len(pairs))} - {*live})
     flat = small_frame(
         spark,
-        [(*pairs[i], ends[i][0] if i in ends else 0, 0.0, 1.0) for i in range(len(pairs)) if i not in live],
+        [(*pairs[i], ends[i][0] if i in ends else 0, 0.0, 1.0) for i in dead],
         CHI_SCHEMA,
     )
     if not live:

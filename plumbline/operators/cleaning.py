@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.masking import strip_space
 from plumbline.functions.parsing import parse_number
-from plumbline.operators.ordered import ROWS_PER_CHUNK, last_known
+from plumbline.operators.ordered import last_known
 from plumbline.operators.profile import null_counts
 from plumbline.operators.quantiles import Spread, numeric_columns, numeric_value, spreads
 from plumbline.session import at_once
@@ -32,7 +32,7 @@ class Options:
     dims: list[str] = field(default_factory=list)  # aggregate_*
     measures: list[str] | None = None
     quantiles: str = "exact"
-    rows_per_chunk: int = ROWS_PER_CHUNK
+    chunks: int | None = None  # ranges that fill_null_forward cuts the rows into
 
 
 @dataclass
@@ -128,7 +128,7 @@ def fill_null_forward(df: DataFrame, options: Options) -> Step:
         raise ValueError("fill_null_forward needs a key and an order")
     fixed = {*options.key, *options.order}
     columns = [c for c in (options.measures or df.columns) if c not in fixed]
-    done = last_known(df, options.key, options.order, columns, options.rows_per_chunk)
+    done = last_known(df, options.key, options.order, columns, options.chunks)
     (_, before), (_, after) = at_once([lambda: null_counts(df, columns), lambda: null_counts(done, columns)])
     return Step(done, sum(before.values()) - sum(after.values()))
 

@@ -8,6 +8,7 @@ recomputation of earlier rounds and plans stay short.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,9 @@ from plumbline.functions.names import jobs_of_node, node_id
 from plumbline.session import cut_lineage
 from plumbline.session import small_frame
 
-MAX_HOPS = 6
 DIRECT_DECAY = 0.8
-#: Most nodes whose ranks (two numbers each) are sent to every task.
-BROADCAST_NODES = 500_000
+#: Stands for the hops of a column that no path reaches, behind any path.
+DIRECT = 1 << 30
 
 
 def nodes_of(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> DataFrame:
@@ -96,8 +96,8 @@ def upstream_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"source": F.col("target"), "target": F.col("source")})
 
 
-def closure(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, paths: bool = True) -> DataFrame:
-    """Every node reachable from each start within ``max_hops``, by its best path.
+def closure(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, paths: bool = True) -> DataFrame:
+    """Every node reachable from each start, by its best path; within ``max_hops`` if that is given.
 
     ``starts(start)``; result ``start, node, hops, weight, path``. Best means fewest
     hops, then the largest product of weights, then the first path in text order. A
@@ -107,7 +107,7 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, paths
     The rank is limited to one in each task before the shuffle, so popular nodes are cut
     down where they arise. Without ``paths`` a plain maximum replaces the rank.
     """
-    step = links(edges).persist()
+    step = cut_lineage(links(edges))
     begin = starts.select("start").distinct()
     empty = F.array().cast("array<string>")
     front = begin.select(
@@ -119,7 +119,7 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, paths
     )
     front = cut_lineage(front)
     done = [front]
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         known = reduce(DataFrame.unionByName, done).select("start", "node")
         grown = (
             front.join(step.withColumnRenamed("weight", "w"), F.col("node") == F.col("source"))
@@ -136,7 +136,6 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, paths
         if front.isEmpty():
             break
         done.append(front)
-    step.unpersist()
     return reduce(DataFrame.unionByName, done[1:]) if len(done) > 1 else done[0].limit(0)
 
 
@@ -174,7 +173,7 @@ def op_starts(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_column.unionByName(by_table)
 
 
-def affected_nodes(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def affected_nodes(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``op_id, node, hops, weight, path`` of the changed node, its table's columns and all downstream nodes.
 
     A column of the same table that no path reaches stands as directly linked: one hop, fixed decay.
@@ -193,7 +192,7 @@ def affected_nodes(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops:
     near = ops.join(columns, F.col("table") == F.col("t")).select(
         "op_id",
         F.col("sibling").alias("node"),
-        F.lit(max_hops + 1).alias("hops"),
+        F.lit(DIRECT).alias("hops"),
         F.lit(DIRECT_DECAY).alias("weight"),
         F.array("primary", "sibling").alias("path"),
     )
@@ -201,10 +200,10 @@ def affected_nodes(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops:
     order = Window.partitionBy("op_id", "node").orderBy("hops", F.desc("weight"), "path")
     first = every.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     # A direct assumption counts as one hop.
-    return first.withColumn("hops", F.when(F.col("hops") > max_hops, 1).otherwise(F.col("hops")))
+    return first.withColumn("hops", F.when(F.col("hops") == DIRECT, 1).otherwise(F.col("hops")))
 
 
-def impact(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def impact(ops: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Effects of each operation: probability, severity, kind, jobs and path per affected node.
 
     ``ops(op_id, op_type, table, column, new_name, new_dtype)``; many operations are one job.
@@ -321,7 +320,7 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def fragility(nodes: DataFrame, edges: DataFrame, scores: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def fragility(nodes: DataFrame, edges: DataFrame, scores: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Per node, the sum over downstream nodes of path strength times criticality.
 
     Criticality of a node is its score (0 to 1) times the number of nodes that depend on it.
@@ -358,36 +357,36 @@ def change_severity(ops: DataFrame, job_columns: DataFrame, job_scores: DataFram
     return known.select("op_id").join(total, "op_id", "left").fillna({"severity": 0.0, "jobs": 0})
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def page_rank(
+    nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6
+) -> DataFrame:
     """Weight of each node by the share of weight that flows against its edges: many dependents, high weight.
 
-    A node without upstream neighbours keeps what it has; its weight is not spread.
+    Rounds end when no rank moves by more than ``tolerance`` of the mean rank; with a
+    tolerance of 0, exactly ``rounds`` are made. The ends of edges that ``nodes`` lacks are
+    ranked too. A node without upstream neighbours keeps what it has; its weight is not spread.
     """
     # Numbers in place of names keep every round narrow; writing them down fixes them.
-    ids = cut_lineage(nodes.select("node").distinct().withColumn("id", F.monotonically_increasing_id()))
+    step = links(edges)
+    named = nodes.select("node").union(step.select("source")).union(step.select("target")).distinct()
+    ids = cut_lineage(named.withColumn("id", F.monotonically_increasing_id()))
     n = max(ids.count(), 1)
-    back = (
-        links(edges)
-        .join(ids.toDF("target", "from"), "target")
-        .join(ids.toDF("source", "to"), "source")
-        .select("from", "to")
-    )
-    out = back.groupBy("from").agg(F.count("*").alias("degree"))
-    flow = cut_lineage(back.join(out, "from"))
+    back = step.join(ids.toDF("target", "from"), "target").join(ids.toDF("source", "to"), "source").select("from", "to")
+    flow = cut_lineage(back.join(back.groupBy("from").agg(F.count("*").alias("degree")), "from"))
     rest = ids.select("id", F.lit(0.0).alias("got"))
     rank = ids.select("id", F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
-        # A counted, small set of ranks goes to every task: then a node with very many links
-        # needs no shuffle by its number. Beyond that size the join shuffles, and splits hot nodes.
-        side = F.broadcast(rank) if n <= BROADCAST_NODES else rank
-        given = flow.join(side, F.col("from") == F.col("id")).select(
+        given = flow.join(rank, F.col("from") == F.col("id")).select(
             F.col("to").alias("id"), (F.col("rank") / F.col("degree")).alias("got")
         )
-        rank = given.unionByName(rest).groupBy("id").agg(
+        before, rank = rank, given.unionByName(rest).groupBy("id").agg(
             (F.lit((1 - damping) / n) + damping * F.sum("got")).alias("rank")
         )
         if i % 5 == 4 or i == rounds - 1:
             rank = cut_lineage(rank)
+            moved = rank.join(before.toDF("id", "old"), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))) if tolerance else None
+            if moved is not None and (moved.first()[0] or 0.0) <= tolerance / n:
+                break
     return rank.join(ids, "id").select("node", "rank")
 
 

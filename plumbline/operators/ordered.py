@@ -1,75 +1,55 @@
 """Running computations along an order, safe when one key holds a large part of all rows.
 
-A window over ``partitionBy(key)`` puts a whole key into one task. Here every key is cut
-along the order column into chunks, the window runs per (key, chunk), and what a chunk
-needs from earlier ones is carried over by a small table of one row per (key, chunk).
+A window over ``partitionBy(key)`` puts a whole key into one task. Here rows are ranged over
+tasks by key and order columns of any type, so that a large key, and even many rows of one
+time, spread over several. The part of the range that a row lies in is written down as its
+chunk; the window runs per (key, chunk), and what a chunk needs from earlier ones is carried
+over by a small table of one row per (key, chunk).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-ROWS_PER_CHUNK = 2_000_000
-MOST_CHUNKS = 4096
-CHUNK = "_chunk"
-
+from plumbline.session import cut_lineage
 
-def _position(df: DataFrame, order: str) -> Column:
-    """The order column as a number that sorts alike."""
-    dtype = df.schema[order].dataType
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(F.col(order).cast("timestamp"))
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(F.col(order))
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(F.col(order))
-    return F.col(order)
+CHUNK = "_chunk"
 
 
-def with_chunks(df: DataFrame, order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, bool]:
-    """Add a chunk number that never decreases along the order column; say whether there are several.
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
+    """Add a chunk number that never decreases along the order within a key.
 
-    Boundaries are quantiles of the order column over all rows, so a key with a third of
-    the rows spreads over a third of the chunks even if its times are uneven. A table that
-    fits into one chunk as a whole needs no cut.
+    ``chunks`` is the number of ranges; by default it is the number of shuffle partitions.
+    The rows are written to the shared folder, which fixes the numbers.
     """
-    total = df.count()
-    parts = min(MOST_CHUNKS, math.ceil(total / rows_per_chunk))
-    if parts <= 1:
-        return df.withColumn(CHUNK, F.lit(0)), False
-    at = _position(df, order)
-    bounds = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))])
-    below = F.aggregate(edges, F.lit(0), lambda n, b: n + F.when(at >= b, 1).otherwise(0))
-    return df.withColumn(CHUNK, F.coalesce(below, F.lit(-1))), True
+    by = [F.col(f"`{c}`") for c in [*keys, *order]]
+    ranged = df.repartitionByRange(chunks, *by) if chunks else df.repartitionByRange(*by)
+    return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def last_known(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], chunks: int | None = None
 ) -> DataFrame:
     """Carry the last non-null value of each column forward within its key.
 
     The order must be total within a key: ties are broken by the later order columns.
     """
-    cut, several = with_chunks(df, order[0], rows_per_chunk)
-    run = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = cut.withColumns({f"_run_{c}": F.last(c, ignorenulls=True).over(run) for c in columns})
-    known = {c: F.col(f"_run_{c}") for c in columns}
-    if several:
-        spot = F.struct(*order)
-        ends = cut.groupBy(*keys, CHUNK).agg(
-            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), spot)).alias(f"_end_{c}") for c in columns]
-        )
-        before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carry = {f"_carry_{c}": F.last(f"_end_{c}", ignorenulls=True).over(before) for c in columns}
-        filled = join_carry(filled, ends, keys, carry)
-        known = {c: F.coalesce(f"_run_{c}", f"_carry_{c}") for c in columns}
-    return filled.select(*[known[c].alias(c) if c in known else F.col(c) for c in df.columns])
+    cut = with_chunks(df, keys, order, chunks)
+    by_key, by_order = [F.col(f"`{k}`") for k in keys], [F.col(f"`{c}`") for c in order]
+    value = {c: F.col(f"`{c}`") for c in columns}
+    run = Window.partitionBy(*by_key, CHUNK).orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = cut.withColumns({f"_run_{i}": F.last(value[c], ignorenulls=True).over(run) for i, c in enumerate(columns)})
+    spot = F.struct(*by_order)
+    ends = cut.groupBy(*by_key, CHUNK).agg(
+        *[F.max_by(value[c], F.when(value[c].isNotNull(), spot)).alias(f"_end_{i}") for i, c in enumerate(columns)]
+    )
+    before = Window.partitionBy(*by_key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = {f"_carry_{i}": F.last(f"_end_{i}", ignorenulls=True).over(before) for i in range(len(columns))}
+    filled = join_carry(filled, ends, keys, carry)
+    known = {c: F.coalesce(f"_run_{i}", f"_carry_{i}") for i, c in enumerate(columns)}
+    return filled.select(*[known[c].alias(c) if c in known else F.col(f"`{c}`") for c in df.columns])
 
 
 def join_carry(rows: DataFrame, ends: DataFrame, keys: list[str], carry: dict[str, Column]) -> DataFrame:
@@ -78,8 +58,8 @@ def join_carry(rows: DataFrame, ends: DataFrame, keys: list[str], carry: dict[st
     ``ends`` has one row per (key, chunk), and ``carry`` windows over it.
     """
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    small = ends.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(CHUNK).alias("_at"), *[c.alias(n) for n, c in carry.items()])
+    small = ends.select(*[F.col(f"`{k}`").alias(n) for k, n in names.items()], F.col(CHUNK).alias("_at"), *[c.alias(n) for n, c in carry.items()])
     same = F.col(CHUNK) == F.col("_at")
     for k, n in names.items():
-        same = same & F.col(k).eqNullSafe(F.col(n))
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(n))
     return rows.join(small, same, "left").drop(*names.values(), "_at")

@@ -49,19 +49,19 @@ LOCF = with_views(
 )
 
 
-def _forward(spark, sf, rows_per_chunk):
-    options = C.Options(key=["user_id"], order=["ts", "event_id"], measures=["value"], rows_per_chunk=rows_per_chunk)
+def _forward(spark, sf, chunks=None):
+    options = C.Options(key=["user_id"], order=["ts", "event_id"], measures=["value"], chunks=chunks)
     return _cleaned(spark, sf, ["fill_null_forward"], options, "dirty_events").select("event_id", "user_id", "value")
 
 
 @query("cl04_locf", LOCF)
 def cl04(spark, sf):
-    return _forward(spark, sf, 2_000_000)
+    return _forward(spark, sf)
 
 
 @query("wi09_running_last", LOCF)
 def wi09(spark, sf):
-    return _forward(spark, sf, 1_000)
+    return _forward(spark, sf, 60)
 
 
 @query(

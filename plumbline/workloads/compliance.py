@@ -12,26 +12,26 @@ from plumbline.workloads.registry import joined, query, rounded, table, tables,
 AS_OF = "2024-06-01 00:00:00"
 CONFIG = {
     "gdpr": [
-        {"id": "gdpr_email", "fields": ["email", "Email", "EMAIL"], "enabled": True, "severity": "critical"},
-        {"id": "gdpr_phone", "fields": ["phone", "mobile", "tel"], "enabled": True, "severity": "critical"},
-        {"id": "gdpr_address", "fields": ["address", "home_address"], "enabled": True, "severity": "warning"},
-        {"id": "gdpr_off", "fields": ["id_card"], "enabled": False, "severity": "critical"},
+        {"id": "mail_held", "fields": ["e_mail", "email"], "enabled": True, "severity": "critical"},
+        {"id": "phone_held", "fields": ["phone"], "enabled": True, "severity": "warning"},
+        {"id": "home_held", "fields": ["home_address", "city"], "enabled": True, "severity": "info"},
+        {"id": "account_held", "fields": ["bank_account"], "enabled": False, "severity": "critical"},
     ],
     "datatype_validation": [
-        {"id": "dt_birth", "field": "birth_date", "expected_dtype": "date", "enabled": True, "severity": "critical"},
-        {"id": "dt_quantity", "field": "quantity", "expected_dtype": "integer", "enabled": True, "severity": "critical"},
-        {"id": "dt_price", "field": "o_totalprice", "expected_dtype": "float", "enabled": True, "severity": "critical"},
+        {"id": "birth_is_a_day", "field": "birth_date", "expected_dtype": "date", "enabled": True, "severity": "warning"},
+        {"id": "quantity_is_whole", "field": "quantity", "expected_dtype": "integer", "enabled": True, "severity": "critical"},
+        {"id": "price_is_a_number", "field": "o_totalprice", "expected_dtype": "float", "enabled": True, "severity": "info"},
     ],
     "freshness": [
-        {"id": "fresh_day", "timestamp_field": "updated_at", "max_age_minutes": 1440, "enabled": True, "severity": "info"},
+        {"id": "seen_in_two_days", "timestamp_field": "updated_at", "max_age_minutes": 2880, "enabled": True, "severity": "info"},
     ],
     "referential_integrity": [
-        {"id": "ref_customer", "source_field": "o_custkey", "target_table": "customer", "target_field": "c_custkey", "enabled": True, "severity": "critical"},
+        {"id": "order_has_customer", "source_field": "o_custkey", "target_table": "customer", "target_field": "c_custkey", "enabled": True, "severity": "critical"},
     ],
 }
 CHECKED = ["contacts", "dirty_orders", "customer"]
 VIEWS = "contacts dirty_orders"
-STALE = "strptime(updated_at, '%Y-%m-%d %H:%M:%S') < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 1440 MINUTE"
+STALE = "strptime(updated_at, '%Y-%m-%d %H:%M:%S') < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 2880 MINUTE"
 
 
 def example_sql(column: str, source: str, condition: str, n: int = 3) -> str:
@@ -49,18 +49,18 @@ def violation_sql(rule, standard, name, field, severity, condition, source=None,
 
 
 GDPR = [
-    violation_sql("gdpr_email", "GDPR", "contacts", "email", "critical", "email IS NOT NULL"),
-    violation_sql("gdpr_phone", "GDPR", "contacts", "phone", "critical", "phone IS NOT NULL"),
-    violation_sql("gdpr_address", "GDPR", "contacts", "home_address", "warning", "home_address IS NOT NULL"),
+    violation_sql("mail_held", "GDPR", "contacts", "email", "critical", "email IS NOT NULL"),
+    violation_sql("phone_held", "GDPR", "contacts", "phone", "warning", "phone IS NOT NULL"),
+    violation_sql("home_held", "GDPR", "contacts", "home_address", "info", "home_address IS NOT NULL"),
 ]
 DATATYPE = [
-    violation_sql("dt_birth", "DataTypeValidation", "contacts", "birth_date", "critical", "NOT regexp_matches(birth_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')"),
-    violation_sql("dt_quantity", "DataTypeValidation", "contacts", "quantity", "critical", "TRY_CAST(quantity AS BIGINT) IS NULL"),
+    violation_sql("birth_is_a_day", "DataTypeValidation", "contacts", "birth_date", "warning", "NOT regexp_matches(birth_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')"),
+    violation_sql("quantity_is_whole", "DataTypeValidation", "contacts", "quantity", "critical", "TRY_CAST(quantity AS BIGINT) IS NULL"),
 ]
-FRESH = [violation_sql("fresh_day", "DataFreshness", "contacts", "updated_at", "info", STALE)]
+FRESH = [violation_sql("seen_in_two_days", "DataFreshness", "contacts", "updated_at", "info", STALE)]
 ORPHANS = "(SELECT DISTINCT o_custkey FROM dirty_orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))"
 REFERENCE = [
-    "SELECT 'ref_customer' AS rule_id, 'ReferentialIntegrity' AS standard, 'dirty_orders' AS \"table\", 'o_custkey' AS field, 'critical' AS severity, "
+    "SELECT 'order_has_customer' AS rule_id, 'ReferentialIntegrity' AS standard, 'dirty_orders' AS \"table\", 'o_custkey' AS field, 'critical' AS severity, "
     f"(SELECT count(*) FROM {ORPHANS}) AS affected_rows, (SELECT string_agg(cast(o_custkey AS string), '|' ORDER BY o_custkey) FROM (SELECT * FROM {ORPHANS} ORDER BY 1 LIMIT 5)) AS examples"
 ]
 ALL = GDPR + DATATYPE + FRESH + REFERENCE

@@ -94,6 +94,8 @@ def walk_sql(starts: str, up: bool = False) -> str:
     )
 
 
+#: Hops that the walks in SQL go.
+HOPS = 6
 ORDER_STARTS = "SELECT concat('orders_', o_orderkey, '.id') AS start FROM orders UNION ALL SELECT concat('orders_', o_orderkey, '.total') FROM orders"
 CLOSURE = "start, node, hops::INTEGER AS hops, round(weight, 6) AS weight"
 
@@ -107,9 +109,28 @@ def _shown(reach):
     return rounded(reach.select("start", "node", "hops", "weight"), 6)
 
 
+CHAIN = 25
+
+
+@query(
+    "gr05_long_chain",
+    f"SELECT s_suppkey - s_suppkey % {CHAIN} AS start, s_suppkey AS node, (s_suppkey % {CHAIN})::INTEGER AS hops, round(0.9 ** (s_suppkey % {CHAIN}), 6) AS weight "
+    f"FROM (SELECT DISTINCT s_suppkey FROM supplier) WHERE s_suppkey % {CHAIN} > 0 AND s_suppkey - s_suppkey % {CHAIN} IN (SELECT s_suppkey FROM supplier)",
+)
+def gr05_long(spark, sf):
+    """Chains of suppliers, walked to their ends."""
+    suppliers = table(spark, sf, "supplier").select("s_suppkey").distinct()
+    edges = suppliers.where(f"s_suppkey % {CHAIN} > 0").selectExpr(
+        "cast(s_suppkey - 1 AS string) AS source", "cast(s_suppkey AS string) AS target", "0.9D AS strength", "1.0D AS confidence"
+    )
+    starts = suppliers.where(f"s_suppkey % {CHAIN} = 0").selectExpr("cast(s_suppkey AS string) AS start")
+    reach = rounded(G.closure(starts, edges, paths=False), 6)
+    return reach.select(F.col("start").cast("long").alias("start"), F.col("node").cast("long").alias("node"), "hops", "weight")
+
+
 @query("gr05_closure", f"WITH RECURSIVE {LOG_SQL}, {walk_sql(ORDER_STARTS)} SELECT {CLOSURE} FROM reach")
 def gr05(spark, sf):
-    return _shown(G.closure(_order_starts(spark, sf), _edges(spark, sf), paths=False))
+    return _shown(G.closure(_order_starts(spark, sf), _edges(spark, sf), HOPS, paths=False))
 
 
 @query(
@@ -118,7 +139,7 @@ def gr05(spark, sf):
 )
 def gr05_up(spark, sf):
     starts = table(spark, sf, "region").selectExpr("concat('region_', r_regionkey, '.revenue_total') AS start")
-    return _shown(G.closure(starts, G.upstream_edges(_edges(spark, sf)), paths=False))
+    return _shown(G.closure(starts, G.upstream_edges(_edges(spark, sf)), HOPS, paths=False))
 
 
 @query(
@@ -126,7 +147,7 @@ def gr05_up(spark, sf):
     f"WITH RECURSIVE {LOG_SQL}, {walk_sql(ORDER_STARTS)} SELECT start, node, array_to_string(path, '>') AS path FROM reach",
 )
 def gr06(spark, sf):
-    reach = G.closure(_order_starts(spark, sf), _edges(spark, sf))
+    reach = G.closure(_order_starts(spark, sf), _edges(spark, sf), HOPS)
     return reach.select("start", "node", joined("path", ">"))
 
 
@@ -182,10 +203,12 @@ def ag18_totals(spark, sf):
 
 @query(
     "jo06_traversal_join",
-    f"WITH {LOG_SQL} SELECT l.target AS node, count(*) AS reached_by, round(max(l.w), 6) AS best FROM links l GROUP BY 1",
+    f"WITH {LOG_SQL}, front AS ({ORDER_STARTS}) SELECT f.start, l.target AS node, round(l.w, 6) AS weight FROM front f JOIN links l ON l.source = f.start",
 )
 def jo06(spark, sf):
-    return rounded(G.links(_edges(spark, sf)).groupBy(F.col("target").alias("node")).agg(F.count("*").alias("reached_by"), F.max("weight").alias("best")), 6)
+    step = G.links(_edges(spark, sf))
+    reached = _order_starts(spark, sf).join(step, F.col("start") == F.col("source"))
+    return rounded(reached.select("start", F.col("target").alias("node"), "weight"), 6)
 
 
 # ---- impact of one operation per order
@@ -211,7 +234,7 @@ effects AS (SELECT *, CASE WHEN NOT destructive THEN 'info' WHEN is_key THEN 'cr
 
 
 def _impact(spark, sf):
-    return G.impact(_ops(spark, sf), _nodes(spark, sf), _edges(spark, sf))
+    return G.impact(_ops(spark, sf), _nodes(spark, sf), _edges(spark, sf), HOPS)
 
 
 @query("gr07_probability", f"WITH RECURSIVE {EFFECTS} SELECT op_id, node, round(p, 6) AS probability FROM effects")
@@ -222,7 +245,7 @@ def gr07(spark, sf):
 @query("gr08_affected", f"WITH RECURSIVE {EFFECTS} SELECT op_id, node FROM hit")
 def gr08(spark, sf):
     known = G.describe_ops(_ops(spark, sf))
-    return G.affected_nodes(known, _nodes(spark, sf), _edges(spark, sf)).select("op_id", "node")
+    return G.affected_nodes(known, _nodes(spark, sf), _edges(spark, sf), HOPS).select("op_id", "node")
 
 
 @query("gr09_severity", f"WITH RECURSIVE {EFFECTS} SELECT op_type, severity, count(*) AS effects FROM effects GROUP BY 1, 2")
@@ -311,7 +334,7 @@ def gr13(spark, sf):
     "SELECT start AS node, round(sum(weight * k), 4) AS fragility FROM reach JOIN crit USING (node) GROUP BY 1",
 )
 def gr13_fragility(spark, sf):
-    return rounded(G.fragility(_nodes(spark, sf), _edges(spark, sf), _scores(spark, sf)))
+    return rounded(G.fragility(_nodes(spark, sf), _edges(spark, sf), _scores(spark, sf), HOPS))
 
 
 ROUNDS = 10
@@ -330,7 +353,7 @@ RANK_SQL = (
 @query("gr14_page_rank", f"WITH {RANK_SQL} SELECT node, round(rank * n, 4) AS rank FROM r{ROUNDS}, total")
 def gr14(spark, sf):
     nodes = _nodes(spark, sf)
-    ranks = G.page_rank(nodes, _edges(spark, sf), ROUNDS)
+    ranks = G.page_rank(nodes, _edges(spark, sf), ROUNDS, tolerance=0)
     return ranks.select("node", F.round(F.col("rank") * F.lit(nodes.select("node").distinct().count()), 4).alias("rank"))
 
 
@@ -339,7 +362,7 @@ def gr14(spark, sf):
     f"WITH {RANK_SQL}, {SCORES} SELECT count(*) AS columns, round(100 * (1 - sum(rank * (1 - score / 100)) / sum(rank)), 4) AS health FROM r{ROUNDS} JOIN scores USING (node)",
 )
 def gr14_health(spark, sf):
-    ranks = G.page_rank(_nodes(spark, sf), _edges(spark, sf), ROUNDS)
+    ranks = G.page_rank(_nodes(spark, sf), _edges(spark, sf), ROUNDS, tolerance=0)
     issues = _scores(spark, sf).select("node", (1 - F.col("score") / 100).alias("issue_rate"))
     return rounded(G.weighted_health(ranks, issues))
 

@@ -48,9 +48,9 @@ def test_run_anomalies(spark):
 
 
 def test_presets(spark):
-    df = spark.createDataFrame([(1, "alice@example.com"), (2, "bob@test.com"), (3, None)], "id int, email string")
+    df = spark.createDataFrame([(8, "post@north.example"), (9, None), (10, "x@y.example")], "id int, email string")
     done = C.apply_presets(df)
-    assert [r["email"] for r in done.masked.orderBy("id").collect()] == ["a****@example.com", "b****@test.com", None]
+    assert [r["email"] for r in done.masked.orderBy("id").collect()] == ["p****@north.example", None, "x****@y.example"]
     assert [v[0] for v in done.violations] == ["gdpr_email_mask"]
     assert C.apply_presets(df, dry_run=True).masked is None
     assert not C.apply_presets(df.limit(0)).success
@@ -125,10 +125,10 @@ def events(spark, rows):
     return df.select("k", F.timestamp_seconds("s").alias("ts"), "i")
 
 
-@pytest.mark.parametrize("rows_per_chunk", [100_000, 61])
-def test_admission_against_brute_force(spark, rows_per_chunk):
+@pytest.mark.parametrize("chunks", [1, 25])
+def test_admission_against_brute_force(spark, chunks):
     rows = event_rows()
-    got = A.admit(events(spark, rows).repartition(5), "k", "ts", "i", 3, 30, rows_per_chunk).collect()
+    got = A.admit(events(spark, rows).repartition(5), "k", "ts", "i", 3, 30, chunks).collect()
     assert {r["i"]: (r["accepted"], r["remaining"]) for r in got} == brute(rows, 3, 30)
 
 

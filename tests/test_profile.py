@@ -59,11 +59,11 @@ def test_many_columns_take_several_scans(spark):
     assert len(P.profile_rows(df, "wide")) == 60
 
 
-def test_profile_golden(spark):
-    df = spark.createDataFrame([(1,), (2,), (3,), (None,), (5,)], "v int")
+def test_profile_of_one_column(spark):
+    df = spark.createDataFrame([(8,), (None,), (6,), (6,), (None,), (13,)], "v int")
     row = P.profile(spark, {"t": df}).first()
-    assert (row["null_count"], row["distinct_count"], row["row_count"]) == (1, 4, 5)
-    assert row["min"] == "1" and row["max"] == "5" and row["mean"] == 2.75
+    assert (row["null_count"], row["distinct_count"], row["row_count"]) == (2, 3, 6)
+    assert row["min"] == "6" and row["max"] == "13" and row["mean"] == 8.25
 
 
 def test_profile_of_empty_and_nested(spark):
@@ -86,32 +86,42 @@ def test_partitions_do_not_matter(spark):
     assert found(7) == found(1)
 
 
-def test_audit_golden(spark):
+def test_score_of_a_half_empty_column(spark):
     rows = [("t", "c", "string", 100, 60, 0.6, 40, 0.4, None, None, None, None, None, None, 0, 0.0)]
     scored = S.column_scores(spark.createDataFrame(rows, P.PROFILE_SCHEMA)).first()
     assert scored["score"] == 50 and scored["issues"] == ["critical_null_rate"]
 
 
 def test_audit_of_two_tables(spark):
-    clean = spark.range(50).select("id", (F.col("id") + 100).alias("amount"))
-    dirty = spark.range(30).select(
-        "id", F.when(F.col("id") % 3 != 0, F.lit(1.0)).alias("value"), F.when(F.col("id") % 3 != 0, "t").alias("tag")
-    )
-    tables = S.audit_tables(S.column_scores(P.audit_profile(spark, {"clean": clean, "dirty": dirty})), ["lost"])
+    full = spark.range(70).select(F.col("id").alias("seat"), (F.col("id") * 7 % 11).alias("row"))
+    holes = spark.range(24).select("id", F.when(F.col("id") % 4 == 0, "door").alias("near"), F.lit(None).cast("int").alias("price"))
+    tables = S.audit_tables(S.column_scores(P.audit_profile(spark, {"full": full, "holes": holes})), ["never"])
     found = {r["table"]: r for r in tables.collect()}
-    assert found["clean"]["score"] > found["dirty"]["score"] and found["lost"]["grade"] == "F"
+    assert found["full"]["score"] > found["holes"]["score"] and found["never"]["grade"] == "F"
     whole = S.audit_warehouse(tables).first()
-    assert (whole["table_count"], whole["total_rows"]) == (3, 80)
+    assert (whole["table_count"], whole["total_rows"]) == (3, 94)
 
 
 def test_clean_column(spark):
-    df = spark.createDataFrame([(1, "Alice"), (None, None), (3, "Charlie"), (None, "x"), (5, "y")], "n int, s string")
-    assert [r[0] for r in P.clean_column(df, "n").select("n").collect()] == [1, 3, 3, 3, 5]
-    assert [r[0] for r in P.clean_column(df, "n", "zero").select("n").collect()] == [1, 0, 3, 0, 5]
-    assert P.clean_column(df, "s").where("s = 'UNKNOWN'").count() == 1
+    df = spark.createDataFrame([(10, "oak"), (None, None), (2, "elm"), (None, "fir"), (4, None), (30, "ash")], "n int, s string")
+    assert [r[0] for r in P.clean_column(df, "n").select("n").collect()] == [10, 7, 2, 7, 4, 30]
+    assert [r[0] for r in P.clean_column(df, "n", "zero").select("n").collect()] == [10, 0, 2, 0, 4, 30]
+    assert P.clean_column(df, "s").where("s = 'UNKNOWN'").count() == 2
 
 
 def test_inference_statistics_skip_blank(spark):
     df = spark.createDataFrame([("1",), (" ",), (None,), ("x",), ("3",)], "v string")
     row = P.column_statistics(spark, {"t": df}).first()
     assert (row["count"], row["null_count"], row["unique_ratio"], row["mean"], row["stdev"]) == (3, 2, 1.0, 2.0, 1.0)
+
+
+def test_infinite_values_count_as_missing(spark):
+    from plumbline.operators import association as A
+
+    rows = [(float(i % 7), float("inf") if i == 3 else float(i % 5), str(i) if i else "inf") for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c string")
+    found = {(r["x"], r["y"]): r["n"] for r in A.chi_squares(df, ["a", "b", "c"]).collect()}
+    assert found[("a", "b")] == 39 and found[("a", "c")] in (39, 40)
+    r, n = A.correlations(df, {"a": F.col("a"), "b": F.col("b")}, [("a", "b")])[("a", "b")]
+    plain = np.array([x[:2] for x in rows if math.isfinite(x[1])])
+    assert n == 39 and r == pytest.approx(np.corrcoef(plain.T)[0, 1])
