@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.names import clean_name_text
+from plumbline.functions.names import NAME_LENGTH, clean_name_text
 from plumbline.operators.profile import null_counts
 from plumbline.sources.tables import write_table
 from plumbline.session import small_frame
@@ -17,12 +20,16 @@ INGEST_SCHEMA = "file string, `table` string, status string, row_count long, col
 LINEAGE_SCHEMA = "`table` string, `column` string, source_file string, dtype string, null_pct double"
 
 
+def _any_case(text: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" for c in text)
+
+
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """Data files below a folder; only names and sizes are read."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}")
+        .option("pathGlobFilter", "*.{" + ",".join(_any_case(x) for x in SUFFIXES) + "}")
         .load(folder)
         .select("path", "length")
     )
@@ -35,18 +42,47 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """With a schema one scan suffices and bad lines are kept apart; without, types are inferred first."""
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool | None = None
+) -> DataFrame:
+    """With a schema one scan suffices and bad lines are kept apart; without, types are inferred first.
+
+    Quotes within quotes are doubled. Records may hold line breaks within quotes: a file
+    with a line whose quotes are not in pairs is read as a whole; all others are split over
+    tasks. ``multi_line`` says so beforehand and spares the look.
+    """
+    whole = has_open_quote(spark, path) if multi_line is None else multi_line
+    options = {"header": True, "multiLine": whole, "quote": '"', "escape": '"'}
     if schema is None:
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return spark.read.csv(path, inferSchema=True, **options)
     kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.csv(path, header=True, schema=kept, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    return spark.read.csv(path, schema=kept, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
-    """An array file is one record to the reader; JSON lines split over tasks and suit large data."""
+def has_open_quote(spark: SparkSession, path: str) -> bool:
+    """Whether any line has an odd number of quotes, so that a record may go on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool | None = None) -> DataFrame:
+    """JSON lines split over tasks and suit large data; an array, or one object over several lines, is read as a whole.
+
+    Without ``lines`` the first line that is not blank tells which of the two it is.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=not lines)
+    return reader.json(path, multiLine=not (is_json_lines(spark, path) if lines is None else lines))
+
+
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is an object by itself."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    if first is None:
+        return True
+    try:
+        return isinstance(json.loads(first["value"].lstrip("\ufeff")), dict)
+    except ValueError:
+        return False
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -60,9 +96,26 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     return READERS[path.rsplit(".", 1)[-1].lower()](spark, path)
 
 
+def _short_hash(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()[:8]
+
+
 def table_name(layer: str, path: str) -> str:
+    """``<layer>_<stem>`` cleaned; a name that would be cut ends in a hash of the whole one instead."""
     stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    return clean_name_text(f"{layer}_{stem}")
+    whole = f"{layer}_{stem}"
+    if len(whole) <= NAME_LENGTH:
+        return clean_name_text(whole)
+    return f"{clean_name_text(whole)[: NAME_LENGTH - 9]}_{_short_hash(whole)}"
+
+
+def table_names(layer: str, paths: list[str]) -> list[str]:
+    """A name per path; paths whose names are equal get a hash of the path at the end."""
+    names = [table_name(layer, p) for p in paths]
+    return [
+        n if len({q for q, m in zip(paths, names) if m == n}) == 1 else f"{n[: NAME_LENGTH - 9]}_{_short_hash(p)}"
+        for p, n in zip(paths, names)
+    ]
 
 
 def lineage_rows(df: DataFrame, table: str, source_file: str) -> list[tuple]:
@@ -81,11 +134,11 @@ def ingest(
 
     Returns status rows, where a failed file is recorded and does not stop the others,
     and the lineage rows of the loaded columns. Statistics are taken from the stored
-    table, so a text source is parsed once.
+    table, so a text source is parsed once. Files of one name in several folders become
+    several tables (``table_names``).
     """
     status, lineage = [], []
-    for path in paths:
-        table = table_name(layer, path)
+    for path, table in zip(paths, table_names(layer, paths)):
         try:
             write_table(read_file(spark, path), table, f"{root}/{table}" if root else None)
             stored = spark.table(table)

@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Stand-ins for commas and line breaks within quotes while a text is cut; not used by texts.
+COMMA, BREAK, RETURN = "\ue000", "\ue001", "\ue002"
 
 
 def _unquote(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), '""', '"')
+    inner = F.translate(c, COMMA + BREAK + RETURN, ",\n\r")
+    return F.regexp_replace(F.regexp_replace(F.trim(inner), r'^"|"$', ""), '""', '"')
+
+
+def _sheltered(text: Column) -> Column:
+    """The text with commas and line breaks within quotes replaced; every second part between quotes is inside."""
+    parts = F.transform(
+        F.split(text, '"'), lambda part, i: F.when(i % 2 == 1, F.translate(part, ",\n\r", COMMA + BREAK + RETURN)).otherwise(part)
+    )
+    return F.array_join(parts, '"')
 
 
 def _csv_records(text: Column, fields: list[str]) -> Column:
     """Records of a CSV text by the names in its first line; null without a known name there."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
-    header = F.transform(F.split(F.get(lines, F.lit(0)), COMMA), _unquote)
+    lines = F.filter(F.split(_sheltered(text), r"\r?\n"), lambda x: F.trim(x) != "")
+    header = F.transform(F.split(F.get(lines, F.lit(0)), ","), _unquote)
 
     def record(line: Column) -> Column:
-        values = F.transform(F.split(line, COMMA), _unquote)
+        values = F.transform(F.split(line, ","), _unquote)
 
         def value(name: str) -> Column:
             at = F.array_position(header, F.lit(name))
@@ -35,14 +45,15 @@ def _csv_records(text: Column, fields: list[str]) -> Column:
 def parse_payloads(df: DataFrame, column: str, fields: list[str], keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Records of every payload as text columns, and the payloads that are neither JSON nor CSV.
 
-    JSON is tried first. All in one projection: no shuffle, no Python.
+    JSON is tried first; a text that looks like JSON and is none is tried as CSV. All in one
+    projection: no shuffle, no Python.
     """
     keep = keep or []
     record = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     text = F.col(column)
     looks_json = F.trim(text).rlike(r"^[\[{]")
     as_json = F.when(looks_json, F.from_json(text, T.ArrayType(record)))
-    records = F.coalesce(F.filter(as_json, lambda r: r.isNotNull()), F.when(~looks_json, _csv_records(text, fields)))
+    records = F.coalesce(F.filter(as_json, lambda r: r.isNotNull()), _csv_records(text, fields))
     parsed = df.select(*keep, text.alias("_payload"), records.alias("_records"))
     good = parsed.where(F.col("_records").isNotNull()).select(*keep, F.inline("_records"))
     bad = parsed.where(F.col("_records").isNull()).select(*keep, F.col("_payload").alias(column))

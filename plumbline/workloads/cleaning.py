@@ -8,7 +8,7 @@ from plumbline.operators import cleaning as C
 from plumbline.operators import profile as P
 from plumbline.plans import cleaning_jobs as J
 from plumbline.session import small_frame
-from plumbline.workloads.registry import profile_sql, query, rounded, spread_sql, table, view, with_views
+from plumbline.workloads.registry import COLUMNS, profile_sql, query, rounded, spread_sql, table, view, with_views
 
 ORDERS = "dirty_orders"
 NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -201,13 +201,14 @@ def fi02(spark, sf):
 
 @query(
     "wi01_dedup",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1",
+    "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY "
+    + ", ".join(c for c in COLUMNS["lineitem"] if c not in ("l_orderkey", "l_linenumber"))
+    + ") AS rn FROM lineitem) WHERE rn = 1",
 )
 def wi01(spark, sf):
-    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    options = C.Options(key=names[:2], order=names[2:])
-    return C.clean(table(spark, sf, "lineitem").select(*names), ["deduplicate"], options).df
+    keys = ["l_orderkey", "l_linenumber"]
+    options = C.Options(key=keys, order=[c for c in COLUMNS["lineitem"] if c not in keys])
+    return C.clean(table(spark, sf, "lineitem"), ["deduplicate"], options).df
 
 
 @query(
@@ -222,10 +223,10 @@ def wi02(spark, sf):
     return J.clean_by_rules(df, [{"id": "u", "type": "uniqueness", "field": "email"}], apply_fixes=True, order=["id"]).df
 
 
-@query("se01_distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem")
+@query("se01_distinct", "SELECT DISTINCT * FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)")
 def se01(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount")
-    return C.clean(df, ["deduplicate_all"]).df
+    df = table(spark, sf, "lineitem")
+    return C.clean(df.unionByName(df.where("l_linenumber = 1")), ["deduplicate_all"]).df
 
 
 ROLLUP = C.Options(dims=["l_returnflag", "l_linestatus"], measures=["l_quantity", "l_extendedprice"])

@@ -10,7 +10,7 @@ from plumbline.sources import files, payloads
 from plumbline.sources import tables as S
 from plumbline.workloads.registry import query, table, tables, view, with_views
 
-ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 ORDER_COLUMNS = ORDERS.split(", ")
 
 
@@ -26,10 +26,10 @@ def io01(spark, sf):
     return files.scan_files(spark, sf).where("size_kb > 0").select("name", "suffix")
 
 
-@query("io02_csv", "SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("io02_csv", "SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def io02(spark, sf):
     path = scratch_path(spark, "orders.csv")
-    _plain_orders(spark, sf).write.csv(path, header=True)
+    _plain_orders(spark, sf).write.csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
     return files.read_csv(spark, path)
 
 
@@ -41,12 +41,33 @@ def io02_schema(spark, sf):
     return files.read_csv(spark, path, orders.schema)
 
 
+# A line break and doubled quotes within a field of every third order.
+BROKEN = "CASE WHEN o_orderkey % 3 = 0 THEN concat('say \"', o_orderpriority, '\",', chr(10), 'twice') ELSE o_orderpriority END AS note"
+
+
+@query("io02_csv_quoted", f"SELECT o_orderkey::INTEGER AS o_orderkey, {BROKEN} FROM orders")
+def io02_quoted(spark, sf):
+    path = scratch_path(spark, "quoted.csv")
+    table(spark, sf, "orders").selectExpr("o_orderkey", BROKEN).write.csv(path, header=True, quote='"', escape='"')
+    return files.read_csv(spark, path)
+
+
 @query("io03_json", f"SELECT {ORDERS} FROM orders")
 def io03(spark, sf):
     path = scratch_path(spark, "orders.json")
     orders = _plain_orders(spark, sf)
     orders.write.json(path)
-    return files.read_json(spark, path, lines=True).select(*ORDER_COLUMNS)
+    return files.read_json(spark, path, orders.schema).select(*ORDER_COLUMNS)
+
+
+@query("io03_json_array", f"SELECT {ORDERS} FROM orders")
+def io03_array(spark, sf):
+    """One array per customer's file partition: each part file is a single record to the reader."""
+    path = scratch_path(spark, "arrays.json")
+    orders = _plain_orders(spark, sf)
+    grouped = orders.groupBy(F.pmod("o_custkey", F.lit(16)).alias("part")).agg(F.collect_list(F.struct(*ORDER_COLUMNS)).alias("rows"))
+    grouped.select(F.to_json("rows").alias("value")).repartition(16).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_json(spark, path, orders.schema).select(*ORDER_COLUMNS)
 
 
 @query("io04_parquet", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
@@ -60,10 +81,10 @@ def _stored(spark, sf, names, prefix):
         S.write_table(df, f"{prefix}{n}", f"{root}/{n}")
 
 
-@query("io05_load_table", "SELECT c_custkey, c_acctbal FROM customer")
+@query("io05_load_table", "SELECT * FROM customer")
 def io05(spark, sf):
     _stored(spark, sf, ["customer"], "io05_")
-    return S.load_table(spark, "io05_customer", ["c_custkey", "c_acctbal"])
+    return S.load_table(spark, "io05_customer")
 
 
 @query("io06_load_all", "SELECT 'io06_nation' AS \"table\", count(*) AS rows FROM nation UNION ALL SELECT 'io06_region', count(*) FROM region UNION ALL SELECT 'io06_supplier', count(*) FROM supplier")
@@ -99,6 +120,35 @@ def io09(spark, sf):
     return status.drop("file", "error")
 
 
+@query(
+    "io09_ingest_lines",
+    "SELECT 'success' AS status, count(*) AS row_count, 6::INTEGER AS column_count FROM orders",
+)
+def io09_lines(spark, sf):
+    """JSON lines keep all their records."""
+    path = scratch_path(spark, "lines") + "/orders.json"
+    _plain_orders(spark, sf).write.json(path)
+    status, _ = files.ingest(spark, [path], "ods_lines", scratch_path(spark, "ods_lines"))
+    return status.select("status", "row_count", "column_count")
+
+
+@query(
+    "io09_same_name",
+    "SELECT 'success' AS status, count(*) AS row_count FROM nation UNION ALL SELECT 'success', count(*) FROM supplier",
+)
+def io09_same(spark, sf):
+    """Two files of one name both stay."""
+    root = scratch_path(spark, "twice")
+    paths = []
+    for folder, name in (("a", "nation"), ("b", "supplier")):
+        paths.append(f"{root}/{folder}/y.csv")
+        table(spark, sf, name).write.csv(paths[-1], header=True)
+    status, _ = files.ingest(spark, paths, "ods_twice", scratch_path(spark, "ods_twice"))
+    stored = [r["table"] for r in status.collect()]
+    parts = [spark.table(t).agg(F.lit("success").alias("status"), F.count("*").alias("row_count")) for t in stored]
+    return parts[0].unionByName(parts[1])
+
+
 @query("io10_write_table", with_views("dirty_orders", "SELECT * FROM dirty_orders"))
 def io10(spark, sf):
     path = scratch_path(spark, "dwd_orders")
@@ -149,13 +199,15 @@ def io12_bad(spark, sf):
     return bad
 
 
-@query("io13_json_lines", "SELECT concat('{\"c_custkey\":', c_custkey, ',\"c_mktsegment\":\"', c_mktsegment, '\"}') AS line FROM customer")
+@query(
+    "io13_json_lines",
+    "SELECT concat('{\"c_custkey\":', c_custkey, ',\"c_name\":\"', c_name, '\",\"c_nationkey\":', c_nationkey, ',\"c_acctbal\":', c_acctbal, "
+    "',\"c_mktsegment\":\"', c_mktsegment, '\"}') AS line FROM customer",
+)
 def io13(spark, sf):
-    return payloads.serialize(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "json")
+    return payloads.serialize(table(spark, sf, "customer"), "json")
 
 
-@query("io13_csv_lines", "SELECT concat(c_custkey, ',', c_mktsegment) AS line FROM customer")
+@query("io13_csv_lines", "SELECT concat_ws(',', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS line FROM customer")
 def io13_csv(spark, sf):
-    return payloads.serialize(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "csv")
-
-
+    return payloads.serialize(table(spark, sf, "customer"), "csv")

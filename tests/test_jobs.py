@@ -73,10 +73,11 @@ def test_text_findings_read_whole_texts(spark):
 
 
 def test_payloads(spark):
-    rows = [(1, '[{"id": 1, "name": "a"}, {"id": 2}]'), (2, '{"id": 3, "name": "c"}'), (3, 'name,id\r\n"x, y",4\n,5'), (4, "no records"), (5, "[broken"), (6, None)]
+    rows = [(1, '[{"id": 1, "name": "a"}, {"id": 2}]'), (2, '{"id": 3, "name": "c"}'), (3, 'name,id\r\n"x, y",4\n,5'), (4, "no records"), (5, "[broken"), (6, None),
+        (7, 'id,name\n6,"two\nlines, ""quoted"""\n'), (8, '[x],id,name\n1,7,b')]
     df = spark.createDataFrame(rows, "n int, body string")
     good, bad = payloads.parse_payloads(df, "body", ["id", "name"], ["n"])
-    assert sorted(tuple(r) for r in good.fillna("").collect()) == [(1, "1", "a"), (1, "2", ""), (2, "3", "c"), (3, "4", "x, y"), (3, "5", "")]
+    assert sorted(tuple(r) for r in good.fillna("").collect()) == [(1, "1", "a"), (1, "2", ""), (2, "3", "c"), (3, "4", "x, y"), (3, "5", ""), (7, "6", 'two\nlines, "quoted"'), (8, "7", "b")]
     assert sorted(r["n"] for r in bad.collect()) == [4, 5, 6]
 
 
@@ -95,6 +96,25 @@ def test_ingest_and_scan(spark, tmp_path):
     assert {r["column"]: r["null_pct"] for r in lineage.where("table = 'ods_sales_2024'").collect()} == {"id": 0.0, "amount": 0.5}
 
 
+def test_ingest_keeps_all_records(spark, tmp_path):
+    for folder, text in (("a", "k,v\n1,x\n2,y\n"), ("b", "k,v\n3,z\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "Y.CSV").write_text(text)
+    (tmp_path / "lines.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(100)))
+    (tmp_path / "pretty.json").write_text('{\n "a": 1\n}\n')
+    (tmp_path / "quoted.csv").write_text('k,v\n1,"two\nlines"\n2,"say ""hi"""\n')
+    long = "n" * 60
+    (tmp_path / f"{long}1.csv").write_text("k\n1\n")
+    (tmp_path / f"{long}2.csv").write_text("k\n1\n2\n")
+    assert files.scan_files(spark, str(tmp_path)).where("name = 'Y.CSV'").count() == 2
+    names = ["a/Y.CSV", "b/Y.CSV", "lines.json", "pretty.json", "quoted.csv", f"{long}1.csv", f"{long}2.csv"]
+    status, _ = files.ingest(spark, [str(tmp_path / n) for n in names], "keep", str(tmp_path / "out"))
+    rows = status.collect()
+    assert [r["row_count"] for r in rows] == [2, 1, 100, 1, 2, 1, 2] and {r["status"] for r in rows} == {"success"}
+    assert len({r["table"] for r in rows}) == 7 and all(len(r["table"]) <= 50 for r in rows)
+    assert sorted(r["v"] for r in spark.table(rows[4]["table"]).collect()) == ['say "hi"', "two\nlines"]
+
+
 # ---- admission
 
 
