@@ -1,18 +1,19 @@
-"""Exact quantiles and outlier counts for many columns in two scans.
+"""Exact quantiles and outlier counts for many columns, in bounded memory.
 
 A single ``percentile`` aggregate keeps every distinct value of a column in one
 buffer, which cannot hold at cluster scale. Here the first scan only brackets each
-quartile with ``percentile_approx`` (its rank error is bounded), and the second scan
-keeps single values inside the brackets alone; all values outside collapse into a
-handful of counted gaps. The quartiles, and the number of values beyond the outlier
-fences that follow from them, are then read from that small cumulative table.
-When a bracket would still hold too many values it is narrowed by further scans.
+quartile with ``percentile_approx`` (its rank error is bounded). Further scans count the
+values below, inside and on the ends of each bracket, and narrow a bracket that really holds
+too many values between its ends by a grid of those values. Then one scan picks the single values at
+the wanted ranks from what lies inside, and one counts the values beyond the fences. A value that
+repeats heavily becomes an end of a bracket, where a count is all it costs.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ from plumbline.session import small_frame
 
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10000
-#: Most single values a column may keep in the second scan.
-BRACKET_LIMIT = 2_000_000
+#: Most values that may lie between the ends of a bracket when single values are picked.
+BRACKET_LIMIT = 200_000
+#: Cells that a bracket is cut into when it is narrowed.
+STEPS = 500
 #: Columns handled by one job.
 CHUNK = 25
 
@@ -141,124 +144,115 @@ def _rank_positions(n: int, p: float) -> tuple[int, int, float]:
 
 def _exact_spreads(df, columns, points, counts, not_null, k, accuracy, bracket_limit) -> dict[str, Spread]:
     values = {c: numeric_value(df, c) for c in columns}
-    brackets = {c: [(b[2 * j], b[2 * j + 1]) for j in range(len(QUARTILES))] for c, b in points.items() if c in values}
-    held = {c: 8.0 / accuracy * counts[c] for c in columns}
-    result: dict[str, Spread] = {}
-    todo = columns
-    for attempt in range(3):
-        while attempt < 2 and (wide := [c for c in todo if held[c] > bracket_limit]):
-            _narrow(df, values, counts, brackets, held, wide, accuracy)
-        result |= _pick(df, values, counts, not_null, brackets, todo, k)
-        todo = [c for c in todo if c not in result]
-        if not todo:
-            break
-        for c in todo:  # the error bound did not hold: start over from the whole range
-            brackets[c] = [(-math.inf, math.inf)] * len(QUARTILES)
-            held[c] = counts[c]
-    return result
-
-
-def _narrow(df, values, counts, brackets, held, wide, accuracy) -> None:
-    """One more scan: split each bracket at a fine grid of its own values and keep the cell of the target."""
-    steps = 500
-    grid = [i / steps for i in range(steps + 1)]
+    spots = [(c, j) for c in columns for j in range(len(QUARTILES))]
+    ranks = {(c, j): _rank_positions(counts[c], QUARTILES[j])[:2] for c, j in spots}
+    brackets = {(c, j): (points[c][2 * j], points[c][2 * j + 1]) for c, j in spots}
+    found: dict[tuple[str, int, int], float] = {}
+    todo = spots
+    while todo:
+        seen = _count(df, values, brackets, todo)
+        held = []
+        for spot in todo:
+            lo, hi = brackets[spot]
+            below, at_lo, inside, at_hi = seen[spot]
+            wanted = [r for r in ranks[spot] if (*spot, r) not in found]
+            if wanted[0] < below or wanted[-1] >= below + at_lo + inside + at_hi:
+                brackets[spot] = (-math.inf, math.inf)  # the bound of the sketch did not hold: start over
+                continue
+            for r in wanted:
+                if r < below + at_lo:
+                    found[*spot, r] = lo
+                elif r >= below + at_lo + inside:
+                    found[*spot, r] = hi
+            if any((*spot, r) not in found for r in wanted):
+                held.append((spot, below + at_lo, inside))
+        wide = [(spot, first, n) for spot, first, n in held if n > bracket_limit]
+        narrow = [(spot, first) for spot, first, n in held if n <= bracket_limit]
+        if narrow:
+            found |= _pick(df, values, brackets, ranks, narrow)
+        if wide:
+            brackets |= _narrow(df, values, brackets, ranks, wide, accuracy)
+        todo = [spot for spot in todo if any((*spot, r) not in found for r in ranks[spot])]
+    quart = {c: [_between(found, counts[c], c, j) for j in range(len(QUARTILES))] for c in columns}
+    edges = {c: fences(q[0], q[2], k) for c, q in quart.items()}
+    row = df.agg(*[F.count_if(~values[c].between(*edges[c])) for c in columns]).first()
+    # NaN sorts above every fence.
+    return {c: Spread(not_null[c], *quart[c], *edges[c], n + not_null[c] - counts[c]) for c, n in zip(columns, row)}
+
+
+def _between(found: dict, n: int, c: str, j: int) -> float:
+    low, high, part = _rank_positions(n, QUARTILES[j])
+    a, b = found[c, j, low], found[c, j, high]
+    return a if a == b else a + (b - a) * part
+
+
+def _count(df, values, brackets, spots) -> dict:
+    """Values below a bracket, on its lower end, between its ends, and on its upper end."""
     aggs = []
-    for i, c in enumerate(wide):
-        v = values[c]
-        for j, (lo, hi) in enumerate(brackets[c]):
-            inside = v.between(lo, hi)
-            aggs += [
-                F.count_if(v < lo).alias(f"below_{i}_{j}"),
-                F.count_if(inside).alias(f"in_{i}_{j}"),
-                F.percentile_approx(F.when(inside, v), grid, accuracy).alias(f"grid_{i}_{j}"),
-            ]
+    for spot in spots:
+        v, (lo, hi) = values[spot[0]], brackets[spot]
+        upper = F.count_if(v == hi) if hi > lo else F.lit(0)
+        aggs += [F.count_if(v < lo), F.count_if(v == lo), F.count_if((v > lo) & (v < hi)), upper]
+    row = df.agg(*[a.alias(f"n{i}") for i, a in enumerate(aggs)]).first()
+    return {spot: tuple(row[4 * i : 4 * i + 4]) for i, spot in enumerate(spots)}
+
+
+def _narrow(df, values, brackets, ranks, wide, accuracy) -> dict:
+    """One more scan: cut each bracket at a grid of the values inside it and keep the cells around the target."""
+    grid = [i / STEPS for i in range(STEPS + 1)]
+    margin = 2 + math.ceil(2 * STEPS / accuracy)  # twice the error of the sketch
+    aggs = []
+    for i, (spot, _, _) in enumerate(wide):
+        v, (lo, hi) = values[spot[0]], brackets[spot]
+        aggs.append(F.percentile_approx(F.when((v > lo) & (v < hi), v), grid, accuracy).alias(f"grid{i}"))
     row = df.agg(*aggs).first()
-    for i, c in enumerate(wide):
-        total = 0.0
-        cells = []
-        for j, p in enumerate(QUARTILES):
-            below, inside, points = row[f"below_{i}_{j}"], row[f"in_{i}_{j}"], row[f"grid_{i}_{j}"]
-            low, high, _ = _rank_positions(counts[c], p)
-            span = max(inside - 1, 1)
-            first = min(steps, max(0, math.floor((low - below) / span * steps) - 2))
-            last = max(0, min(steps, math.ceil((high - below) / span * steps) + 2))
-            cells.append((points[first], points[last]))
-            # A cell of one value holds a single entry however many rows share it.
-            total += 0 if points[first] == points[last] else inside * (last - first) / steps
-        # Stop when a scan no longer helps, which means the values repeat heavily.
-        held[c] = total if total < held[c] / 2 else 0
-        brackets[c] = cells
-
-
-def _bands(brackets: list[tuple[float, float]], k: float) -> list[tuple[float, float]]:
-    """Value ranges that must be kept singly: the quartile brackets and where each fence can lie."""
-    (a, b), _, (c, d) = brackets
-    lower = (a - k * (d - a), b - k * (c - b)) if d >= a else (-math.inf, math.inf)
-    upper = (c + k * (c - b), d + k * (d - a))
-    slip = 1e-9 * max(abs(x) for x in (a, b, c, d, 1.0))
-    if not math.isfinite(slip):
-        return [(-math.inf, math.inf)]
-    pad = [(min(e) - slip * (1 + k), max(e) + slip * (1 + k)) for e in (lower, upper)]
-    return [*brackets, *pad]
-
-
-def _pick(df, values, counts, not_null, brackets, todo, k) -> dict[str, Spread]:
-    bands = {c: _bands(brackets[c], k) for c in todo}
-    width = max(len(b) for b in bands.values())
+    out = {}
+    for i, (spot, start, inside) in enumerate(wide):
+        low, high = ranks[spot]
+        span = max(inside - 1, 1)
+        first = min(STEPS, max(0, math.floor((low - start) / span * STEPS) - margin))
+        last = max(0, min(STEPS, math.ceil((high - start) / span * STEPS) + margin))
+        # The least and the greatest value inside are known only nearly: keep the old end beside them.
+        lo, hi = brackets[spot]
+        out[spot] = (row[f"grid{i}"][first] if first > 0 else lo, row[f"grid{i}"][last] if last < STEPS else hi)
+    return out
+
+
+def _pick(df, values, brackets, ranks, narrow) -> dict:
+    """The values at the wanted ranks, counted among the values between the ends of their brackets."""
     rows = []
-    for c in todo:
-        ranks = [_rank_positions(counts[c], p) for p in QUARTILES]
-        edges = [x for band in bands[c] + bands[c][-1:] * (width - len(bands[c])) for x in band]
-        rows.append((c, *edges, *[r for low, high, _ in ranks for r in (low, high)]))
-    fields = ["column string"]
-    fields += [f"{e}{i} double" for i in range(width) for e in ("lo", "hi")]
-    fields += [f"rank{j}{side} long" for j in range(len(QUARTILES)) for side in (0, 1)]
-    # One row per column, at most CHUNK: a proven bound, safe to broadcast.
-    marks = F.broadcast(small_frame(df.sparkSession, rows, ", ".join(fields)))
-
-    inside = F.lit(False)
-    passed = F.lit(0)
-    for i in range(width):
-        inside = inside | F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}"))
-        passed = passed + (F.col("v") > F.col(f"hi{i}")).cast("int")
-    steps = (
-        df.select(*[v.alias(c) for c, v in values.items() if c in bands])
-        .unpivot([], [f"`{c}`" for c in todo], "column", "v")
+    for (c, j), start in narrow:
+        low, high = ranks[c, j]
+        rows.append((c, j, *brackets[c, j], low - start, high - start, low, high))
+    ddl = "column string, j int, lo double, hi double, low long, high long, rank0 long, rank1 long"
+    # At most one row per quartile of the columns of a chunk: a proven bound, safe to broadcast.
+    marks = F.broadcast(small_frame(df.sparkSession, rows, ddl))
+    used = sorted({c for (c, _), _ in narrow})
+    inside = {
+        c: reduce(lambda a, b: a | b, [(values[c] > brackets[s][0]) & (values[c] < brackets[s][1]) for s, _ in narrow if s[0] == c])
+        for c in used
+    }
+    # Values outside all brackets of their column become null before they are spread over rows.
+    kept = df.select(*[F.when(inside[c], values[c]).alias(c) for c in used])
+    single = (
+        kept.unpivot([], [f"`{c}`" for c in used], "column", "v")
         .where(F.col("v").isNotNull())
         .join(marks, "column")
-        .select("column", "v", F.when(inside, -1).otherwise(passed).alias("gap"), F.when(inside, F.col("v")).alias("key"))
-        .groupBy("column", "gap", "key")
-        .agg(F.count("*").alias("n"), F.min("v").alias("v"))
+        .where("v > lo AND v < hi")
+        .groupBy("column", "j", "v", "low", "high", "rank0", "rank1")
+        .agg(F.count("*").alias("n"))
     )
-    # A gap stands for its values by the least of them: no target rank lies in one, which `sure` checks.
-    whole = Window.partitionBy("column")
-    quart = F.percentile("v", list(QUARTILES), F.col("n")).over(whole)
-    placed = steps.join(marks, "column").withColumn("q", quart)
-    sure = F.lit(True)
-    for j in range(len(QUARTILES)):
-        lo, hi = (F.col("lo0"), F.col("hi0")) if width < len(QUARTILES) else (F.col(f"lo{j}"), F.col(f"hi{j}"))
-        below = F.coalesce(F.sum(F.when(F.col("v") < lo, F.col("n"))), F.lit(0))
-        upto = F.coalesce(F.sum(F.when(F.col("v") <= hi, F.col("n"))), F.lit(0))
-        sure = sure & (below <= F.max(f"rank{j}0")) & (upto > F.max(f"rank{j}1"))
-    q1, q3 = F.col("q")[0], F.col("q")[2]
-    beyond = ~F.col("v").between(q1 - (q3 - q1) * k, q3 + (q3 - q1) * k)
-    found = (
-        placed.groupBy("column")
-        .agg(
-            F.first("q").alias("q"),
-            sure.alias("sure"),
-            F.coalesce(F.sum(F.when(beyond, F.col("n"))), F.lit(0)).alias("outliers"),
-        )
-        .collect()
-    )
-    return {
-        (c := r["column"]): Spread(
-            not_null[c],
-            *r["q"],
-            *fences(r["q"][0], r["q"][2], k),
-            # NaN sorts above every fence.
-            r["outliers"] + not_null[c] - counts[c],
-        )
-        for r in found
-        if r["sure"]
-    }
+    # At most ``bracket_limit`` rows per quartile.
+    upto = F.sum("n").over(Window.partitionBy("column", "j").orderBy("v"))
+    placed = single.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    picked = placed.select(
+        "column", "j", "v", "rank0", "rank1",
+        ((F.col("before") <= F.col("low")) & (F.col("low") < F.col("upto"))).alias("is0"),
+        ((F.col("before") <= F.col("high")) & (F.col("high") < F.col("upto"))).alias("is1"),
+    ).where("is0 OR is1").collect()
+    out = {}
+    for r in picked:
+        for side in (0, 1):
+            if r[f"is{side}"]:
+                out[r["column"], r["j"], r[f"rank{side}"]] = r["v"]
+    return out

@@ -30,6 +30,9 @@ CASES = {
     "tails": list(np.concatenate([rng.normal(0, 1, 2000), rng.normal(0, 40, 100)])),
     "two values": [0.0] * 30 + [1.0] * 70,
     "one": [7.0],
+    "two hills": list(np.concatenate([rng.uniform(0, 1, 3000), rng.uniform(100, 100.5, 1000)])),
+    "hot ends": [0.0] * 500 + list(rng.uniform(0, 1, 900)) + [1.0] * 600,
+    "infinite": [float("inf"), float("-inf")] + [float(x) for x in rng.integers(0, 50, 60)],
     "ties": [float(x) for x in rng.integers(0, 6, 3000)],
 }
 
@@ -44,6 +47,24 @@ def test_exact_spreads(spark, name, settings):
     assert got.outliers == outliers
 
 
+def test_no_more_values_are_picked_than_allowed(spark, monkeypatch):
+    """Three quarters of the values lie in a narrow hill: what a bracket holds is counted, not guessed."""
+    held = []
+    pick = Q._pick
+
+    def counted(df, values, brackets, ranks, narrow):
+        for (c, j), _ in narrow:
+            lo, hi = brackets[c, j]
+            held.append(df.where((values[c] > lo) & (values[c] < hi)).count())
+        return pick(df, values, brackets, ranks, narrow)
+
+    monkeypatch.setattr(Q, "_pick", counted)
+    df = spark.range(40_001).select(F.when(F.col("id") % 4 == 0, 100 + F.rand(1)).otherwise(F.rand(2)).alias("v")).cache()
+    got = Q.spreads(df, ["v"], accuracy=50, bracket_limit=100)["v"]
+    want = np.quantile([r["v"] for r in df.collect()], [0.25, 0.5, 0.75])
+    assert (got.q25, got.q50, got.q75) == pytest.approx(tuple(want)) and max(held) <= 100
+
+
 def test_spreads_without_values(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert not Q.spreads(df, ["v"])["v"].known
