@@ -16,8 +16,8 @@ STEADY = 0.1
 
 
 def _latest(history: DataFrame, n: int, key: str = "table") -> DataFrame:
-    """The latest n runs of each series, ``back`` = 1 for the newest."""
-    order = Window.partitionBy(key).orderBy(F.desc("run_ts"))
+    """The latest n runs of each series, ``back`` = 1 for the newest; of one time, the higher score is the newer."""
+    order = Window.partitionBy(key).orderBy(F.desc("run_ts"), F.desc("score"))
     return history.withColumn("back", F.row_number().over(order)).where(F.col("back") <= n)
 
 
@@ -32,7 +32,7 @@ def trend(history: DataFrame) -> DataFrame:
     placed = recent.withColumn("n", size).withColumn("x", (F.col("n") - F.col("back")).cast("double"))
     fit = placed.groupBy("table").agg(
         F.count("*").alias("runs"),
-        F.max_by("score", "run_ts").alias("current"),
+        F.max_by("score", F.struct("run_ts", "score")).alias("current"),
         F.regr_slope("score", "x").alias("slope"),
         F.regr_intercept("score", "x").alias("intercept"),
     )

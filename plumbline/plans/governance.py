@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ def run(spark: SparkSession, paths: list[str], layer: str, root: str, run_ts: st
     """Ingest files into a layer and record their state below ``root``.
 
     Logs are append-only folders: ``lineage``, ``profile`` and ``history``. A run that is
-    repeated appends again under the same ``run_ts``; readers take the latest.
+    repeated appends again under the same ``run_ts`` with a later ``load``; its readers take the latest load.
     """
     status, lineage = files.ingest(spark, paths, layer, f"{root}/{layer}")
     loaded = [r["table"] for r in status.where("status = 'success'").collect()]
@@ -39,9 +40,10 @@ def run(spark: SparkSession, paths: list[str], layer: str, root: str, run_ts: st
     scores = scoring.table_scores(found)
     append_rows(lineage.withColumn("run_ts", at), f"{root}/lineage")
     append_rows(found.withColumn("run_ts", at), f"{root}/profile")
-    append_rows(scores.select("table", at.alias("run_ts"), "score", "row_count"), f"{root}/history")
-    log = spark.read.parquet(f"{root}/history")
-    past = log.groupBy("table", "run_ts").agg(F.max_by("score", "row_count").alias("score"))
+    load = F.lit(time.time_ns()).alias("load")
+    append_rows(scores.select("table", at.alias("run_ts"), "score", "row_count", load), f"{root}/history")
+    log = spark.read.option("mergeSchema", "true").parquet(f"{root}/history")
+    past = log.groupBy("table", "run_ts").agg(F.max_by("score", F.coalesce("load", F.lit(0))).alias("score"))
     trends = history.trend(past)
     return Run(
         status,

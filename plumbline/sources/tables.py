@@ -43,9 +43,14 @@ def load_all(spark: SparkSession, database: str | None = None) -> dict[str, Data
     return {name: spark.table(f"{database}.{name}" if database else name) for name in list_tables(spark, database)}
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """An optional row sample; whole rows, so that columns stay aligned."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, key: list[str], seed: int = 42) -> DataFrame:
+    """An optional row sample; whole rows, so that columns stay aligned.
+
+    A row is taken by the md5 of its key and the seed: the same rows in every run, layout and engine.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in key])
+    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return df.where(number < int(fraction * 2**32))
 
 
 def write_table(df: DataFrame, name: str, path: str | None = None, mode: str = "overwrite") -> None:
@@ -88,5 +93,6 @@ def ddl_rows(columns: DataFrame) -> DataFrame:
 
 def last_runs(history: DataFrame, n: int = HISTORY_RUNS, key: str = "table", time: str = "run_ts") -> DataFrame:
     """The latest runs of every table; the log itself is never cut."""
-    latest = Window.partitionBy(key).orderBy(F.desc(time))
+    # Runs of one time are told apart by all they hold, so that every call picks the same.
+    latest = Window.partitionBy(key).orderBy(F.desc(time), F.xxhash64(*[F.col(f"`{c}`") for c in history.columns]))
     return history.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= n).drop("_rank")

@@ -282,8 +282,12 @@ def cl14(spark, sf):
 
 @query(
     "io08_row_sample",
+    with_views(
+        "dirty_orders",
+        f"SELECT * FROM dirty_orders WHERE ('0x' || substr(md5(concat_ws('|', '42', o_orderkey)), 1, 8))::BIGINT < {int(0.1 * 2**32)}",
+    ),
 )
 def io08(spark, sf):
     from plumbline.sources.tables import sample_rows
 
-    return sample_rows(view(spark, sf, "dirty_orders"), 0.1)
+    return sample_rows(view(spark, sf, "dirty_orders"), 0.1, ["o_orderkey"])
