@@ -24,6 +24,10 @@ PAIR_SCHEMA = (
 )
 
 
+#: Characters from which on a value stands as its hash.
+LONG_TEXT = 64
+
+
 def _family(dtype: T.DataType) -> str:
     return "number" if isinstance(dtype, T.NumericType) else "text"
 
@@ -38,7 +42,9 @@ def _as_family(df: DataFrame, name: str) -> Column:
         d = c.cast("double")
         whole = (d == F.floor(d)) & (F.abs(d) < 2**53)
         return F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
-    return c.cast("string")
+    # Long texts are compared by their 128-bit hashes, so that no whole text is a shuffle key.
+    text = c.cast("string")
+    return F.when(F.length(text) > LONG_TEXT, F.md5(text.cast("binary"))).otherwise(text)
 
 
 def candidate_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:

@@ -165,3 +165,11 @@ def current_rows(spark: SparkSession, log_path: str, keys: list[str], newest: li
     names = [f"_by{i}" for i in range(len(newest))]
     ranked = log.withColumns(dict(zip(names, newest)))
     return first_rows(ranked, keys, names).drop(*names)
+
+
+def compact_log(spark: SparkSession, log_path: str, keys: list[str], newest: list[Column], into: str) -> None:
+    """Write the latest version of every key as the first batch of a new log; later loads go on there.
+
+    The old log stays as it is until its readers have moved on.
+    """
+    current_rows(spark, log_path, keys, newest).write.mode("overwrite").parquet(f"{into}/batch=-1")

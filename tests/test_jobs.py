@@ -189,6 +189,8 @@ def test_incremental_load_reads_each_file_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
     now = S.current_rows(spark, str(tmp_path / "log"), ["k"], [-F.col("version")])
     assert sorted((r["k"], r["v"]) for r in now.collect()) == [(1, "c"), (2, "b"), (3, "d")]
+    S.compact_log(spark, str(tmp_path / "log"), ["k"], [-F.col("version")], str(tmp_path / "new"))
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "new")).collect()) == [(1, "c"), (2, "b"), (3, "d")]
 
 
 def test_governance_run(spark, tmp_path):
