@@ -206,3 +206,26 @@ def test_governance_run(spark, tmp_path):
     assert done.health.first()["health"] == "healthy"
     assert {r["type"] for r in done.alerts.collect()} >= {"null_rate"}
     assert done.snapshot.first()["row_count"] == 40
+    assert done.changes.count() == 0 and done.forecast.count() == 3
+    source.write_text("\n".join(["order_id,amount,region,note"] + [f"{i},x{i},N,n" for i in range(10)]))
+    rules = [{"id": "n", "type": "null_check", "field": "note"}]
+    done = run(spark, [str(source)], "ods", str(tmp_path / "warehouse"), "2024-01-03 00:00:00", rules)
+    found = {(r["change_type"], r["field"]) for r in done.changes.collect()}
+    assert found == {("column_added", "note"), ("dtype_changed", "amount")}
+    # The run of the third day was repeated: its latest load counts.
+    assert done.trends.first()["current"] == pytest.approx(done.scores.first()["score"]) and done.violations.first()["status"] == "passed"
+
+
+def test_warehouse_graph(spark):
+    from plumbline.plans.lineage import impact_of, warehouse_graph
+
+    people = spark.range(40).select(F.col("id").alias("person_id"), (F.col("id") * 2).alias("age"), (F.col("id") * 4 + 1).alias("points"))
+    visits = spark.range(200).select(F.col("id").alias("visit_id"), (F.col("id") % 40).alias("person_id"))
+    log = spark.createDataFrame([("people.points", "report.total"), ("bad", "report.total")], "source string, target string")
+    found = warehouse_graph(spark, {"people": people, "visits": visits}, {"people": ["person_id"]}, log)
+    pairs = {(r["source"], r["target"], r["mechanism"]) for r in found.edges.collect()}
+    assert ("people.points", "report.total", "etl_transform") in pairs
+    assert ("visits.person_id", "people.person_id", "foreign_key") in pairs
+    ops = spark.createDataFrame([(1, "drop_column", "people", "points", None, None)], "op_id int, op_type string, `table` string, `column` string, new_name string, new_dtype string")
+    effects = {r["node"]: r for r in impact_of(found, ops).collect()}
+    assert "report.total" in effects and all(0 <= r["probability"] <= 1 for r in effects.values())
