@@ -10,6 +10,7 @@ KEYS = [
     "ag01_profile_orders", "ag07_audit_tables", "ag08_validate_table", "wi08_samples", "cl17_multi_target",
     "cl19_rule_clean", "wi09_running_last", "co05_report", "co07_apply", "jo01_orphans", "sc02_drift", "wi03_trend",
     "in03_fk", "in02_chi2", "gr10_impact", "gr14_page_rank", "io12_parse_payloads", "st02_histogram",
+    "io02_csv_quoted", "io03_json_array", "io08_row_sample", "io09_ingest_lines", "io09_same_name", "gr05_long_chain", "jo06_traversal_join",
 ]
 
 
