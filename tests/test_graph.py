@@ -38,7 +38,8 @@ def test_best_path_and_cycle(spark):
 
 def test_hop_limit(spark):
     rows = [(f"n{i}.x", f"n{i + 1}.x", 1.0, 1.0) for i in range(9)]
-    assert len(reach(spark, rows, "n0.x")) == 6
+    assert len(reach(spark, rows, "n0.x")) == 9  # to the end, unless a limit is given
+    assert len(reach(spark, rows, "n0.x", max_hops=6)) == 6
     assert len(reach(spark, rows, "n0.x", max_hops=3, paths=False)) == 3
     assert reach(spark, rows, "none.x") == {}
 
