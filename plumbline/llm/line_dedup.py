@@ -109,11 +109,13 @@ def near_copies(first: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
     ``first`` has ``h`` and the earliest place ``at`` (``doc_id``, ``line_no``) of each line.
     """
     every = lines(docs)
-    keys = keyed(every.select("h", "line")).select("key", "h")
+    # Written once: to cut all lines again would cost more than to read their keys back.
+    keys = scratch.keep(keyed(every.select("h", "line")).select("key", "h"), "snappy")
     shared = scratch.keep(
         keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     )
-    hashes = keys.join(shared, "key").select("h").distinct()
+    hashes = scratch.keep(keys.join(shared, "key").select("h").distinct())
+    scratch.drop(keys)
     places = first.join(hashes, "h").select("h", "at", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h", "at")).alias("wanted"))
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
@@ -132,7 +134,7 @@ def near_copies(first: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
     two = held.select(F.col("h").alias("other"), F.col("line").alias("other_line"))
     near = pairs.join(one, "h").join(two, "other").filter(F.levenshtein("line", "other_line", 1) >= 0)
     found = scratch.keep(near.select("h").distinct())
-    scratch.drop(shared, held, emitted)
+    scratch.drop(shared, hashes, held, emitted)
     return found
 
 
