@@ -7,8 +7,9 @@ how many samples differ, which estimates high similarities well. Pairs with a fa
 confirmed by the size of the intersection of the full sets.
 
 Documents with equal sets are one node from the start, so copies cost one row each. In a
-bucket every node is first compared with a few hubs, which links a large group of near copies
-without spelling out its pairs. What hubs have not linked is then compared in full, in blocks,
+bucket every node is first compared with a few hubs, the first of which is the node that most
+others share bands with: in a large group of near copies that is what they are copies of, and
+the group is linked without spelling out its pairs. What hubs have not linked is then compared in full, in blocks,
 but only between nodes that are not connected yet: no pair that could join two components is
 left out.
 """
@@ -28,49 +29,57 @@ from plumbline.llm.shingles import mix, shingle_set
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-BITS = 256
+#: The first samples make the bands, all of them the sketch.
+SAMPLES = 256
+BITS = 512
 #: Pairs whose sketches estimate less than this are not confirmed: more than four deviations below the bound.
-LEAST_ESTIMATE = 0.4
+LEAST_ESTIMATE = 0.6
+#: Samples and bits of the finer sketch that the nodes left over by the hubs get, and its bound: four deviations again.
+FINE_SAMPLES, FINE_BITS, LEAST_FINE = 1024, 2048, 0.68
 #: Rounds in which each bucket's nodes meet one hub.
-HUBS = 3
+HUBS = 2
 #: Nodes of a bucket that are compared at once; a larger bucket is cut into blocks of this size.
 BLOCK = 512
 
-_ODD = np.random.default_rng(90210).integers(0, 2**63, size=SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(90210).integers(0, 2**63, size=FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def samples(found: np.ndarray) -> np.ndarray:
+def samples(found: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     """MinHash values of a set that is not empty."""
-    step = max(1, 65536 // SAMPLES)
+    step = max(1, 65536 // count)
     low = None
     for i in range(0, len(found), step):
-        part = np.multiply.outer(_ODD, found[i : i + step]).min(axis=1)
+        part = np.multiply.outer(_ODD[:count], found[i : i + step]).min(axis=1)
         low = part if low is None else np.minimum(low, part)
     return low
 
 
 def bands(low: np.ndarray) -> np.ndarray:
     h = np.arange(BANDS, dtype=np.uint64)
-    for row in low.reshape(BANDS, ROWS).T:
+    for row in low[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + row)
     return h.astype(np.int64)
 
 
-def sketch(low: np.ndarray) -> bytes:
+def sketch(low: np.ndarray, bits: int = BITS) -> bytes:
     """Parities of the bits that the samples fall on."""
-    at = mix(low + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    at = mix(low + np.arange(len(low), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def estimate(differing: np.ndarray) -> np.ndarray:
+def estimate(differing: np.ndarray, count: int = SAMPLES, bits: int = BITS) -> np.ndarray:
     """Similarity from the number of differing bits; 0 where more than half of them differ."""
-    rest = 1 - 2 * np.asarray(differing, dtype=float) / BITS
-    return np.where(rest > 0, 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(rest, 1e-9)), 0.0)
+    rest = 1 - 2 * np.asarray(differing, dtype=float) / bits
+    return np.where(rest > 0, 1 + bits / (4 * count) * np.log(np.maximum(rest, 1e-9)), 0.0)
+
+
+def _most_bits(least: float, count: int, bits: int) -> int:
+    return int(np.flatnonzero(estimate(np.arange(bits // 2), count, bits) >= least).max())
 
 
 #: Bits that may differ for the estimate to be fair.
-MOST_BITS = int(max(x for x in range(BITS // 2) if estimate(np.array(x)) >= LEAST_ESTIMATE))
+MOST_BITS = _most_bits(LEAST_ESTIMATE, SAMPLES, BITS)
+MOST_FINE_BITS = _most_bits(LEAST_FINE, FINE_SAMPLES, FINE_BITS)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -108,10 +117,25 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "node bigint, items binary")
 
 
-def _fair(a: Column, b: Column) -> Column:
-    """Whether two sketches, as four 64-bit words each, differ in few enough bits."""
-    differing = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(BITS // 64)), F.lit(0))
-    return differing <= MOST_BITS
+def _fair(a: Column, b: Column, bits: int = BITS, most: int = MOST_BITS) -> Column:
+    """Whether two sketches, as 64-bit words, differ in few enough bits."""
+    differing = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(bits // 64)), F.lit(0))
+    return differing <= most
+
+
+def _fine_sketches(sets: DataFrame) -> DataFrame:
+    """``node`` and its finer sketch as 64-bit words."""
+    schema = pa.schema([("node", pa.int64()), ("fine", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for node, items in rows_of(batches, "node", "items"):
+                low = samples(np.frombuffer(items, np.uint64), FINE_SAMPLES)
+                yield node, np.frombuffer(sketch(low, FINE_BITS), np.int64)
+
+        yield from record_batches(found(), schema, 1024)
+
+    return sets.mapInArrow(run, "node bigint, fine array<bigint>")
 
 
 def _words(sketch_: Column) -> Column:
@@ -171,7 +195,7 @@ def _relabel(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
 
 def _hub_pairs(members: DataFrame, number: int, scratch: Scratch) -> DataFrame:
     """Each node of a bucket with the bucket's hub of this round, where they are not connected."""
-    order = F.col("node") if number == 0 else F.xxhash64("node", F.lit(number))
+    order = -F.col("shared") if number == 0 else F.xxhash64("node", F.lit(number))
     hubs = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "label", "sketch")).alias("h"))
     met = members.join(scratch.keep(hubs), "key").filter("label <> h.label")
     return met.filter(_fair(F.col("sketch"), F.col("h.sketch"))).select(
@@ -180,21 +204,26 @@ def _hub_pairs(members: DataFrame, number: int, scratch: Scratch) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All pairs of a bucket's nodes that are not connected, block against block."""
+    """All fair pairs of a bucket's nodes that are not connected, block against block.
+
+    A pair is given by the first of the buckets that it shares, and must be fair by the finer
+    sketch too.
+    """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     dealt = members.join(sizes, "key").withColumn("blocks", blocks)
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A node goes to the meetings of its own block with every block.
     meeting = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = dealt.select("key", "node", "label", "sketch", "mine", meeting)
-    sent = sent.select(
-        "key", "node", "label", "sketch", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
-    )
+    carried = ["key", "node", "label", "sketch", "fine", "keys", "mine"]
+    sent = dealt.select(*carried, meeting)
+    sent = sent.select(*carried, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     x, y = sent.alias("x"), sent.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
     once = (F.col("x.mine") != F.col("y.mine")) | (F.col("x.low") == F.col("x.high"))
     met = x.join(y, same).filter(once & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-    return met.filter(_fair(F.col("x.sketch"), F.col("y.sketch"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    fair = _fair(F.col("x.sketch"), F.col("y.sketch")) & _fair(F.col("x.fine"), F.col("y.fine"), FINE_BITS, MOST_FINE_BITS)
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    return met.filter(fair).filter(first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -215,15 +244,19 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     filed = nodes.select(F.explode("bands").alias("key"), "node")
     # Keys are written before the join, so that both of its sides are plain shuffles and a large bucket can be split.
-    shared = filed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key")
+    sizes = F.count(F.lit(1)).alias("n")
+    shared = filed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), sizes).filter("x <> y").select("key", "n")
     filed = scratch.keep(filed.join(scratch.keep(shared), "key"))
+    # ``shared``: with how many nodes a node shares bands, counted by band.
+    members_of = filed.groupBy("node").agg(F.sum("n").alias("shared"))
+    filed = filed.select("key", "node")
     sketches = nodes.select("node", _words(F.col("sketch")).alias("sketch")).dropDuplicates(["node"])
-    sketches = scratch.keep(sketches.join(filed.select("node").distinct(), "node", "left_semi"))
+    sketches = scratch.keep(sketches.join(members_of, "node"))
     sets = scratch.keep(_sets(docs, sketches.select("node")))
     labels = scratch.keep(sketches.select("node", F.col("node").alias("label")))
     judged: DataFrame | None = None
 
-    def link(pairs: DataFrame) -> DataFrame:
+    def link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         nonlocal judged
         fresh = pairs.distinct() if judged is None else pairs.distinct().join(judged, ["a", "b"], "left_anti")
         fresh = scratch.keep(fresh)
@@ -233,14 +266,19 @@ def groups(docs: DataFrame) -> DataFrame:
 
     for number in range(HUBS):
         members = scratch.keep(filed.join(labels, "node").join(sketches, "node"))
-        labels = link(_hub_pairs(members, number, scratch))
+        labels = link(_hub_pairs(members, number, scratch), sets)
         # Buckets whose nodes are all connected have nothing more to give.
         spread = filed.join(labels, "node").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
         open_keys = scratch.keep(spread.filter("x <> y").select("key"))
         before, filed = filed, scratch.keep(filed.join(open_keys, "key"))
         scratch.drop(before, members, open_keys)
-    members = scratch.keep(filed.join(labels, "node").join(sketches, "node"))
-    labels = link(_block_pairs(members, scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))))
+        if number == 0:  # most nodes are done: later rounds carry the sets of the others alone
+            every, sets = sets, scratch.keep(sets.join(filed.select("node").distinct(), "node", "left_semi"))
+            scratch.drop(every)
+    keys = filed.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    fine = scratch.keep(_fine_sketches(sets).join(keys, "node"))
+    members = scratch.keep(filed.join(labels, "node").join(sketches, "node").join(fine, "node"))
+    labels = link(_block_pairs(members, scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))), sets)
     scratch.drop(filed, members, sets)
     named = nodes.select(*digest, "node").join(labels, "node", "left")
     named = named.select(*digest, F.coalesce("label", "node").alias("component"))
