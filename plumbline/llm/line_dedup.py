@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch
 
 #: Characters of a segment at most, but a line always has two segments.
-SEGMENT = 128
+SEGMENT = 256
 #: Shorter lines must be equal to go: one edit would make different words of them.
 MIN_CHARS = 16
 SAME, SHORTER, LONGER = 0, 1, 2
@@ -75,11 +75,22 @@ def keyed(found: DataFrame) -> DataFrame:
     length = F.length("line")
     long = found.withColumn("n", length).filter(F.col("n") >= MIN_CHARS)
     n, m = F.col("n"), F.col("n") - 1
-    cut = long.withColumn("own", _hashes(F.col("line"), n, _segments(n), 0))
-    cut = cut.withColumn("left", _hashes(F.col("line"), m, _segments(m), 0))
-    cut = cut.withColumn("right", _hashes(F.col("line"), m, _segments(m), 1))
-    keys = F.concat(_keys(SAME, n, F.col("own"), F.col("own")), _keys(LONGER, m, F.col("left"), F.col("right")))
-    return cut.withColumn("k", F.explode(keys)).select(*found.columns, "n", "k.key", "k.role", "k.j")
+    # Most lines have two segments, whose keys need no arrays of hashes.
+    many, fewer = _segments(n) > 2, _segments(m) > 2
+    cut = long.withColumn("own", F.when(many, _hashes(F.col("line"), n, _segments(n), 0)))
+    cut = cut.withColumn("left", F.when(fewer, _hashes(F.col("line"), m, _segments(m), 0)))
+    cut = cut.withColumn("right", F.when(fewer, _hashes(F.col("line"), m, _segments(m), 1)))
+    own = F.when(many, _keys(SAME, n, F.col("own"), F.col("own"))).otherwise(_two_keys(SAME, n, 0))
+    longer = F.when(fewer, _keys(LONGER, m, F.col("left"), F.col("right"))).otherwise(_two_keys(LONGER, m, 1))
+    return cut.withColumn("k", F.explode(F.concat(own, longer))).select(*found.columns, "n", "k.key", "k.role", "k.j")
+
+
+def _two_keys(role: int, length: Column, shift: int) -> Column:
+    """The keys of a line cut in two: the second half without the first, the first without the second."""
+    half = _bound(length, F.lit(2), F.lit(1))
+    halves = [F.substring(F.col("line"), half + 1 + shift, length - half), F.substring(F.col("line"), F.lit(1), half)]
+    keys = [F.xxhash64(length, F.lit(j), F.xxhash64(part)) for j, part in enumerate(halves)]
+    return F.array(*[F.struct(k.alias("key"), F.lit(role).alias("role"), F.lit(j).alias("j")) for j, k in enumerate(keys)])
 
 
 def variants(found: DataFrame) -> DataFrame:

@@ -284,7 +284,7 @@ def test_quality_odd_inputs(spark, docs, empty):
 
 def line_rows():
     r = random.Random(3)
-    base = [corpus.prose(r, r.choice([3, 5, 8, 20, 60, 90]), "abcdeé") for _ in range(80)]
+    base = [corpus.prose(r, r.choice([3, 5, 8, 20, 90, 110, 130, 250]), "abcdeé") for _ in range(80)]
 
     def edited(s):
         for _ in range(r.choice([0, 0, 1, 1, 1, 2])):
