@@ -114,11 +114,14 @@ def exact_groups(
     unequal = scratch.keep(
         texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest")
     )
-    split = texts.join(unequal, "digest", "left_semi")
-    parts = split.groupBy("digest", "text").agg(
-        F.count(F.lit(1)).alias("part_size"), F.max(F.struct("doc_id", *PLACE)).alias("part_keep")
-    )
-    mended = split.join(parts, ["digest", "text"]).select(*PLACE, "part_size", "part_keep")
+    if unequal.isEmpty():  # as a rule: then no text has to be read again
+        mended = labelled.limit(0).select(*PLACE, F.col("group_size").alias("part_size"), F.col("keep").alias("part_keep"))
+    else:
+        split = texts.join(unequal, "digest", "left_semi")
+        parts = split.groupBy("digest", "text").agg(
+            F.count(F.lit(1)).alias("part_size"), F.max(F.struct("doc_id", *PLACE)).alias("part_keep")
+        )
+        mended = split.join(parts, ["digest", "text"]).select(*PLACE, "part_size", "part_keep")
     keep = F.coalesce("part_keep", "keep")
     return labelled.join(mended, PLACE, "left").select(
         "doc_id",
