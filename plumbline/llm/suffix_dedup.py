@@ -1,12 +1,13 @@
-"""Repeated passages by a sparse suffix array over words.
-
-A full suffix array has an entry per word. Here only suffixes at minimiser positions are kept:
-in every window of word runs the one with the smallest hash. Equal passages of ``LEAST`` words
-have a whole window in common and so keep the same position, wherever they stand. Kept suffixes
-are sorted by the words that follow and then by those that come before, ranged over tasks with
-the document's id so that a passage which very many documents share is split as well. Each
-suffix is compared with its neighbours of other documents, the match is extended to the left,
-and matches of a document that overlap are joined.
+"""Repeated passages by sparse suffixes over words.
+
+A full suffix array has an entry per word. Here only suffixes at minimiser positions are looked
+at first: in every window of word runs the one with the smallest hash. Equal passages of ``LEAST``
+words have a whole window in common and so keep the same position, wherever they stand. Where
+a kept run is in several documents, every window of ``LEAST`` words that keeps that position is
+keyed by the hash of its words, and a window goes with the least and the greatest document that
+has it. So a passage is found whatever words its copies share with others: no order has to bring
+the copies together, and no group of copies is spelled out as pairs. Windows of a document that
+overlap are joined.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +27,15 @@ LEAST = 50
 #: Words of a run, and runs of a window: together they span a shortest passage.
 RUN = 10
 WINDOW = LEAST - RUN + 1
-#: Words compared to the right and to the left of a kept position. Longer passages have
-#: several kept positions, whose matches overlap.
-AFTER, BEFORE = LEAST, LEAST - RUN
-FIRST, LAST = 1, 2
+
+
+def _chosen(found: np.ndarray) -> np.ndarray:
+    """The kept position of every window, in text order, for the hashes of all runs of a text."""
+    seen = [np.empty(0, np.int64)]
+    for i in range(0, len(found) - WINDOW + 1, 65536):
+        part = np.lib.stride_tricks.sliding_window_view(found[i : i + 65536 + WINDOW - 1], WINDOW)
+        seen.append(part.argmin(axis=1) + np.arange(i, i + len(part)))
+    return np.concatenate(seen)
 
 
 def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +43,7 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) < LEAST:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     found = runs(hashes, RUN)
-    seen = []
-    for i in range(0, len(found) - WINDOW + 1, 65536):
-        part = np.lib.stride_tricks.sliding_window_view(found[i : i + 65536 + WINDOW - 1], WINDOW)
-        seen.append(np.unique(part.argmin(axis=1) + np.arange(i, i + len(part))))
-    at = np.unique(np.concatenate(seen))
+    at = np.unique(_chosen(found))
     return at, found[at]
 
 
@@ -59,182 +60,50 @@ def _kept(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id bigint, pos int, run bigint")
 
 
-def _contexts(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The words after and before each kept position as bytes, two per word; zeros beyond the text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
+def _windows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The windows of words that keep one of the positions given: where each begins, and the hash of its words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, at, text in rows_of(batches, "doc_id", "at", "text"):
-            short = (words(text)[0] >> np.uint64(48)).astype(">u2")
-            short[short == 0] = 1
-            at = np.unique(np.array(at, np.int64))
-            padded = np.concatenate([np.zeros(BEFORE, ">u2"), short, np.zeros(AFTER, ">u2")])
-            after = padded[at[:, None] + BEFORE + np.arange(AFTER)]
-            before = padded[at[:, None] + BEFORE - 1 - np.arange(BEFORE)]
-            for i in range(0, len(at), 4096):
-                part = slice(i, i + 4096)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([doc_id] * len(at[part]), pa.int64()),
-                        pa.array(at[part].astype(np.int32)),
-                        pa.array([r.tobytes() for r in after[part]], pa.binary()),
-                        pa.array([r.tobytes() for r in before[part]], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+            hashes = words(text)[0]
+            if len(hashes) < LEAST:
+                continue
+            wanted = np.zeros(max(len(hashes), max(at) + 1), bool)
+            wanted[at] = True
+            starts = np.flatnonzero(wanted[_chosen(runs(hashes, RUN))])
+            found = runs(hashes, LEAST)[starts].view(np.int64)
+            for i in range(0, len(starts), 65536):
+                part = slice(i, i + 65536)
+                arrays = [pa.array([doc_id] * len(starts[part]), pa.int64()), pa.array(starts[part].astype(np.int32)), pa.array(found[part])]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     places = kept.groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    return texts(docs).join(places, "doc_id").mapInArrow(run, "doc_id bigint, pos int, after binary, before binary")
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows of ``a`` and ``b`` have in common from the left; beyond a text nothing is common."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-_MATCH = [("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("other", pa.int64())]
-_EDGE = [("part", pa.int32()), ("edge", pa.int32()), ("at", pa.int64()), ("pos", pa.int32()), ("after", pa.binary()), ("before", pa.binary())]
-_FOUND = pa.schema([*_MATCH, *_EDGE])
-_FOUND_DDL = "doc_id bigint, start bigint, stop bigint, other bigint, part int, edge int, at bigint, pos int, after binary, before binary"
-
-
-class _Block:
-    """Sorted suffixes as arrays."""
-
-    def __init__(self, doc: np.ndarray, pos: np.ndarray, after: np.ndarray, before: np.ndarray):
-        self.doc, self.pos, self.after, self.before = doc, pos, after, before
-
-    @classmethod
-    def of(cls, batch: pa.RecordBatch, prefix: str = "") -> _Block:
-        table = lambda c, n: np.frombuffer(b"".join(batch.column(prefix + c).to_pylist()), ">u2").reshape(-1, n)
-        whole = lambda c: batch.column(prefix + c).to_numpy(zero_copy_only=False).astype(np.int64)
-        return cls(whole("doc_id"), whole("pos"), table("after", AFTER), table("before", BEFORE))
-
-    def __len__(self) -> int:
-        return len(self.doc)
-
-    def take(self, at) -> _Block:
-        return _Block(self.doc[at], self.pos[at], self.after[at], self.before[at])
-
-    def join(self, other: _Block) -> _Block:
-        pairs = ((self.doc, other.doc), (self.pos, other.pos), (self.after, other.after), (self.before, other.before))
-        return _Block(*[np.concatenate(p) for p in pairs])
-
-
-def _matches(a: _Block, b: _Block) -> tuple[np.ndarray, ...]:
-    """Passages of ``a`` that the rows beside them in ``b`` have too: document, start, stop, other document."""
-    right, left = _shared(a.after, b.after), _shared(a.before, b.before)
-    good = (right + left >= LEAST) & (a.doc != b.doc)
-    return a.doc[good], a.pos[good] - left[good], a.pos[good] + right[good], b.doc[good]
-
-
-def _found(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    n = len(columns[0])
-    arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.nulls(n, t) for _, t in _EDGE]
-    return pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
-
-
-def _edges(block: _Block, part: int, edge: int, start: int) -> pa.RecordBatch:
-    n = len(block)
-    arrays = [
-        pa.array(block.doc, pa.int64()), *[pa.nulls(n, pa.int64())] * 3, pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()),
-        pa.array(np.arange(start, start + n), pa.int64()), pa.array(block.pos, pa.int32()),
-        pa.array([r.tobytes() for r in block.after], pa.binary()), pa.array([r.tobytes() for r in block.before], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each suffix with the nearest ones before and after it that are of other documents.
-
-    The suffixes of the first and of the last document of a task lack one neighbour; they
-    are given out as they are, for the task next to it.
-    """
-    part = TaskContext.get().partitionId()
-    held: _Block | None = None  # the last document's run so far, and the row before it
-    lead = 0  # rows of ``held`` that were compared with what is before them
-    begun, total = False, 0
-    for batch in batches:
-        new = _Block.of(batch)
-        if not len(new):
-            continue
-        block = new if held is None else held.join(new)
-        change = np.flatnonzero(block.doc[1:] != block.doc[:-1]) + 1
-        starts = np.concatenate([[0], change])
-        ends = np.concatenate([change, [len(block)]])
-        length = ends - starts
-        previous = np.repeat(starts - 1, length)
-        following = np.repeat(ends, length)
-        index = np.arange(len(block))
-        fresh = index >= lead
-        back = fresh & (previous >= 0)
-        yield _found(_matches(block.take(index[back]), block.take(previous[back])))
-        ahead = (following < len(block)) & (index >= (1 if begun and held is not None else 0))
-        yield _found(_matches(block.take(index[ahead]), block.take(following[ahead])))
-        if not begun and len(starts) > 1:
-            yield _edges(block.take(slice(0, ends[0])), part, FIRST, 0)
-            begun = True
-        total += len(new)
-        # Keep the last run, and the row before it where there is one.
-        keep = max(0, starts[-1] - 1) if begun else 0
-        held = block.take(slice(keep, len(block)))
-        lead = len(held)
-    if held is not None:
-        last = held.take(slice(1, len(held))) if begun else held
-        if not begun:
-            yield _edges(last, part, FIRST, 0)
-        yield _edges(last, part, LAST, total - len(last))
-
-
-def _across(found: DataFrame) -> DataFrame:
-    """Matches between the ends of neighbouring tasks."""
-    parts = found.filter("edge IS NOT NULL").select("part").distinct()
-    order = Window.orderBy("part")  # one row per task
-    beside = parts.select("part", F.lag("part").over(order).alias("before_part"), F.lead("part").over(order).alias("after_part"))
-    rows = found.filter("edge IS NOT NULL").select("part", "edge", "at", "doc_id", "pos", "after", "before")
-    end = Window.partitionBy("part")
-    other = ["doc_id", "pos", "after", "before"]
-    named = [F.col(c).alias(f"o_{c}") for c in other]
-    firsts = rows.filter(f"edge = {FIRST} AND at = 0").select(F.col("part").alias("after_part"), *named)
-    tails = rows.filter(f"edge = {LAST}").withColumn("top", F.max("at").over(end)).filter("at = top")
-    lasts = tails.select(F.col("part").alias("before_part"), *named)
-    columns = [*other, *[f"o_{c}" for c in other]]
-    ahead = rows.filter(f"edge = {LAST}").join(beside, "part").join(firsts, "after_part").select(*columns)
-    back = rows.filter(f"edge = {FIRST}").join(beside, "part").join(lasts, "before_part").select(*columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _Block.of(batch), _Block.of(batch, "o_")
-            arrays = [pa.array(c, pa.int64()) for c in _matches(a, b)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(_MATCH))
-
-    return ahead.unionByName(back).mapInArrow(run, "doc_id bigint, start bigint, stop bigint, other bigint")
+    return texts(docs).join(places, "doc_id").mapInArrow(run, "doc_id bigint, start int, h bigint")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Passages of at least 50 words that other documents have too, in words from 0.
 
     One row per passage: ``doc_id``, ``start_word``, ``end_word`` (exclusive), ``n_words``, and
-    ``other_id``, the smallest of the neighbouring documents that have a part of it. Words are
+    ``other_id``, the smallest of the documents that a part of it was met in: for each 50 words
+    the first document that has them or, in that document itself, the last. Words are
     parted by white space and compared without regard to the case of A-Z. Documents with fewer
     words, null texts and rows with a null ``doc_id`` have no rows; rows that repeat a
     ``doc_id`` are one document, which is not compared with itself.
     """
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     docs = docs.filter("doc_id IS NOT NULL")
+    ends = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b")]
     kept = scratch.keep(_kept(docs))
-    several = kept.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("run")
+    several = kept.groupBy("run").agg(*ends).filter("a <> b").select("run")
     # Written before the join, so that both of its sides are plain shuffles and a frequent run can be split.
-    suffixes = scratch.keep(_contexts(docs, kept.join(scratch.keep(several), "run").select("doc_id", "pos")))
+    windows = scratch.keep(_windows(docs, kept.join(scratch.keep(several), "run").select("doc_id", "pos")))
     scratch.drop(kept)
-    order = ["after", "before", "doc_id", "pos"]
-    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = scratch.keep(ranged.select("doc_id", "pos", "after", "before").mapInArrow(_compare, _FOUND_DDL))
-    scratch.drop(suffixes)
-    spans = found.filter("edge IS NULL").select("doc_id", "start", "stop", "other").unionByName(_across(found))
-    spans = spans.groupBy("doc_id", "start", "stop").agg(F.min("other").alias("other"))
-    # Overlapping matches of a document are one passage.
+    shared = scratch.keep(windows.groupBy("h").agg(*ends).filter("a <> b"))
+    other = F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    spans = windows.join(shared, "h").select("doc_id", "start", (F.col("start") + LEAST).alias("stop"), other.alias("other"))
+    # Overlapping windows of a document are one passage.
     so_far = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))

@@ -345,6 +345,22 @@ def test_a_passage_that_very_many_documents_share(spark):
     assert {x["doc_id"] for x in found} == set(range(300))
 
 
+def test_passages_that_end_or_begin_in_frequent_words(spark):
+    r = random.Random(12)
+    phrase, rare = corpus.prose(r, 40), lambda n: corpus.prose(r, n)
+    rows = [f"{rare(15)} {phrase} {rare(15)}" for _ in range(300)]
+    for k in range(24):
+        own = rare(20) if k % 3 else rare(15)
+        passage = (f"{own} {phrase}", f"{phrase} {own}", f"{phrase.split(' ', 20)[-1]} {own} {phrase}")[k % 3]
+        rows += [f"{rare(12)} {passage} {rare(12)}" for _ in range(2)]
+    r.shuffle(rows)
+    want = corpus.repeated_words(list(enumerate(rows)))
+    got = defaultdict(set)
+    for x in suffix_dedup.repeats(corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(rows)])).collect():
+        got[x["doc_id"]].update(range(x["start_word"], x["end_word"]))
+    assert len(want) == 48 and got == want
+
+
 # ---- 8: exact copies by a stream
 
 
