@@ -69,13 +69,18 @@ def _byte_names(level) -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Token ids of a text as little-endian unsigned 32-bit integers, without special tokens."""
+def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
+    """Token ids of a text as little-endian unsigned 32-bit integers; none are put around the text.
+
+    With ``added``, as the tokenizer does by itself, an added token spelled out in the text is
+    one id; without, it is text like any other.
+    """
     one_thread()
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not added
+    spelled = [t.content.lower() for t in whole.get_added_tokens_decoder().values()] if added else []
     model = whole.model
     names = _byte_names(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
 
@@ -86,9 +91,10 @@ def encoder(path: str) -> Callable[[str], bytes]:
     words = _Words(of_word)
 
     def encode(text: str) -> bytes:
-        if _OTHER.search(text):
+        low = text.lower()
+        if _OTHER.search(text) or any(t in low for t in spelled):
             return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(words.__getitem__, _PIECE.findall(text.lower())))
+        return b"".join(map(words.__getitem__, _PIECE.findall(low)))
 
     return encode
 
@@ -111,7 +117,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: st
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or tokenizer_path())
+        encode = encoder(path or tokenizer_path(), added=True)
 
         def rows():
             salt = 0
@@ -214,7 +220,7 @@ def sequences(docs: DataFrame, packed: DataFrame, window: int = WINDOW, end_id:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or tokenizer_path())
+        encode = encoder(path or tokenizer_path(), added=True)
 
         def rows():
             for doc_id, text in rows_of(batches, "doc_id", "text"):

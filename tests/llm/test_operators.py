@@ -183,6 +183,22 @@ def test_pieces_cover_documents(data, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_added_tokens_in_a_text_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b" * 1500, "<|EndOfText|> <|endoftext", "日<|endoftext|><|endoftext|>", "plain"]
+    docs = corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    want = {i: own.encode(t, add_special_tokens=False).ids + [packing.END_ID] for i, t in enumerate(texts)}
+    assert 49407 in want[0] and want[1][1] == 49406 and len(want[1]) > packing.WINDOW
+    for r in packing.pack(docs).collect():
+        ids = np.array(want[r["doc_id"]], "<u4")
+        part = ids[r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(part.tobytes())
+    made = packing.sequences(docs, packing.pack(docs)).collect()
+    assert sorted(x for r in made for x in r["ids"]) == sorted(sum(want.values(), []))
+
+
 # ---- 4: mixing
 
 
