@@ -9,6 +9,9 @@ each step is one sum over the documents, and the driver holds one number per dom
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +21,11 @@ from plumbline.llm.common import Scratch
 
 #: Shares of the tokens that each domain should have.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
-#: No document is repeated more often than this.
-MOST = 4.0
+#: Rates have no upper bound of their own: any would leave targets of rare domains out of reach.
+MOST = math.inf
 STEPS = 60
+#: A share further from its target than this is logged.
+OFF = 0.01
 #: Steps end when no domain is further from its target than this share of all tokens, or nothing moves.
 CLOSE = 1e-6
 
@@ -51,7 +56,8 @@ def _rate(steps: list[np.ndarray], width: int, least: float, most: float) -> Col
 
     def step(rate: Column, move: Column) -> Column:
         change = sum((F.col(f"_p{k}") * F.element_at(move, k + 1) for k in range(width)), F.lit(0.0))
-        return F.greatest(F.lit(least), F.least(F.lit(most), rate - change))
+        moved = F.greatest(F.lit(least), rate - change)
+        return moved if math.isinf(most) else F.least(F.lit(most), moved)
 
     return F.aggregate(taken, F.lit(1.0), step)
 
@@ -103,43 +109,67 @@ def copies(rate: Column, *key: Column | str) -> Column:
     return (whole + F.when(dice < rate - whole, 1).otherwise(0)).cast("int")
 
 
-def mix(
+def mix_with_shares(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, most: float = MOST, keep_all: bool = False,
     sample: int = subword.SAMPLE,
-) -> DataFrame:
-    """``doc_id``, ``n_words``, a probability per domain (``p_<domain>``), ``rate`` and ``copies`` of every document.
+) -> tuple[DataFrame, dict[str, float]]:
+    """``doc_id``, ``n_words``, a probability per domain (``p_<domain>``), ``rate`` and ``copies`` of every document;
+    and the share of the tokens that each domain is expected to have at these rates.
 
     Null and empty texts have the classifier's constant as probabilities and no tokens, so
     they follow the rates but do not move them. Rows that repeat a ``doc_id`` are documents of
     their own with the same number of copies if their texts are equal. Copies are drawn by a
-    hash of ``doc_id``, so runs agree.
+    hash of ``doc_id``, so runs agree. A share that misses its target is logged.
     """
     domains = sorted(targets)
-    rated = _rated(docs.select("doc_id", "text"), labelled, targets, least, most, keep_all, sample, ("text",))
-    return rated.select(
+    rated, shares = _rated(docs.select("doc_id", "text"), labelled, targets, least, most, keep_all, sample, ("text",))
+    found = rated.select(
         "doc_id", F.col("_words").alias("n_words"), *[F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(domains)],
         F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id").alias("copies"),
     )
+    return found, shares
+
+
+def mix(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, most: float = MOST, keep_all: bool = False,
+    sample: int = subword.SAMPLE,
+) -> DataFrame:
+    """The documents of ``mix_with_shares``."""
+    return mix_with_shares(docs, labelled, targets, least, most, keep_all, sample)[0]
 
 
 def _rated(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float, most: float, keep_all: bool, sample: int,
     without: tuple[str, ...] = (),
-) -> DataFrame:
-    """``posteriors`` with a ``_rate``, written once and without the columns not needed again."""
+) -> tuple[DataFrame, dict[str, float]]:
+    """``posteriors`` with a ``_rate``, written once and without the columns not needed again; and the shares reached."""
     domains = sorted(targets)
     found = Scratch(docs.sparkSession, "mixing").keep(posteriors(docs, labelled, domains, sample).drop(*without))
-    return fit_rates(found, [targets[d] for d in domains], least, most, keep_all=keep_all)[0]
+    rated, got = fit_rates(found, [targets[d] for d in domains], least, most, keep_all=keep_all)
+    shares = dict(zip(domains, got))
+    whole = sum(targets.values())
+    missed = {d: (round(targets[d] / whole, 4), round(v, 4)) for d, v in shares.items() if abs(v - targets[d] / whole) > OFF}
+    if missed:
+        logging.getLogger(__name__).warning("shares off their targets (wanted, reached): %s", missed)
+    return rated, shares
 
 
-def repeat(
+def repeat_with_shares(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 1.0, most: float = MOST, keep_all: bool = True,
     sample: int = subword.SAMPLE,
-) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says, with all columns.
+) -> tuple[DataFrame, dict[str, float]]:
+    """The rows of ``docs``, each as often as its rate says, with all columns; and the shares that the rates give.
 
     As it stands no document is left out: domains that have too few tokens are repeated.
     """
-    rated = _rated(docs, labelled, targets, least, most, keep_all, sample)
+    rated, shares = _rated(docs, labelled, targets, least, most, keep_all, sample)
     times = rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("_rate"), "doc_id"))))
-    return times.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return times.select(*[F.col(f"`{c}`") for c in docs.columns]), shares
+
+
+def repeat(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 1.0, most: float = MOST, keep_all: bool = True,
+    sample: int = subword.SAMPLE,
+) -> DataFrame:
+    """The rows of ``repeat_with_shares``."""
+    return repeat_with_shares(docs, labelled, targets, least, most, keep_all, sample)[0]

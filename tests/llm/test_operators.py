@@ -257,6 +257,26 @@ def test_mixing_odd_inputs(spark, docs, empty):
     assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == docs.count()
 
 
+def test_registered_targets_are_met_when_one_language_holds_most(spark):
+    import corpus_pipeline
+
+    r = random.Random(16)
+    alphabets = {"en": "abcdefg", "de": "hijklmn", "fr": "opqrstu", "es": "vwxyzñé"}
+    langs = [lang for lang, n in {"en": 900, "de": 36, "fr": 34, "es": 30}.items() for _ in range(n)]
+    docs = corpus.frame(spark, [(i, corpus.prose(r, 40, alphabets[lang]), lang, "s", 1) for i, lang in enumerate(langs)], extra=False)
+    labelled = docs.selectExpr("doc_id", "lang AS label")
+    found = mixing.mix(docs, labelled).collect()
+    rate = {r["doc_id"]: r["rate"] for r in found}
+    for lang, want in mixing.TARGETS.items():
+        assert sum(v for i, v in rate.items() if langs[i] == lang) / sum(rate.values()) == pytest.approx(want, abs=0.01)
+    mixed = mixing.repeat(docs, labelled, corpus_pipeline.TARGETS).groupBy("lang").count().collect()
+    whole = sum(x["count"] for x in mixed)
+    for x in mixed:
+        assert x["count"] / whole == pytest.approx(corpus_pipeline.TARGETS[x["lang"]], abs=0.015)
+    _, shares = mixing.mix_with_shares(docs, labelled, most=2.0)
+    assert max(shares.values()) > 0.6  # a bound that binds can be seen
+
+
 # ---- 5: quality
 
 
