@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -68,21 +67,42 @@ def has_open_quote(spark: SparkSession, path: str) -> bool:
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool | None = None) -> DataFrame:
     """JSON lines split over tasks and suit large data; an array, or one object over several lines, is read as a whole.
 
-    Without ``lines`` the first line that is not blank tells which of the two it is.
+    Without ``lines`` the first lines that are not blank tell which of the two it is. Records
+    that do not parse are kept in ``_corrupt_record``, which with a schema is always there.
     """
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=not (is_json_lines(spark, path) if lines is None else lines))
+    whole = not (is_json_lines(spark, path) if lines is None else lines)
+    if schema is None:
+        return spark.read.json(path, multiLine=whole)
+    kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(kept).json(path, multiLine=whole, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
 
 
 def is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the first line that is not blank is an object by itself."""
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    if first is None:
-        return True
-    try:
-        return isinstance(json.loads(first["value"].lstrip("\ufeff")), dict)
-    except ValueError:
+    """Whether a file has a record a line: it begins with no array, nor with an object that goes on in the next line."""
+    first = [r["value"].lstrip("\ufeff").strip() for r in spark.read.text(path).where(F.trim("value") != "").take(2)]
+    if not first or first[0].startswith("["):
+        return not first
+    return len(first) == 1 or not goes_on(*first)
+
+
+def goes_on(line: str, following: str) -> bool:
+    """Whether an object that ``line`` leaves open goes on in the line ``following``; if not, ``line`` is broken."""
+    if not line.startswith("{"):
+        return False
+    held, quote, escaped = [], "", False
+    for c in line:
+        if quote:
+            quote, escaped = ("" if c == quote and not escaped else quote), c == "\\" and not escaped
+        elif c in "\"'":
+            quote = c
+        elif c in "{[":
+            held.append(c)
+        elif c in "}]" and held:
+            held.pop()
+    if quote or not held:
         return False
+    # Within an object a name or its end comes next, and another object only as a value.
+    return not following.startswith("{") or held[-1] == "[" or line.endswith(":")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

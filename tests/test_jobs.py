@@ -229,3 +229,25 @@ def test_warehouse_graph(spark):
     ops = spark.createDataFrame([(1, "drop_column", "people", "points", None, None)], "op_id int, op_type string, `table` string, `column` string, new_name string, new_dtype string")
     effects = {r["node"]: r for r in impact_of(found, ops).collect()}
     assert "report.total" in effects and all(0 <= r["probability"] <= 1 for r in effects.values())
+
+
+def test_json_lines_that_are_not_strict(spark, tmp_path):
+    rows = [f'{{"a": {i}}}' for i in range(100)]
+    texts = {
+        "single": "\n".join(x.replace('"', "'") for x in rows),
+        "commas": ",\n".join(rows) + ",\n",
+        "broken": "\n".join(['{"a": 0', *rows[1:]]),
+        "scalar": "\n".join(["7", *rows[1:]]),
+        "pretty": '{\n "a": 1\n}\n',
+        "nested": '{"a": 1, "b": [\n{"c": 1}\n]}\n',
+        "array": "\n[" + ",\n".join(rows) + "]",
+    }
+    schema = spark.range(0).selectExpr("id AS a").schema
+    counts = {}
+    for name, text in texts.items():
+        path = str(tmp_path / f"{name}.json")
+        (tmp_path / f"{name}.json").write_text(text)
+        found = files.read_json(spark, path, schema).cache()
+        counts[name] = (found.count(), found.where("a IS NOT NULL").count(), found.where("_corrupt_record IS NOT NULL").count())
+    whole, kept = (100, 100, 0), (100, 99, 1)
+    assert counts == {"single": whole, "commas": whole, "broken": kept, "scalar": kept, "pretty": (1, 1, 0), "nested": (1, 1, 0), "array": whole}
