@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from plumbline.plans import cleaning_jobs as J
@@ -12,6 +14,8 @@ from plumbline.workloads.registry import query, table, tables, view, with_views
 
 ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 ORDER_COLUMNS = ORDERS.split(", ")
+#: Rows of a JSON array, about.
+ARRAY_ROWS = 10_000
 
 
 def _plain_orders(spark, sf):
@@ -62,11 +66,12 @@ def io03(spark, sf):
 
 @query("io03_json_array", f"SELECT {ORDERS} FROM orders")
 def io03_array(spark, sf):
-    """One array per customer's file partition: each part file is a single record to the reader."""
+    """Arrays of some ``ARRAY_ROWS`` rows, one a file: each file is a single record to the reader, so their number follows the rows."""
     path = scratch_path(spark, "arrays.json")
     orders = _plain_orders(spark, sf)
-    grouped = orders.groupBy(F.pmod("o_custkey", F.lit(16)).alias("part")).agg(F.collect_list(F.struct(*ORDER_COLUMNS)).alias("rows"))
-    grouped.select(F.to_json("rows").alias("value")).repartition(16).write.option("maxRecordsPerFile", 1).text(path)
+    parts = max(1, math.ceil(orders.count() / ARRAY_ROWS))
+    grouped = orders.groupBy(F.pmod(F.xxhash64("o_orderkey"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(*ORDER_COLUMNS)).alias("rows"))
+    grouped.select(F.to_json("rows").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return files.read_json(spark, path, orders.schema).select(*ORDER_COLUMNS)
 
 

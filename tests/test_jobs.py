@@ -251,3 +251,14 @@ def test_json_lines_that_are_not_strict(spark, tmp_path):
         counts[name] = (found.count(), found.where("a IS NOT NULL").count(), found.where("_corrupt_record IS NOT NULL").count())
     whole, kept = (100, 100, 0), (100, 99, 1)
     assert counts == {"single": whole, "commas": whole, "broken": kept, "scalar": kept, "pretty": (1, 1, 0), "nested": (1, 1, 0), "array": whole}
+
+
+def test_json_arrays_do_not_grow_with_a_frequent_customer(spark, tmp_path):
+    from plumbline.workloads.sources import io03_array
+
+    spark.range(60_000).selectExpr(
+        "id AS o_orderkey", "16L AS o_custkey", "'O' AS o_orderstatus", "1.5D AS o_totalprice", "DATE '1995-01-01' AS o_orderdate", "'1' AS o_orderpriority"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    found = io03_array(spark, str(tmp_path))
+    sizes = [r["count"] for r in found.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 60_000 and found.select("o_orderkey").distinct().count() == 60_000 and max(sizes) < 15_000
