@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    collocations,
+    divergence,
     line_dedup,
     mixing,
     near_dedup,
@@ -18,6 +20,7 @@ from plumbline.llm import (
     sharding,
     stream_dedup,
     suffix_dedup,
+    token_counts,
 )
 from plumbline.llm.common import table
 
@@ -95,3 +98,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secrets_by_grammar")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+OP11_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+  FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 30),
+inner_ AS (
+  SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)]) AS phrase
+  FROM (SELECT *, unnest([2, 3]) AS m FROM c) WHERE m < k),
+held AS (SELECT lang, phrase, max(a) AS longest FROM inner_ GROUP BY ALL),
+free AS (
+  SELECT c.* FROM c LEFT JOIN held USING (lang, phrase) WHERE longest IS NULL OR 100 * longest::HUGEINT < 80 * a::HUGEINT),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS x,
+    array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM free)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, p.f AS l, q.f AS r, (2000000 * c.a::HUGEINT // (p.f + q.f))::BIGINT AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = x JOIN f q ON q.lang = c.lang AND q.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_debruijn_phrases", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merge_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * v.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 5)) // (v.n + 5 * v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x
+  ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query("op13_pattern_tree_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
