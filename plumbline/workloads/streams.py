@@ -8,6 +8,7 @@ from plumbline.operators.admission import admit
 from plumbline.operators.logs import LATENCY_BOUNDS
 from plumbline.session import scratch_path
 from plumbline.streaming import jobs as S
+from plumbline.streaming.admission import admit_all
 from plumbline.workloads.registry import query, rounded, table
 
 RULES = [
@@ -15,6 +16,8 @@ RULES = [
     {"id": "type_enum", "type": "enum_check", "field": "event_type", "allowed_values": ["view", "click", "purchase"], "severity": "warning"},
 ]
 LIMIT, WINDOW = 2, 6 * 3600
+#: Batches of events, dealt by hash, that the admission stream reads one after the other.
+BATCHES = 5
 
 
 def _events(spark, sf):
@@ -47,9 +50,17 @@ def st01(spark, sf):
 
 @query("st01_admission_stream", ADMISSION_SQL)
 def st01_stream(spark, sf):
+    """Files of shuffled events, one a batch, decided in the order of time."""
     out, checkpoint = _paths(spark, "st01")
-    stream = S.admission_stream(_events(spark, sf), "user_id", "ts", "event_id", LIMIT, WINDOW, "1 hour")
-    S.to_folder(stream, out, checkpoint)
+    root = scratch_path(spark, "st01_in")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    files = max(BATCHES, events.rdd.getNumPartitions())
+    events.repartition(files, "event_id").write.parquet(f"{root}/events")
+    stream = S.read_folder(spark, f"{root}/events", events.schema, maxFilesPerTrigger=-(-files // BATCHES))
+    admit_all(
+        spark, stream, out, checkpoint, f"{root}/beats", key="user_id", ts="ts", tie="event_id", limit=LIMIT, window_sec=WINDOW,
+        delay="3650 days", bucket_sec=WINDOW,
+    )
     return spark.read.parquet(out).select("event_id", "user_id", "accepted", "remaining")
 
 

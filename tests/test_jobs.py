@@ -157,18 +157,6 @@ def test_admission_golden(spark):
     assert [r["accepted"] for r in got] == [True, True, True, False] and got[-1]["remaining"] == 0
 
 
-def test_admission_stream_over_several_batches(spark, tmp_path):
-    rows = event_rows(300)
-    for n in range(3):
-        events(spark, rows[n * 100 : (n + 1) * 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    stream = S.read_folder(spark, str(tmp_path / "in"), schema, maxFilesPerTrigger=1)
-    admitted = S.admission_stream(stream, "k", "ts", "i", 3, 30, "1 hour")
-    S.to_folder(admitted, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
-    got = {r["i"]: (r["accepted"], r["remaining"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == brute(rows, 3, 30)
-
-
 def test_quarantine_equals_batch(spark, tmp_path):
     df = spark.range(100).select("id", (F.col("id") % 10).alias("v"))
     df.write.parquet(str(tmp_path / "in"))
