@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.grading import effect_type, is_destructive, op_label, op_multiplier
 from plumbline.functions.names import jobs_of_node, node_id
-from plumbline.session import cut_lineage
+from plumbline.session import Steps, cut_lineage
 from plumbline.session import small_frame
 
 DIRECT_DECAY = 0.8
@@ -105,44 +105,32 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, pa
     only best rows of round h-1 can extend to it.
 
     The rank is limited to one in each task before the shuffle, so popular nodes are cut
-    down where they arise. Without ``paths`` a plain maximum replaces the rank.
+    down where they arise. Without ``paths`` a plain maximum replaces the rank. The tables of the rounds are
+    removed at the end.
     """
-    step = cut_lineage(links(edges))
-    begin = starts.select("start").distinct()
-    empty = F.array().cast("array<string>")
-    front = begin.select(
-        "start",
-        F.col("start").alias("node"),
-        F.lit(0).alias("hops"),
-        F.lit(1.0).alias("weight"),
-        (F.array("start") if paths else empty).alias("path"),
-    )
-    front = cut_lineage(front)
-    done = [front]
-    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
-        known = reduce(DataFrame.unionByName, done).select("start", "node")
-        grown = (
-            front.join(step.withColumnRenamed("weight", "w"), F.col("node") == F.col("source"))
-            .select(
-                "start",
-                F.col("target").alias("node"),
-                (F.col("weight") * F.col("w")).alias("weight"),
-                (F.concat("path", F.array("target")) if paths else empty).alias("path"),
-            )
-        )
-        best = _best(grown, paths)
-        fresh = best.join(known, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        front = cut_lineage(fresh.select("start", "node", "hops", "weight", "path"))
-        if front.isEmpty():
-            break
-        done.append(front)
-    return reduce(DataFrame.unionByName, done[1:]) if len(done) > 1 else done[0].limit(0)
+    with Steps(starts.sparkSession, "closure") as steps:
+        step = steps.keep(links(edges).withColumnRenamed("weight", "w"))
+        front = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(1.0).alias("weight"), F.array("start").alias("path"))
+        front = steps.keep(front if paths else front.drop("path"))
+        done = [front]
+        for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+            known = reduce(DataFrame.unionByName, done).select("start", "node")
+            further = {"node": F.col("target"), "weight": F.col("weight") * F.col("w")}
+            if paths:
+                further["path"] = F.concat("path", F.array("target"))
+            grown = front.join(step, F.col("node") == F.col("source")).withColumns(further).select(front.columns)
+            front = steps.keep(_best(grown, paths).join(known, ["start", "node"], "left_anti"))
+            if front.isEmpty():
+                break
+            done.append(front)
+        reached = [df.withColumn("hops", F.lit(hop)) for hop, df in enumerate(done[1:], 1)] or [front.withColumn("hops", F.lit(0)).limit(0)]
+        path = "path" if paths else F.array().cast("array<string>").alias("path")
+        return cut_lineage(reduce(DataFrame.unionByName, reached).select("start", "node", "hops", "weight", path))
 
 
 def _best(grown: DataFrame, paths: bool) -> DataFrame:
     if not paths:
-        empty = F.array().cast("array<string>")
-        return grown.groupBy("start", "node").agg(F.max("weight").alias("weight")).withColumn("path", empty)
+        return grown.groupBy("start", "node").agg(F.max("weight").alias("weight"))
     order = Window.partitionBy("start", "node").orderBy(F.desc("weight"), "path")
     return grown.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 

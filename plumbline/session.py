@@ -31,18 +31,22 @@ def local_session(cores: int | str = "*", app: str = "plumbline") -> SparkSessio
     )
 
 
+#: Folders made for local sessions without the setting, by application: a running session does not take it.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder: on a cluster that
     folder would exist on one machine only, so a missing setting is an error there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_dirs.get(spark.sparkContext.applicationId)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_dirs[spark.sparkContext.applicationId] = root
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -76,3 +80,23 @@ def at_once(jobs: list[Callable[[], X]]) -> list[X]:
         return [job() for job in jobs]
     with ThreadPoolExecutor(min(JOBS_AT_ONCE, len(jobs))) as pool:
         return list(pool.map(lambda job: job(), jobs))
+
+
+class Steps:
+    """Tables that one job writes to the shared folder on its way, removed when it ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.number = spark, scratch_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        path = f"{self.root}/{self.number}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
