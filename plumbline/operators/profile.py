@@ -35,16 +35,42 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, int]:
-    """Distinct non-null values per column; exact counts shuffle values once, pre-aggregated per task."""
-    count = F.count_distinct if exact else F.approx_count_distinct
+def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True, one_pass: bool = False) -> dict[str, int]:
+    """Distinct non-null values per column.
+
+    Exact counts take a small job per column, which reads that column alone: together they read a
+    columnar table once. Where a row is dear to come by, as from text files or behind joins,
+    ``one_pass`` counts all columns in one reading.
+    """
+    if exact and one_pass:
+        return _exact_counts(df, {c: _q(c) for c in columns})
+    if exact:
+        single = [lambda c=c: df.select(_q(c).alias("v")).where("v is not null").distinct().count() for c in columns]
+        return dict(zip(columns, at_once(single)))
     found: dict[str, int] = {}
     for part in chunks(columns):
-        row = df.agg(*[count(_q(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
+        row = df.agg(*[F.approx_count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
         found |= dict(zip(part, row))
     return found
 
 
+def _exact_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
+    """Distinct non-null values of each expression, in one grouped pass.
+
+    A value goes as its column's number and a hash of 128 bits, whatever its type and length, and
+    is reduced per task before the shuffle; no row carries the other columns along.
+    """
+    found = dict.fromkeys(values, 0)
+    for part in chunks(list(values)):
+        one = [
+            F.when(values[c].isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(values[c]).alias("a"), F.xxhash64(F.lit(1), values[c]).alias("b")))
+            for i, c in enumerate(part)
+        ]
+        seen = df.select(F.explode(F.array(*one)).alias("v")).where("v is not null").select("v.i", "v.a", "v.b").distinct()
+        found |= {part[r["i"]]: r["count"] for r in seen.groupBy("i").count().collect()}
+    return found
+
+
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> tuple[int, dict[str, int]]:
     """Row count and null count of each column, in one scan."""
     columns = df.columns if columns is None else columns
@@ -207,8 +233,7 @@ def inference_stats(df: DataFrame, table: str) -> list[tuple]:
                 F.avg(v).alias(f"avg{i}"),
                 F.stddev_pop(v).alias(f"std{i}"),
             ]
-        unique_aggs = [F.count_distinct(present[c]) for c in part]
-        row, unique = at_once([lambda a=aggs: df.agg(*a).first(), lambda a=unique_aggs: df.agg(*a).first()])
+        row, unique = at_once([lambda a=aggs: df.agg(*a).first(), lambda v=present: _exact_counts(df, v)])
         for i, c in enumerate(part):
             n, total = row[f"n{i}"], row["rows"]
             rows.append(
@@ -218,8 +243,8 @@ def inference_stats(df: DataFrame, table: str) -> list[tuple]:
                     n,
                     total - n,
                     1.0 if n == 0 else (total - n) / total,
-                    unique[i],
-                    unique[i] / n if n else 0.0,
+                    unique[c],
+                    unique[c] / n if n else 0.0,
                     *[row[f"{k}{i}"] for k in ("lo", "hi", "avg", "std")],
                 )
             )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import load_profiles as LP
 from plumbline.operators import profile as P
 from plumbline.operators import scoring as S
+from plumbline.session import scratch_path, small_frame
 from plumbline.workloads.registry import joined, profile_sql, query, rounded, table, tables, view, with_views
 
 PROFILE_COLUMNS = (
@@ -44,6 +46,37 @@ def ag01_extremes(spark, sf):
     return prof.select("column", F.col("min").cast("double").alias("low"), F.col("max").cast("double").alias("high"))
 
 
+MERGED = ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+MERGED_NUMBERS = MERGED[:3]
+
+
+@query(
+    "ag01_merged_profile",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) - count({c}) AS null_count, "
+        + (f"min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, " if c in MERGED_NUMBERS
+           else "NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, ")
+        + f"true AS distinct_close, count(DISTINCT {c}) AS exact FROM lineitem"
+        for c in MERGED
+    ),
+)
+def ag01_merged(spark, sf):
+    """Profiles of the loads of seven years, kept apart and then merged; distinct values within 5 % of the exact ones."""
+    lineitem = table(spark, sf, "lineitem")
+    path = scratch_path(spark, "loads")
+    year = F.coalesce(F.year(F.col("l_shipdate").cast("date")), F.lit(0))
+    for load in [r[0] for r in lineitem.select(year).distinct().collect()]:
+        LP.store_load(lineitem.where(year == load), "lineitem", str(load), path)
+    merged = LP.merged_profile(LP.stored_loads(spark, path)).where(F.col("column").isin(MERGED))
+    exact = [(c, n) for c, n in P.distinct_counts(lineitem, MERGED).items()]
+    both = merged.join(small_frame(spark, exact, "`column` string, exact long"), "column")
+    number = lambda c: F.when(F.col("column").isin(MERGED_NUMBERS), F.col(c).cast("double"))
+    return both.select(
+        "column", "row_count", "null_count", number("min").alias("low"), number("max").alias("high"), F.round("mean", 4).alias("mean"),
+        F.round("std", 4).alias("std"), (F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(0.05 * F.col("exact"), F.lit(1))).alias("distinct_close"), "exact",
+    )
+
+
 TABLE_SCORE = """
 parts AS (
   SELECT "table", max(row_count) AS row_count, count(*) AS column_count, avg(null_pct) AS null_rate,

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import load_profiles as LP
 from plumbline.operators import profile as P
 from plumbline.operators import quantiles as Q
 from plumbline.operators import scoring as S
@@ -146,3 +147,30 @@ def test_infinite_values_count_as_missing(spark):
     r, n = A.correlations(df, {"a": F.col("a"), "b": F.col("b")}, [("a", "b")])[("a", "b")]
     plain = np.array([x[:2] for x in rows if math.isfinite(x[1])])
     assert n == 39 and r == pytest.approx(np.corrcoef(plain.T)[0, 1])
+
+
+def test_distinct_counts_agree(spark):
+    rows = [(i % 7, float("nan") if i % 5 == 0 else (-0.0 if i % 5 == 1 else 0.0), None if i % 3 else f"é{i % 4}", i % 2 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "a long, `b.c` double, d string, e boolean").repartition(4)
+    want = {"a": 7, "b.c": 2, "d": 4, "e": 2}
+    assert P.distinct_counts(df, df.columns) == P.distinct_counts(df, df.columns, one_pass=True) == want
+    assert P.distinct_counts(df.limit(0), df.columns, one_pass=True) == dict.fromkeys(want, 0)
+
+
+def test_merged_loads_equal_one_profile(spark, tmp_path):
+    df = spark.range(5000).selectExpr(
+        "id", "case when id % 10 > 0 then cast(id * 7 % 1000 as double) end AS v", "concat('n', id % 300) AS s", "cast(null as int) AS none", "date_add(date'2020-01-01', cast(id % 40 as int)) AS day"
+    )
+    path = str(tmp_path / "loads")
+    for load, part in (("a", "id < 100"), ("b", "id between 100 and 2999"), ("c", "id > 2999"), ("d", "id < 0")):
+        LP.store_load(df.where(part), "t", load, path)
+    LP.store_load(df.where("id > 2999"), "t", "c", path)  # again: replaces its own rows
+    merged = {r["column"]: r for r in LP.merged_profile(LP.stored_loads(spark, path)).collect()}
+    for r in P.profile(spark, {"t": df}).collect():
+        m = merged[r["column"]]
+        assert (m["row_count"], m["null_count"], m["null_pct"]) == (r["row_count"], r["null_count"], r["null_pct"])
+        assert (m["min"], m["max"]) == (r["min"], r["max"])
+        assert abs(m["distinct_count"] - r["distinct_count"]) <= 0.05 * r["distinct_count"]
+        for c in ("mean", "std"):
+            assert m[c] == r[c] or abs(m[c] - r[c]) < 1e-6 * abs(r[c])
+    assert LP.merged_profile(LP.stored_loads(spark, path).limit(0)).count() == 0
