@@ -9,6 +9,7 @@ from plumbline.operators.logs import LATENCY_BOUNDS
 from plumbline.session import scratch_path
 from plumbline.streaming import jobs as S
 from plumbline.streaming.admission import admit_all
+from plumbline.streaming.uniqueness import outcome, store_changes
 from plumbline.workloads.registry import query, rounded, table
 
 RULES = [
@@ -26,6 +27,14 @@ def _events(spark, sf):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _in_batches(spark, sf, path):
+    """The events dealt over files by hash, as a stream of ``BATCHES`` batches."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    files = max(BATCHES, events.rdd.getNumPartitions())
+    events.repartition(files, "event_id").write.parquet(path)
+    return S.read_folder(spark, path, events.schema, maxFilesPerTrigger=-(-files // BATCHES))
+
+
 def _paths(spark, name):
     root = scratch_path(spark, name)
     return f"{root}/out", f"{root}/checkpoint"
@@ -53,10 +62,7 @@ def st01_stream(spark, sf):
     """Files of shuffled events, one a batch, decided in the order of time."""
     out, checkpoint = _paths(spark, "st01")
     root = scratch_path(spark, "st01_in")
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    files = max(BATCHES, events.rdd.getNumPartitions())
-    events.repartition(files, "event_id").write.parquet(f"{root}/events")
-    stream = S.read_folder(spark, f"{root}/events", events.schema, maxFilesPerTrigger=-(-files // BATCHES))
+    stream = _in_batches(spark, sf, f"{root}/events")
     admit_all(
         spark, stream, out, checkpoint, f"{root}/beats", key="user_id", ts="ts", tie="event_id", limit=LIMIT, window_sec=WINDOW,
         delay="3650 days", bucket_sec=WINDOW,
@@ -103,6 +109,18 @@ def st03_quarantine(spark, sf):
     return spark.read.parquet(out).select("event_id", F.array_join("broken_rules", "|").alias("broken_rules"))
 
 
+@query(
+    "st03_uniqueness",
+    "SELECT count(*) FILTER (WHERE n > 1) AS duplicated_values, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS duplicated_rows, sum(n)::BIGINT AS total_count "
+    "FROM (SELECT count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id)",
+)
+def st03_unique(spark, sf):
+    out, checkpoint = _paths(spark, "st03u")
+    stream = _in_batches(spark, sf, scratch_path(spark, "st03_in"))
+    store_changes(spark, stream, "user_id", out, checkpoint)
+    return outcome(spark, out)
+
+
 @query(
     "st04_freshness_lag",
     "SELECT event_type, round((epoch_us(TIMESTAMP '2024-06-01 00:00:00') - epoch_us(max(ts))) / 60000000.0, 4) AS lag_minutes FROM events GROUP BY 1",

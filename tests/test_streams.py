@@ -6,8 +6,10 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from plumbline.operators import admission as A
+from plumbline.operators import rules as R
 from plumbline.streaming import admission as SA
 from plumbline.streaming import jobs as S
+from plumbline.streaming import uniqueness as SU
 
 
 def shuffled(spark, rows, path, files):
@@ -57,3 +59,19 @@ def test_admission_decides_as_the_watermark_goes(spark, tmp_path):
     # What lies before the watermark is left out.
     shuffled(spark, [("a", 900, 5, ""), ("a", 1200, 6, "")], data, 1)
     assert 5 not in run()
+
+
+def test_uniqueness_over_batches_equals_one_batch(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(None if i % 11 == 0 else f"k{rnd.randrange(150)}" if i % 3 else "hot", i, i, None) for i in range(300)] + [("once", 1, 1, None)]
+    data, out, cp = (str(tmp_path / p) for p in ("in", "out", "cp"))
+    shuffled(spark, rows, data, 5)
+    SU.store_changes(spark, stream_of(spark, data), "k", out, cp)
+    want = R._duplicates(spark.read.parquet(data), "k")
+    assert tuple(SU.outcome(spark, out).first()) == (want["v"], want["r"], want["n"])
+    assert spark.read.parquet(out).select("batch").distinct().count() >= 5
+    # More data later goes on from the state kept.
+    shuffled(spark, [("once", 5, 5, None), ("new", 6, 6, None)], data, 1)
+    SU.store_changes(spark, stream_of(spark, data), "k", out, cp)
+    want = R._duplicates(spark.read.parquet(data), "k")
+    assert tuple(SU.outcome(spark, out).first()) == (want["v"], want["r"], want["n"])
