@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import graph as G
 from plumbline.operators import infer as I
+from plumbline.operators.asof import factual_scores
 from plumbline.workloads.inference import ALL_EDGES, LINKED_VIEWS, linked
 from plumbline.workloads.registry import COLUMNS, joined, query, rounded, table, tables, with_views
 
@@ -307,6 +308,31 @@ def gr12(spark, sf):
     return rounded(G.what_if(_impact(spark, sf), OUTCOMES))
 
 
+FACTUAL = (
+    "factual AS (SELECT o_orderkey AS op_id, l_quantity * 2.0::DOUBLE AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate < o_orderdate + INTERVAL 45 DAY "
+    "QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate DESC, l_quantity DESC) = 1)"
+)
+
+
+@query(
+    "gr12_factual",
+    f"WITH RECURSIVE {EFFECTS}, {OUTCOME_SQL}, {FACTUAL} SELECT op_id, outcome, round(any_value(score), 4) AS factual, "
+    "round(CASE WHEN any_value(score) IS NOT NULL THEN greatest(0.0, any_value(score) - max(p) * 30) END, 4) AS what_if FROM chosen LEFT JOIN factual USING (op_id) GROUP BY 1, 2",
+)
+def gr12_factual(spark, sf):
+    """The score of each order's table when its operation was made, beside the one to expect after it."""
+    made = F.col("o_orderdate").cast("timestamp") + F.expr("interval 45 days")
+    ops = table(spark, sf, "orders").select(F.col("o_orderkey").alias("op_id"), F.concat(F.lit("orders_"), "o_orderkey").alias("table"), made.alias("run_ts"))
+    history = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("orders_"), "l_orderkey").alias("table"),
+        F.col("l_shipdate").cast("timestamp").alias("run_ts"),
+        (F.col("l_quantity") * 2).cast("double").alias("score"),
+    )
+    expected = G.what_if(_impact(spark, sf), OUTCOMES).join(factual_scores(ops, history), "op_id", "left")
+    after = F.when(F.col("factual").isNotNull(), F.greatest(F.lit(0.0), F.col("factual") - F.col("quality_loss")))
+    return rounded(expected.select("op_id", "outcome", "factual", after.alias("what_if")))
+
+
 # ---- measures of the whole graph
 
 SCORES = "scores AS (SELECT concat('supplier_', s_suppkey, '.quality_score') AS node, s_acctbal / 100 AS score FROM supplier UNION ALL SELECT concat('customer_', c_custkey, '.id'), c_acctbal / 100 FROM customer UNION ALL SELECT concat('nation_', n_nationkey, '.id'), 80.0 FROM nation)"
