@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Stand-ins for commas and line breaks within quotes while a text is cut; not used by texts.
-COMMA, BREAK, RETURN = "\ue000", "\ue001", "\ue002"
+# While a text is cut, this character and a letter stand for a comma or a line break within quotes,
+# and for the character itself, so that any text comes back as it was.
+ESCAPE = "\ue000"
+SHELTERED = {",": "c", "\n": "n", "\r": "r"}
 
 
 def _unquote(c: Column) -> Column:
-    inner = F.translate(c, COMMA + BREAK + RETURN, ",\n\r")
+    inner = c
+    for sign, letter in SHELTERED.items():
+        inner = F.replace(inner, F.lit(ESCAPE + letter), F.lit(sign))
+    inner = F.replace(inner, F.lit(ESCAPE + "x"), F.lit(ESCAPE))
     return F.regexp_replace(F.regexp_replace(F.trim(inner), r'^"|"$', ""), '""', '"')
 
 
 def _sheltered(text: Column) -> Column:
     """The text with commas and line breaks within quotes replaced; every second part between quotes is inside."""
-    parts = F.transform(
-        F.split(text, '"'), lambda part, i: F.when(i % 2 == 1, F.translate(part, ",\n\r", COMMA + BREAK + RETURN)).otherwise(part)
-    )
+
+    def shelter(part: Column) -> Column:
+        for sign, letter in SHELTERED.items():
+            part = F.replace(part, F.lit(sign), F.lit(ESCAPE + letter))
+        return part
+
+    marked = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "x"))
+    parts = F.transform(F.split(marked, '"'), lambda part, i: F.when(i % 2 == 1, shelter(part)).otherwise(part))
     return F.array_join(parts, '"')
 
 

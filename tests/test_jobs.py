@@ -72,6 +72,13 @@ def test_text_findings_read_whole_texts(spark):
     assert len(row) == 1 and (row[0]["email_hits"], row[0]["phone_hits"]) == (1, 1)
 
 
+def test_payload_texts_come_back_as_they_were(spark):
+    odd = "\ue000x \ue000c, \ue001\r\n\ue002 \ue000"
+    rows = [(1, f'id,name\n7,"{odd}"\n8,plain\ue000')]
+    good, bad = payloads.parse_payloads(spark.createDataFrame(rows, "n int, body string"), "body", ["id", "name"], ["n"])
+    assert {(r["id"], r["name"]) for r in good.collect()} == {("7", odd), ("8", "plain\ue000")} and bad.count() == 0
+
+
 def test_payloads(spark):
     rows = [(1, '[{"id": 1, "name": "a"}, {"id": 2}]'), (2, '{"id": 3, "name": "c"}'), (3, 'name,id\r\n"x, y",4\n,5'), (4, "no records"), (5, "[broken"), (6, None),
         (7, 'id,name\n6,"two\nlines, ""quoted"""\n'), (8, '[x],id,name\n1,7,b')]
