@@ -9,9 +9,10 @@ confirmed by the size of the intersection of the full sets.
 Documents with equal sets are one node from the start, so copies cost one row each. In a
 bucket every node is first compared with a few hubs, the first of which is the node that most
 others share bands with: in a large group of near copies that is what they are copies of, and
-the group is linked without spelling out its pairs. What hubs have not linked is then compared in full, in blocks,
-but only between nodes that are not connected yet: no pair that could join two components is
-left out.
+the group is linked without spelling out its pairs. What hubs have not linked is then met by the
+rarest shingles of the full sets: two sets that are similar enough share one of their first few, in an order
+that puts rare ones first, at places that leave room for the rest of what they must share. Only
+nodes that are not connected yet meet, so no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -34,22 +35,20 @@ SAMPLES = 256
 BITS = 512
 #: Pairs whose sketches estimate less than this are not confirmed: more than four deviations below the bound.
 LEAST_ESTIMATE = 0.6
-#: Samples and bits of the finer sketch that the nodes left over by the hubs get, and its bound: four deviations again.
-FINE_SAMPLES, FINE_BITS, LEAST_FINE = 1024, 2048, 0.68
 #: Rounds in which each bucket's nodes meet one hub.
 HUBS = 2
-#: Nodes of a bucket that are compared at once; a larger bucket is cut into blocks of this size.
-BLOCK = 512
+#: Rows of one shingle on the smaller side of a meeting that go to one task; more are dealt to several.
+DEAL = 4096
 
-_ODD = np.random.default_rng(90210).integers(0, 2**63, size=FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(90210).integers(0, 2**63, size=SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def samples(found: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+def samples(found: np.ndarray) -> np.ndarray:
     """MinHash values of a set that is not empty."""
-    step = max(1, 65536 // count)
+    step = max(1, 65536 // SAMPLES)
     low = None
     for i in range(0, len(found), step):
-        part = np.multiply.outer(_ODD[:count], found[i : i + step]).min(axis=1)
+        part = np.multiply.outer(_ODD, found[i : i + step]).min(axis=1)
         low = part if low is None else np.minimum(low, part)
     return low
 
@@ -61,25 +60,20 @@ def bands(low: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def sketch(low: np.ndarray, bits: int = BITS) -> bytes:
+def sketch(low: np.ndarray) -> bytes:
     """Parities of the bits that the samples fall on."""
-    at = mix(low + np.arange(len(low), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+    at = mix(low + np.arange(len(low), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(BITS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def estimate(differing: np.ndarray, count: int = SAMPLES, bits: int = BITS) -> np.ndarray:
+def estimate(differing: np.ndarray) -> np.ndarray:
     """Similarity from the number of differing bits; 0 where more than half of them differ."""
-    rest = 1 - 2 * np.asarray(differing, dtype=float) / bits
-    return np.where(rest > 0, 1 + bits / (4 * count) * np.log(np.maximum(rest, 1e-9)), 0.0)
-
-
-def _most_bits(least: float, count: int, bits: int) -> int:
-    return int(np.flatnonzero(estimate(np.arange(bits // 2), count, bits) >= least).max())
+    rest = 1 - 2 * np.asarray(differing, dtype=float) / BITS
+    return np.where(rest > 0, 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(rest, 1e-9)), 0.0)
 
 
 #: Bits that may differ for the estimate to be fair.
-MOST_BITS = _most_bits(LEAST_ESTIMATE, SAMPLES, BITS)
-MOST_FINE_BITS = _most_bits(LEAST_FINE, FINE_SAMPLES, FINE_BITS)
+MOST_BITS = int(np.flatnonzero(estimate(np.arange(BITS // 2)) >= LEAST_ESTIMATE).max())
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -117,25 +111,12 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "node bigint, items binary")
 
 
-def _fair(a: Column, b: Column, bits: int = BITS, most: int = MOST_BITS) -> Column:
-    """Whether two sketches, as 64-bit words, differ in few enough bits."""
-    differing = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(bits // 64)), F.lit(0))
-    return differing <= most
-
-
-def _fine_sketches(sets: DataFrame) -> DataFrame:
-    """``node`` and its finer sketch as 64-bit words."""
-    schema = pa.schema([("node", pa.int64()), ("fine", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            for node, items in rows_of(batches, "node", "items"):
-                low = samples(np.frombuffer(items, np.uint64), FINE_SAMPLES)
-                yield node, np.frombuffer(sketch(low, FINE_BITS), np.int64)
-
-        yield from record_batches(found(), schema, 1024)
-
-    return sets.mapInArrow(run, "node bigint, fine array<bigint>")
+def _fair(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sketches differ in few enough bits."""
+    one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    two = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    differing = sum((F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", i))) for i in range(BITS // 64)), F.lit(0))
+    return pairs.join(one, "a").join(two, "b").filter(differing <= MOST_BITS).select("a", "b")
 
 
 def _words(sketch_: Column) -> Column:
@@ -193,37 +174,75 @@ def _relabel(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
     return scratch.keep(labels.join(upper, "label", "left").select("node", F.coalesce("upper", "label").alias("label")))
 
 
-def _hub_pairs(members: DataFrame, number: int, scratch: Scratch) -> DataFrame:
+def _pair(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _hub_pairs(members: DataFrame, number: int) -> DataFrame:
     """Each node of a bucket with the bucket's hub of this round, where they are not connected."""
     order = -F.col("shared") if number == 0 else F.xxhash64("node", F.lit(number))
-    hubs = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "label", "sketch")).alias("h"))
-    met = members.join(scratch.keep(hubs), "key").filter("label <> h.label")
-    return met.filter(_fair(F.col("sketch"), F.col("h.sketch"))).select(
-        F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")
-    )
+    hubs = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("h"))
+    met = members.join(hubs, "key").filter("label <> h.label")
+    return met.select(*_pair("node", "h.node")).distinct()
 
 
-def _block_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All fair pairs of a bucket's nodes that are not connected, block against block.
+def _items(sets: DataFrame) -> DataFrame:
+    """``item`` and ``node`` for every shingle of every set."""
+    schema = pa.schema([("item", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, items in rows_of(batches, "node", "items"):
+            found = np.frombuffer(items, np.int64)
+            for i in range(0, len(found), 65536):
+                part = found[i : i + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node))], schema=schema)
 
-    A pair is given by the first of the buckets that it shares, and must be fair by the finer
-    sketch too.
+    return sets.mapInArrow(run, "item bigint, node bigint")
+
+
+def _places(sets: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The shingles by which a node can meet others: ``item``, ``node``, ``label``, ``size``, ``at`` and ``held``.
+
+    Two sets of sizes x >= y with a similarity of 3/4 share 3/7 of x + y, so 3/4 of x and 6/7 of
+    y: what they share begins within the first x - 3x/4 + 1 shingles of the one and the first
+    y - 6y/7 + 1 of the other, in any order common to all. Rare ones come first here, and those that
+    no other node has stand before all others without being listed. ``held`` marks the shorter beginning.
+    """
+    items = scratch.keep(_items(sets))
+    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = items.join(seen, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("found"))
+    found = found.join(nodes, "node").withColumn("own", F.col("size") - F.size("found"))
+    long, short = (F.expr(f"size - (({t} * size + {of - 1}) div {of}) + 1") for t, of in ((3, 4), (6, 7)))
+    first = F.slice("found", 1, F.greatest(long - F.col("own"), F.lit(0)).cast("int"))
+    placed = found.select("node", "label", "size", "own", short.alias("short"), F.posexplode(first).alias("i", "f"))
+    at = (F.col("own") + F.col("i")).alias("at")
+    return placed.select(F.col("f.item").alias("item"), "node", "label", "size", at, (F.col("own") + F.col("i") < F.col("short")).alias("held"))
+
+
+def _rare_pairs(places: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs of nodes that are not connected and may be similar enough by the places of a shingle they share.
+
+    Most nodes of a frequent shingle are connected with each other: they meet only those that are not, which
+    are dealt to several tasks where they are many.
     """
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    dealt = members.join(sizes, "key").withColumn("blocks", blocks)
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A node goes to the meetings of its own block with every block.
-    meeting = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    carried = ["key", "node", "label", "sketch", "fine", "keys", "mine"]
-    sent = dealt.select(*carried, meeting)
-    sent = sent.select(*carried, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    x, y = sent.alias("x"), sent.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
-    once = (F.col("x.mine") != F.col("y.mine")) | (F.col("x.low") == F.col("x.high"))
-    met = x.join(y, same).filter(once & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-    fair = _fair(F.col("x.sketch"), F.col("y.sketch")) & _fair(F.col("x.fine"), F.col("y.fine"), FINE_BITS, MOST_FINE_BITS)
-    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    return met.filter(fair).filter(first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    per_label = places.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c"))
+    most = F.max(F.struct("c", "label")).alias("most")
+    per_item = per_label.groupBy("item").agg(most, F.count(F.lit(1)).alias("labels"), F.sum("c").alias("n")).filter("labels > 1")
+    tasks = F.ceil((F.col("n") - F.col("most.c")) / F.lit(DEAL)).cast("int").alias("tasks")
+    met = scratch.keep(places.join(per_item.select("item", F.col("most.label").alias("main"), tasks), "item"))
+    others = met.filter("label <> main").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
+    every = met.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    x, y = others.alias("x"), every.alias("y")
+    c = lambda name: F.col(name)
+    # The smaller set, by size and number, meets by its shorter beginning.
+    smaller = F.struct("x.size", "x.node") < F.struct("y.size", "y.node")
+    sizes = 4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")
+    room = 7 * F.least(c("x.size") - c("x.at"), c("y.size") - c("y.at")) >= 3 * (c("x.size") + c("y.size"))
+    # Two others meet twice; once is enough.
+    once = (c("y.label") == c("y.main")) | (c("x.node") < c("y.node"))
+    alike = (c("x.label") != c("y.label")) & sizes & room & once & F.when(smaller, c("x.held")).otherwise(c("y.held"))
+    same = (c("x.item") == c("y.item")) & (c("x.task") == c("y.task"))
+    return x.join(y, same & alike).select(*_pair("x.node", "y.node")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -250,36 +269,30 @@ def groups(docs: DataFrame) -> DataFrame:
     # ``shared``: with how many nodes a node shares bands, counted by band.
     members_of = filed.groupBy("node").agg(F.sum("n").alias("shared"))
     filed = filed.select("key", "node")
-    sketches = nodes.select("node", _words(F.col("sketch")).alias("sketch")).dropDuplicates(["node"])
+    sketches = nodes.select("node", F.col("n_shingles").alias("size"), _words(F.col("sketch")).alias("sketch")).dropDuplicates(["node"])
     sketches = scratch.keep(sketches.join(members_of, "node"))
     sets = scratch.keep(_sets(docs, sketches.select("node")))
     labels = scratch.keep(sketches.select("node", F.col("node").alias("label")))
-    judged: DataFrame | None = None
 
     def link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        nonlocal judged
-        fresh = pairs.distinct() if judged is None else pairs.distinct().join(judged, ["a", "b"], "left_anti")
-        fresh = scratch.keep(fresh)
-        judged = fresh if judged is None else judged.unionByName(fresh)
-        edges = scratch.keep(_confirmed(fresh, sets))
-        return _relabel(labels, edges, scratch)
+        edges = scratch.keep(_confirmed(_fair(pairs, sketches), sets))
+        return _relabel(labels, edges, scratch) if edges.limit(1).count() else labels
 
     for number in range(HUBS):
-        members = scratch.keep(filed.join(labels, "node").join(sketches, "node"))
-        labels = link(_hub_pairs(members, number, scratch), sets)
+        members = scratch.keep(filed.join(labels, "node").join(sketches.select("node", "shared"), "node"))
+        labels = link(_hub_pairs(members, number), sets)
         # Buckets whose nodes are all connected have nothing more to give.
         spread = filed.join(labels, "node").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-        open_keys = scratch.keep(spread.filter("x <> y").select("key"))
-        before, filed = filed, scratch.keep(filed.join(open_keys, "key"))
-        scratch.drop(before, members, open_keys)
+        before, filed = filed, scratch.keep(filed.join(spread.filter("x <> y").select("key"), "key"))
+        scratch.drop(before, members)
         if number == 0:  # most nodes are done: later rounds carry the sets of the others alone
             every, sets = sets, scratch.keep(sets.join(filed.select("node").distinct(), "node", "left_semi"))
             scratch.drop(every)
-    keys = filed.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    fine = scratch.keep(_fine_sketches(sets).join(keys, "node"))
-    members = scratch.keep(filed.join(labels, "node").join(sketches, "node").join(fine, "node"))
-    labels = link(_block_pairs(members, scratch.keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))), sets)
-    scratch.drop(filed, members, sets)
+    left = filed.select("node").distinct()
+    open_nodes = labels.join(sketches.select("node", "size"), "node").join(left, "node", "left_semi")
+    places = scratch.keep(_places(sets.join(left, "node", "left_semi"), open_nodes, scratch))
+    labels = link(_rare_pairs(places, scratch), sets)
+    scratch.drop(filed, sets, places)
     named = nodes.select(*digest, "node").join(labels, "node", "left")
     named = named.select(*digest, F.coalesce("label", "node").alias("component"))
     rows = found.select("doc_id", *digest).join(named, digest, "left")

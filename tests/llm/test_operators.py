@@ -452,7 +452,7 @@ def test_near_copies_against_all_pairs(data, docs, empty):
 
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "DEAL", 16)
     r = random.Random(12)
     base = corpus.prose(r, 150).split(" ")
     rows = []
