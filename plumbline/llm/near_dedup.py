@@ -37,6 +37,10 @@ BITS = 512
 LEAST_ESTIMATE = 0.6
 #: Rounds in which each bucket's nodes meet one hub.
 HUBS = 2
+#: Bits of the bitmap that keeps other texts out of the shuffle: 16 a node, and never more than these (32 MB).
+MOST_MARKS = 1 << 28
+#: Bits of one row of the bitmap, as Spark's own bitmap functions cut it.
+_ROW_BITS = 32768
 #: Rows of one shingle on the smaller side of a meeting that go to one task; more are dealt to several.
 DEAL = 4096
 
@@ -99,6 +103,20 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, ddl)
 
 
+def _marked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The documents whose number may be a node's: by a bitmap of bounded size, no node is left out."""
+    bits = _ROW_BITS
+    while bits < min(16 * nodes.count(), MOST_MARKS):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    row, at = F.floor(F.col("p") / _ROW_BITS).alias("row"), F.pmod("p", F.lit(_ROW_BITS))
+    marks = nodes.select(place("node").alias("p")).select(row, F.bitmap_bit_position(at + 1).alias("bit"))
+    marks = marks.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.withColumn("p", place("doc_id")).withColumn("row", row).join(F.broadcast(marks), "row")
+    return met.filter(F.getbit(byte, F.pmod("p", F.lit(8)).cast("int")) == 1).select("doc_id", "text")
+
+
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The full sets of the given documents, as sorted 64-bit hashes."""
     schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
@@ -107,7 +125,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         rows = ((i, shingle_set(t, SHINGLE).tobytes()) for i, t in rows_of(batches, "doc_id", "text"))
         yield from record_batches(rows, schema, 256)
 
-    wanted = texts(docs).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    # An inner join, as nodes are distinct: a semi join would be moved below the bitmap and shuffle every text.
+    wanted = _marked(texts(docs), nodes).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
     return wanted.mapInArrow(run, "node bigint, items binary")
 
 

@@ -469,6 +469,18 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert [(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(None, True)]
 
 
+def test_marks_leave_no_node_out(spark, monkeypatch):
+    docs = spark.range(-3000, 3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "y")], "doc_id long, text string"))
+    nodes = spark.range(-3000, 3000, 7).withColumnRenamed("id", "node")
+    want = {r["node"] for r in nodes.collect()}
+    found = [r["doc_id"] for r in near_dedup._marked(docs, nodes).collect()]
+    assert want <= set(found) and len(found) < len(want) + 300
+    monkeypatch.setattr(near_dedup, "MOST_MARKS", 1)  # a full bitmap lets more through, and still all nodes
+    assert want <= {r["doc_id"] for r in near_dedup._marked(docs, nodes).collect()}
+    assert near_dedup._marked(docs, nodes.limit(0)).count() == 0
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(7)
     for share in (0.6, 0.75, 0.9):
