@@ -1,25 +1,31 @@
-"""Repeated passages by sparse suffixes over words.
-
-A full suffix array has an entry per word. Here only suffixes at minimiser positions are looked
-at first: in every window of word runs the one with the smallest hash. Equal passages of ``LEAST``
-words have a whole window in common and so keep the same position, wherever they stand. Where
-a kept run is in several documents, every window of ``LEAST`` words that keeps that position is
-keyed by the hash of its words, and a window goes with the least and the greatest document that
-has it. So a passage is found whatever words its copies share with others: no order has to bring
-the copies together, and no group of copies is spelled out as pairs. Windows of a document that
-overlap are joined.
+"""Repeated passages by sparse suffix arrays over words.
+
+A full suffix array has an entry per word. Here only suffixes at minimiser positions are kept:
+in every window of word runs the one with the smallest hash. Equal passages of ``LEAST`` words
+have a whole window in common and so keep the same position. Suffixes whose run several
+documents have are sorted twice, by the words from the position on and by the words before it
+(read backwards, after the run). In either order the nearest suffix of another document on each
+side is the longest match that way; the match is extended the other way on the words themselves.
+
+Let ``l`` and ``r`` be the most words that a suffix shares with others before and after its
+position. With fewer than ``LEAST`` together no passage is there; if neighbours reach as many,
+words are covered. What is left, where ``l`` and ``r`` come from different neighbours, are
+passages whose copies lie apart in both orders: only there are the windows of ``LEAST`` words that
+``l`` and ``r`` leave possible grouped by their words. So no passage is lost, whatever its copies
+share with others, and no group of copies is spelled out as pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, rows_of, texts
+from plumbline.llm.common import Scratch, record_batches, rows_of, texts
 from plumbline.llm.shingles import runs, words
 
 #: Words that a passage must have in common at least.
@@ -27,15 +33,9 @@ LEAST = 50
 #: Words of a run, and runs of a window: together they span a shortest passage.
 RUN = 10
 WINDOW = LEAST - RUN + 1
-
-
-def _chosen(found: np.ndarray) -> np.ndarray:
-    """The kept position of every window, in text order, for the hashes of all runs of a text."""
-    seen = [np.empty(0, np.int64)]
-    for i in range(0, len(found) - WINDOW + 1, 65536):
-        part = np.lib.stride_tricks.sliding_window_view(found[i : i + 65536 + WINDOW - 1], WINDOW)
-        seen.append(part.argmin(axis=1) + np.arange(i, i + len(part)))
-    return np.concatenate(seen)
+#: Longer words are compared by a digest of 192 bits, so that a suffix has a bounded size.
+WORD_BYTES = 64
+ORDER = ["own", "cross", "doc_id", "pos"]
 
 
 def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,11 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) < LEAST:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     found = runs(hashes, RUN)
-    at = np.unique(_chosen(found))
+    seen = []
+    for i in range(0, len(found) - WINDOW + 1, 65536):
+        part = np.lib.stride_tricks.sliding_window_view(found[i : i + 65536 + WINDOW - 1], WINDOW)
+        seen.append(np.unique(part.argmin(axis=1) + np.arange(i, i + len(part))))
+    at = np.unique(np.concatenate(seen))
     return at, found[at]
 
 
@@ -60,53 +64,171 @@ def _kept(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id bigint, pos int, run bigint")
 
 
-def _windows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The windows of words that keep one of the positions given: where each begins, and the hash of its words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("h", pa.int64())])
+def spelled(text: str) -> list[bytes]:
+    """The words of a text, A-Z in lower case, long ones as digests."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    return [w if len(w) <= WORD_BYTES else hashlib.blake2b(w, digest_size=24).hexdigest().encode() for w in found]
+
+
+def _ended(found: list[bytes]) -> bytes:
+    """Words with a space after each: words that two such texts begin with alike are the spaces both begin with."""
+    return b"".join([w + b" " for w in found])
+
+
+def _suffixes(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``after``: the 50 words from a kept position on; ``before``: the run at it, then the 40 words before it, backwards."""
+    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, at, text in rows_of(batches, "doc_id", "at", "text"):
-            hashes = words(text)[0]
-            if len(hashes) < LEAST:
+        def found():
+            for doc_id, at, text in rows_of(batches, "doc_id", "at", "text"):
+                w = spelled(text)
+                for p in at:
+                    if p + RUN <= len(w):  # rows that repeat a doc_id may be shorter
+                        yield doc_id, p, _ended(w[p : p + LEAST]), _ended(w[p : p + RUN] + w[max(0, p - WINDOW + 1) : p][::-1])
+
+        yield from record_batches(found(), schema)
+
+    places = kept.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    return texts(docs).join(places, "doc_id").mapInArrow(run, "doc_id bigint, pos int, after binary, before binary")
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many words two texts of ended words begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return a.count(b" ", 0, high)
+    while high - low > 1:  # a[:low] agrees, a[:high] does not
+        half = (low + high) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half
+    return a.count(b" ", 0, low)
+
+
+_MET = pa.schema([
+    ("doc_id", pa.int64()), ("pos", pa.int32()), ("n_own", pa.int32()), ("n_cross", pa.int32()), ("other", pa.int64()),
+    ("edge", pa.bool_()), ("own", pa.binary()), ("cross", pa.binary()),
+])
+_MET_DDL = "doc_id bigint, pos int, n_own int, n_cross int, other bigint, edge boolean, own binary, cross binary"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each suffix of a sorted range, the better of the nearest ones of other documents on both sides.
+
+    A stretch is a sequence of suffixes of one document. The first and the last stretch, and the
+    suffix next to each, are marked as edges: all that other ranges can meet, or be met by.
+    """
+
+    def against(row: tuple, other: tuple | None) -> tuple[int, int, int] | None:
+        return None if other is None else (common_words(row[2], other[2]), common_words(row[3], other[3]), other[0])
+
+    def done(stretch: list, after: tuple | None, first: bool, last: bool, edge: tuple[bool, bool]) -> Iterator[tuple]:
+        for i, (row, before) in enumerate(stretch):
+            n_own, n_cross, other = max(x for x in (before, against(row, after), (0, 0, row[0])) if x is not None)
+            kept = first or last or (edge[0] and i == 0) or (edge[1] and i == len(stretch) - 1)
+            yield row[0], row[1], n_own, n_cross, other, kept, row[2] if kept else None, row[3] if kept else None
+
+    def found():
+        # One finished stretch is held back, as only the end of the range tells whether it is the last but one.
+        held: tuple | None = None
+        stretch: list = []
+        number, before = 0, None  # the last suffix of the stretch before this one
+        for row in rows_of(batches, "doc_id", "pos", "own", "cross"):
+            if stretch and stretch[-1][0] == row:
                 continue
-            wanted = np.zeros(max(len(hashes), max(at) + 1), bool)
-            wanted[at] = True
-            starts = np.flatnonzero(wanted[_chosen(runs(hashes, RUN))])
-            found = runs(hashes, LEAST)[starts].view(np.int64)
-            for i in range(0, len(starts), 65536):
-                part = slice(i, i + 65536)
-                arrays = [pa.array([doc_id] * len(starts[part]), pa.int64()), pa.array(starts[part].astype(np.int32)), pa.array(found[part])]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            if stretch and stretch[-1][0][0] != row[0]:
+                if held is not None:
+                    yield from done(*held, (held[2] is False and number == 2, False))
+                held = (stretch, row, number == 0, False)
+                before, stretch, number = stretch[-1][0], [], number + 1
+            stretch.append((row, against(row, before)))
+        if held is not None:
+            yield from done(*held, (number == 2, True))
+        yield from done(stretch, None, number == 0, True, (False, False))
+
+    yield from record_batches(found(), _MET)
+
+
+def _matches(suffixes: DataFrame, own: str, cross: str, scratch: Scratch) -> DataFrame:
+    """``doc_id``, ``pos`` and the best neighbour ``m`` (``own``, ``cross``, ``other``) in the order of ``own``, per range and over the edges."""
+    rows = suffixes.select("doc_id", "pos", F.col(own).alias("own"), F.col(cross).alias("cross"))
+    met = scratch.keep(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_neighbours, _MET_DDL))
+    # A few rows of each range, in one order again: neighbours across the bounds of ranges.
+    edges = met.filter("edge").select(*ORDER).repartition(1).sortWithinPartitions(*ORDER).mapInArrow(_neighbours, _MET_DDL)
+    best = F.struct(F.col("n_own").alias("own"), F.col("n_cross").alias("cross"), "other").alias("m")
+    return met.union(edges).filter(F.col("n_own") >= RUN).select("doc_id", "pos", best)
 
-    places = kept.groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    return texts(docs).join(places, "doc_id").mapInArrow(run, "doc_id bigint, start int, h bigint")
+
+def _open_windows(suffixes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words of the windows that begin ``low`` to ``high`` words before a kept position: ``doc_id``, ``start``, ``words``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for doc_id, pos, low, high, after, before in rows_of(batches, "doc_id", "pos", "low", "high", "after", "before"):
+                w = before.split(b" ")[RUN:-1][::-1]
+                w, at = w + after.split(b" ")[:-1], len(w)
+                for k in range(low, high + 1):
+                    if len(w[at - k : at - k + LEAST]) == LEAST:
+                        yield doc_id, pos - k, _ended(w[at - k : at - k + LEAST])
+
+        yield from record_batches(found(), schema)
+
+    met = suffixes.join(wanted, ["doc_id", "pos"]).select("doc_id", "pos", "low", "high", "after", "before")
+    return met.mapInArrow(run, "doc_id bigint, start int, words binary")
+
+
+def _span(left: Column, right: Column, other: Column) -> Column:
+    start, stop = (F.col("pos") - left).alias("start"), (F.col("pos") + right).alias("stop")
+    return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), other.alias("other"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Passages of at least 50 words that other documents have too, in words from 0.
 
     One row per passage: ``doc_id``, ``start_word``, ``end_word`` (exclusive), ``n_words``, and
-    ``other_id``, the smallest of the documents that a part of it was met in: for each 50 words
-    the first document that has them or, in that document itself, the last. Words are
-    parted by white space and compared without regard to the case of A-Z. Documents with fewer
-    words, null texts and rows with a null ``doc_id`` have no rows; rows that repeat a
-    ``doc_id`` are one document, which is not compared with itself.
+    ``other_id``, the smallest of the documents that a part of it was matched with. Matches that
+    overlap are one passage, those that only touch are two. Words are parted by white space and
+    compared without regard to the case of A-Z. Documents with fewer words, null texts and rows
+    with a null ``doc_id`` have no rows; rows that repeat a ``doc_id`` are one document, which is not
+    compared with itself. An empty table gives no rows; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     docs = docs.filter("doc_id IS NOT NULL")
     ends = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b")]
     kept = scratch.keep(_kept(docs))
-    several = kept.groupBy("run").agg(*ends).filter("a <> b").select("run")
-    # Written before the join, so that both of its sides are plain shuffles and a frequent run can be split.
-    windows = scratch.keep(_windows(docs, kept.join(scratch.keep(several), "run").select("doc_id", "pos")))
-    scratch.drop(kept)
-    shared = scratch.keep(windows.groupBy("h").agg(*ends).filter("a <> b"))
-    other = F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    spans = windows.join(shared, "h").select("doc_id", "start", (F.col("start") + LEAST).alias("stop"), other.alias("other"))
-    # Overlapping windows of a document are one passage.
-    so_far = Window.partitionBy("doc_id").orderBy("start", "stop")
+    several = scratch.keep(kept.groupBy("run").agg(*ends).filter("a <> b").select("run"))
+    # Written before the sorts, so that the ranges are sampled from a table and a frequent run can be split.
+    suffixes = scratch.keep(_suffixes(docs, kept.join(several, "run").select("doc_id", "pos")))
+    scratch.drop(kept, several)
+    right, left = _matches(suffixes, "after", "before", scratch), _matches(suffixes, "before", "after", scratch)
+    both = right.select("doc_id", "pos", F.col("m").alias("x"), F.lit(None).cast(right.schema["m"].dataType).alias("y"))
+    both = both.union(left.select("doc_id", "pos", F.lit(None).cast(left.schema["m"].dataType), F.col("m")))
+    best = scratch.keep(both.groupBy("doc_id", "pos").agg(F.max("x").alias("x"), F.max("y").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL"))
+    c = F.col
+    r, x_left, l, y_right = c("x.own"), c("x.cross") - RUN, c("y.own") - RUN, c("y.cross")  # noqa: E741
+    by_right, by_left = x_left + r >= LEAST, l + y_right >= LEAST
+    possible = best.filter(l + r >= LEAST)
+    found = F.filter(
+        F.array(F.when(by_right, _span(x_left, r, c("x.other"))), F.when(by_left, _span(l, y_right, c("y.other")))), lambda s: s.isNotNull()
+    )
+    spans = possible.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+    # Where a side is not covered, all suffixes of that run lay out the windows that they may share with others.
+    range_ = possible.select("doc_id", "pos", (LEAST - r).alias("low"), l.alias("high"), (~by_right | ~by_left).alias("open"))
+    if range_.filter("open").limit(1).count():
+        head = F.xxhash64(F.substring_index(F.decode("before", "ISO-8859-1"), " ", RUN))
+        heads = suffixes.join(range_.filter("open").select("doc_id", "pos"), ["doc_id", "pos"], "left_semi").select(head.alias("head")).distinct()
+        near = suffixes.withColumn("head", head).join(scratch.keep(heads), "head", "left_semi")
+        windows = scratch.keep(_open_windows(near, range_.select("doc_id", "pos", "low", "high")))
+        shared = scratch.keep(windows.groupBy("words").agg(*ends).filter("a <> b"))
+        other = F.when(c("doc_id") == c("a"), c("b")).otherwise(c("a")).alias("other")
+        spans = spans.union(windows.join(shared, "words").select("doc_id", "start", (c("start") + LEAST).alias("stop"), other))
+    # Overlapping matches of a document are one passage.
+    so_far = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
     reach = F.max("stop").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    opened = spans.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1))
     numbered = opened.withColumn("passage", F.sum("new").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         numbered.groupBy("doc_id", "passage")

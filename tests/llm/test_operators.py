@@ -397,6 +397,44 @@ def test_passages_that_end_or_begin_in_frequent_words(spark):
     assert len(want) == 48 and got == want
 
 
+def passages_of(spark, rows):
+    got = defaultdict(set)
+    for x in suffix_dedup.repeats(corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(rows)])).collect():
+        assert x["n_words"] >= 50 and x["other_id"] != x["doc_id"]
+        got[x["doc_id"]].update(range(x["start_word"], x["end_word"]))
+    return got
+
+
+def test_passages_over_the_bounds_of_many_ranges(spark):
+    r = random.Random(21)
+    pool = [corpus.prose(r, r.randint(8, 30)) for _ in range(14)]
+    rows = [" ".join(r.choice(pool) if r.random() < 0.7 else corpus.prose(r, 6) for _ in range(r.randint(3, 12))) for _ in range(70)]
+    rows += [" ".join([pool[0]] * 40), f"{'long' * 40} {pool[1]} {corpus.prose(r, 40, 'xyz')}"] + [rows[5]] * 9
+    rows += [rows[-11].upper()]
+    want = corpus.repeated_words(list(enumerate(rows)))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = passages_of(spark, rows)
+    finally:
+        spark.conf.unset(coalesce)
+    assert got == want and len(want) > 20
+
+
+def test_passages_that_only_touch_are_two(spark):
+    r = random.Random(22)
+    one, two = corpus.prose(r, 50), corpus.prose(r, 50)
+    rows = [f"{one} {two}", f"{corpus.prose(r, 9)} {one} {corpus.prose(r, 9)}", f"{corpus.prose(r, 9)} {two}"]
+    found = suffix_dedup.repeats(corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(rows)])).collect()
+    assert {(x["start_word"], x["end_word"], x["other_id"]) for x in found if x["doc_id"] == 0} == {(0, 50, 1), (50, 100, 2)}
+
+
+def test_words_in_common():
+    assert suffix_dedup.common_words(b"", b"a ") == 0
+    assert suffix_dedup.common_words(b"ab cd e ", b"ab cde ") == 1
+    assert suffix_dedup.common_words(b"ab cd ", b"ab cd ") == 2 == suffix_dedup.common_words(b"ab cd ", b"ab cd x ")
+
+
 # ---- 8: exact copies by a stream
 
 
