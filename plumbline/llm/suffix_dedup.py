@@ -185,6 +185,28 @@ def _span(left: Column, right: Column, other: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), other.alias("other"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of their ``passage`` in the document: the ``span`` rows that overlap. Others, in the order of their starts, belong to the last one begun."""
+    so_far = Window.partitionBy("doc_id").orderBy("start", F.desc("span"), "stop", "other")
+    stop = F.when(F.col("span"), F.col("stop"))
+    reach = F.max(stop).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    opened = rows.withColumn("new", F.when(~F.col("span") | (F.col("start") < reach), 0).otherwise(1))
+    return opened.withColumn("passage", F.sum("new").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _not_covered(spans: DataFrame, asking: DataFrame) -> DataFrame:
+    """The rows of ``asking`` whose windows do not all lie within one passage of the ``spans``."""
+    no_other = F.lit(None).cast("bigint").alias("other")
+    windows = asking.select(
+        "doc_id", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + LEAST).alias("stop"), no_other,
+        F.lit(False).alias("span"), "pos", "low", "high",
+    )
+    none = [F.lit(None).cast("int").alias(n) for n in ("pos", "low", "high")]
+    numbered = _numbered(spans.select("doc_id", "start", "stop", "other", F.lit(True).alias("span"), *none).union(windows))
+    end = F.max(F.when(F.col("span"), F.col("stop"))).over(Window.partitionBy("doc_id", "passage"))
+    return numbered.withColumn("end", end).filter("NOT span AND (end IS NULL OR end < stop)").select("doc_id", "pos", "low", "high")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Passages of at least 50 words that other documents have too, in words from 0.
 
@@ -214,22 +236,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = F.filter(
         F.array(F.when(by_right, _span(x_left, r, c("x.other"))), F.when(by_left, _span(l, y_right, c("y.other")))), lambda s: s.isNotNull()
     )
-    spans = possible.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
-    # Where a side is not covered, all suffixes of that run lay out the windows that they may share with others.
+    spans = scratch.keep(possible.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*"))
     range_ = possible.select("doc_id", "pos", (LEAST - r).alias("low"), l.alias("high"), (~by_right | ~by_left).alias("open"))
-    if range_.filter("open").limit(1).count():
+    asking = scratch.keep(_not_covered(spans, range_.filter("open").drop("open")))
+    if asking.limit(1).count():
+        # All suffixes of a run that asks lay out the windows asked for that they may share with others.
         head = F.xxhash64(F.substring_index(F.decode("before", "ISO-8859-1"), " ", RUN))
-        heads = suffixes.join(range_.filter("open").select("doc_id", "pos"), ["doc_id", "pos"], "left_semi").select(head.alias("head")).distinct()
-        near = suffixes.withColumn("head", head).join(scratch.keep(heads), "head", "left_semi")
-        windows = scratch.keep(_open_windows(near, range_.select("doc_id", "pos", "low", "high")))
+        named = scratch.keep(suffixes.select("doc_id", "pos", head.alias("head")))
+        asked = named.join(asking, ["doc_id", "pos"]).groupBy("head").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+        wanted = range_.join(named, ["doc_id", "pos"]).join(scratch.keep(asked), "head")
+        wanted = wanted.select("doc_id", "pos", F.greatest("low", "least").alias("low"), F.least("high", "most").alias("high"))
+        windows = scratch.keep(_open_windows(suffixes, scratch.keep(wanted.filter("low <= high"))))
         shared = scratch.keep(windows.groupBy("words").agg(*ends).filter("a <> b"))
         other = F.when(c("doc_id") == c("a"), c("b")).otherwise(c("a")).alias("other")
+        scratch.drop(suffixes, named, asking)
         spans = spans.union(windows.join(shared, "words").select("doc_id", "start", (c("start") + LEAST).alias("stop"), other))
-    # Overlapping matches of a document are one passage.
-    so_far = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
-    reach = F.max("stop").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1))
-    numbered = opened.withColumn("passage", F.sum("new").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = _numbered(spans.withColumn("span", F.lit(True)))
     return (
         numbered.groupBy("doc_id", "passage")
         .agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other").alias("other_id"))
