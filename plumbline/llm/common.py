@@ -24,6 +24,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with its columns but those ``used`` in one, so that no name of theirs can clash with a working column."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*[c for c in docs.columns if c in used], F.struct(*others or [F.lit(0)]).alias("others"))
+
+
+def bring_back(done: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of what ``set_aside`` gave, each again at its place."""
+    kept = [c for c in done.columns if c != "others"]
+    return done.select(*[F.col(f"`{c}`") if c in kept else F.col(f"others.`{c}`") for c in columns])
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Tuples of Python values, batch by batch, so that one batch at a time is in memory."""
     for batch in batches:

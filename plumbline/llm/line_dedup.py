@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, bring_back, set_aside
 
 #: Characters of a segment at most, but a line always has two segments.
 SEGMENT = 256
@@ -193,6 +193,8 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     All columns of ``docs`` stay, ``n_chars`` follows the text, and documents without any
     line to look at stay as they are.
     """
+    names = docs.columns
+    docs = set_aside(docs, "doc_id", "text", "n_chars")
     stay = kept_lines(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("kept", "_kept")
     kept = F.coalesce("_kept", F.array().cast("array<struct<line_no: int, h: bigint>>"))
     parts = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
@@ -211,4 +213,4 @@ def drop_lines(docs: DataFrame) -> DataFrame:
             columns.append(F.when(empty, F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
-    return done.select(*columns)
+    return bring_back(done.select(*columns), names)

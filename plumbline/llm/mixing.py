@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import subword
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, bring_back, set_aside
 
 #: Shares of the tokens that each domain should have.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -162,9 +162,10 @@ def repeat_with_shares(
 
     As it stands no document is left out: domains that have too few tokens are repeated.
     """
-    rated, shares = _rated(docs, labelled, targets, least, most, keep_all, sample)
+    held = set_aside(docs, "doc_id", "text")
+    rated, shares = _rated(held, labelled, targets, least, most, keep_all, sample)
     times = rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("_rate"), "doc_id"))))
-    return times.select(*[F.col(f"`{c}`") for c in docs.columns]), shares
+    return bring_back(times.select("doc_id", "text", "others"), docs.columns), shares
 
 
 def repeat(

@@ -269,8 +269,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest ``doc_id`` that links lead to. Null and empty texts and
     texts without words link with nothing. Rows with a null ``doc_id`` are their own component,
-    without a number, and stay. Rows that repeat a ``doc_id`` are one document: they share a
-    component. An empty table gives no rows.
+    without a number, and stay. Rows that repeat a ``doc_id`` have the component of
+    their own text each. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near_dedup")
     found = scratch.keep(_signatures(docs))
@@ -323,6 +323,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, with all columns."""
-    gone = groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    """The documents that stay, one of each group, with all columns.
+
+    Rows that repeat a ``doc_id`` stay or go together: they go if each of them has a smaller
+    document in its group, so no text is lost. Null ids, null and empty texts stay.
+    """
+    gone = groups(docs).groupBy("doc_id").agg(F.max("kept").alias("stays")).filter("NOT stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

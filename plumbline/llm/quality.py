@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import subword
+from plumbline.llm.common import bring_back, set_aside
 
 #: A document is kept from this probability of label 1 on.
 THRESHOLD = 0.3
@@ -48,7 +49,9 @@ def _scored(docs: DataFrame, found: subword.Model, name: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = subword.SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose texts are predicted to be good, with all columns.
 
-    The score is worked out next to the row, so that no join with the documents is needed.
+    The score is worked out next to the row, so that no join with the documents is needed. Null
+    and empty texts are judged by the model's constant, repeated rows each; an empty table stays empty.
     """
-    rows = _scored(docs, model(docs, labels, sample), "_quality_score")
-    return rows.filter(F.col("_quality_score") >= threshold).drop("_quality_score")
+    held = set_aside(docs, "doc_id", "text")
+    rows = _scored(held, model(held, labels, sample), "_quality_score")
+    return bring_back(rows.filter(F.col("_quality_score") >= threshold).select("doc_id", "text", "others"), docs.columns)

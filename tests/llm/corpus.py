@@ -10,6 +10,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Column names that operators use for results of their own.
 CLASH = ["shard", "kept", "score", "rate", "copies", "node", "label", "key", "digest", "file", "row", "spans", "h", "line", "at", "run"]
+CLASH += ["_kept", "_id", "_text", "_words", "_p0", "_rate", "_copy", "_quality_score", "_p_0", "others", "id"]
 
 
 def prose(random_, n, alphabet="abcdefghijklmnopqrstuvwxyzéñü"):

@@ -489,6 +489,14 @@ def test_near_copies_against_all_pairs(data, docs, empty):
     assert near_dedup.groups(empty).count() == 0
 
 
+def test_rows_that_repeat_an_id_lose_no_text(spark):
+    r = random.Random(31)
+    a, b, c = (corpus.prose(r, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (8, b), (8, b), (9, c), (None, b), (10, None)]
+    kept = near_dedup.keep_one(corpus.frame(spark, [(i, t, None, None, 0) for i, t in rows])).collect()
+    assert {(x["doc_id"], x["text"]) for x in kept} == {(5, a), (5, b), (3, b), (9, c), (None, b), (10, None)}
+
+
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "DEAL", 16)
     r = random.Random(12)
