@@ -152,6 +152,20 @@ def events(spark, rows):
     return df.select("k", F.timestamp_seconds("s").alias("ts"), "i")
 
 
+def test_scan_takes_a_table_in_parts_as_one_file(spark, tmp_path):
+    root = tmp_path / "all.parquet"  # above what is scanned, so its name says nothing
+    spark.range(10).repartition(3).write.parquet(str(root / "orders.parquet"))
+    spark.range(5).write.parquet(str(root / "plain"))
+    (root / "odd.parquet").mkdir()
+    (root / "odd.parquet" / "a.csv").write_text("a\n1\n")
+    found = {r["name"]: r for r in files.scan_files(spark, str(root)).collect()}
+    parts = [p for p in found if p.startswith("part-")]
+    assert set(found) - set(parts) == {"orders.parquet", "a.csv"} and parts
+    size = sum(p.stat().st_size for p in (root / "orders.parquet").glob("*.parquet"))
+    assert found["orders.parquet"]["size_kb"] == round(size / 1024, 2) and found["orders.parquet"]["suffix"] == ".parquet"
+    assert files.read_file(spark, found["orders.parquet"]["path"]).count() == 10
+
+
 @pytest.mark.parametrize("chunks", [1, 25])
 def test_admission_against_brute_force(spark, chunks):
     rows = event_rows()
