@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from plumbline.functions.masking import PRESET_MASKS
 from plumbline.functions.names import matching_columns
@@ -159,18 +158,18 @@ def count_findings(df: DataFrame, table: str, findings: list[Finding]) -> list[t
 
 
 def smallest(df: DataFrame, wanted: dict[int, tuple[Column, Column]], n: int = EXAMPLES) -> dict[int, list[str]]:
-    """The n smallest distinct values in text order per key, limited in each task before the shuffle."""
-    if not wanted:
-        return {}
-    entries = [
-        F.when(cond, F.struct(F.lit(k).alias("k"), c.cast("string").alias("v"))) for k, (c, cond) in wanted.items()
-    ]
-    rows = df.select(F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull()))).distinct()
-    order = Window.partitionBy("k").orderBy("v")
-    kept = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).collect()
+    """The n smallest distinct values in text order per key: a scan for each, with one value per key in memory."""
     found: dict[int, list[str]] = {}
-    for r in sorted(kept, key=lambda r: (r["k"], r["r"])):
-        found.setdefault(r["k"], []).append(r["v"])
+    left = dict(wanted)
+    for _ in range(n):
+        least = []
+        for k, (c, cond) in left.items():
+            v = c.cast("string")
+            least.append(F.min(F.when(cond & (v > found[k][-1]) if k in found else cond, v)))
+        row = df.agg(*least).first() if least else ()
+        left = {k: w for (k, w), v in zip(left.items(), row) if v is not None}
+        for k, v in zip(left, [v for v in row if v is not None]):
+            found.setdefault(k, []).append(v)
     return found
 
 

@@ -58,6 +58,19 @@ def test_presets(spark):
     assert len(C.list_presets()) == 11 and len(C.list_presets("GDPR")) == 6
 
 
+def test_examples_hold_no_set_of_values(spark, monkeypatch):
+    df = spark.range(3000, numPartitions=3).selectExpr("id", "if(id % 7 = 0, null, concat('v', id % 1000)) AS a", "cast(id % 2 AS string) AS b")
+    none = F.col("id") < 0
+
+    def held(*_):
+        raise AssertionError("memory grows with the values")
+
+    monkeypatch.setattr(type(df), "distinct", held)
+    wanted = {4: (F.col("b"), F.col("b").isNotNull()), 1: (F.col("a"), F.col("a") >= "v5"), 2: (F.col("a"), none), 3: (F.col("id"), F.col("id") > 20)}
+    assert C.smallest(df, wanted) == {4: ["0", "1"], 1: ["v5", "v50", "v500"], 3: ["100", "1000", "1001"]}
+    assert C.smallest(df, {}) == {} and C.smallest(df.limit(0), wanted) == {}
+
+
 def test_orphans(spark):
     a = spark.createDataFrame([(1,), (7,), (7,), (None,), (9,)], "k int")
     b = spark.createDataFrame([(1,), (2,), (None,)], "k int")
