@@ -11,7 +11,7 @@ Let ``l`` and ``r`` be the most words that a suffix shares with others before an
 position. With fewer than ``LEAST`` together no passage is there; if neighbours reach as many,
 words are covered. What is left, where ``l`` and ``r`` come from different neighbours, are
 passages whose copies lie apart in both orders: only there are the windows of ``LEAST`` words that
-``l`` and ``r`` leave possible grouped by their words. So no passage is lost, whatever its copies
+``l`` and ``r`` leave possible grouped by a digest of their words, of 192 bits. So no passage is lost, whatever its copies
 share with others, and no group of copies is spelled out as pairs.
 """
 
@@ -162,7 +162,7 @@ def _matches(suffixes: DataFrame, own: str, cross: str, scratch: Scratch) -> Dat
 
 
 def _open_windows(suffixes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of the windows that begin ``low`` to ``high`` words before a kept position: ``doc_id``, ``start``, ``words``."""
+    """The windows that begin ``low`` to ``high`` words before a kept position: ``doc_id``, ``start``, ``words``, a digest of theirs."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def _open_windows(suffixes: DataFrame, wanted: DataFrame) -> DataFrame:
                 w, at = w + after.split(b" ")[:-1], len(w)
                 for k in range(low, high + 1):
                     if len(w[at - k : at - k + LEAST]) == LEAST:
-                        yield doc_id, pos - k, _ended(w[at - k : at - k + LEAST])
+                        yield doc_id, pos - k, hashlib.blake2b(_ended(w[at - k : at - k + LEAST]), digest_size=24).digest()
 
         yield from record_batches(found(), schema)
 

@@ -397,6 +397,19 @@ def test_passages_that_end_or_begin_in_frequent_words(spark):
     assert len(want) == 48 and got == want
 
 
+def test_windows_that_are_open_have_a_bounded_size(spark):
+    w = [f"{'w' * 30}{i}" for i in range(90)]
+    ended = lambda some: "".join(f"{x} " for x in some).encode()
+    suffix = [(1, 40, ended(w[40:90]), ended(w[40:50] + w[:40][::-1])), (2, 45, ended(w[40:90]), ended(w[40:50] + w[:40][::-1]))]
+    suffixes = spark.createDataFrame(suffix, "doc_id long, pos int, after binary, before binary")
+    wanted = spark.createDataFrame([(1, 40, 0, 40), (2, 45, 3, 9)], "doc_id long, pos int, low int, high int")
+    rows = suffix_dedup._open_windows(suffixes, wanted).collect()
+    found = {(r["doc_id"], r["start"]): bytes(r["words"]) for r in rows}
+    assert len(rows) == 41 + 7 and {len(x) for x in found.values()} == {24}
+    assert len({x for (i, _), x in found.items() if i == 1}) == 41
+    assert all(found[2, 45 - k] == found[1, 40 - k] for k in range(3, 10))
+
+
 def passages_of(spark, rows):
     got = defaultdict(set)
     for x in suffix_dedup.repeats(corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(rows)])).collect():
