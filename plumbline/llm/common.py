@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from plumbline.session import scratch_path
 
+#: Bits of a bitmap of keys: 16 a key, and never more than these (32 MB).
+MOST_MARKS = 1 << 28
+#: Bits of one row of it, as Spark's own bitmap functions cut it.
+_ROW_BITS = 32768
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,6 +40,23 @@ def bring_back(done: DataFrame, columns: list[str]) -> DataFrame:
     return done.select(*[F.col(f"`{c}`") if c in kept else F.col(f"others.`{c}`") for c in columns])
 
 
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` may be one of the ``wanted`` table, by a bitmap of bounded size and without a shuffle of theirs.
+
+    None of the wanted is left out. With more keys than the bitmap is made for, others stay too.
+    """
+    bits = _ROW_BITS
+    while bits < min(16 * wanted.count(), MOST_MARKS):
+        bits *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(bits)).alias("_place")
+    row, at = F.floor(F.col("_place") / _ROW_BITS).alias("_row"), F.pmod("_place", F.lit(_ROW_BITS))
+    marks = wanted.select(place).select(row, F.bitmap_bit_position(at + 1).alias("_bit"))
+    marks = marks.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.select("*", place).select("*", row).join(F.broadcast(marks), "_row")
+    return met.filter(F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Tuples of Python values, batch by batch, so that one batch at a time is in memory."""
     for batch in batches:

@@ -10,9 +10,11 @@ side is the longest match that way; the match is extended the other way on the w
 Let ``l`` and ``r`` be the most words that a suffix shares with others before and after its
 position. With fewer than ``LEAST`` together no passage is there; if neighbours reach as many,
 words are covered. What is left, where ``l`` and ``r`` come from different neighbours, are
-passages whose copies lie apart in both orders: only there are the windows of ``LEAST`` words that
-``l`` and ``r`` leave possible grouped by a digest of their words, of 192 bits. So no passage is lost, whatever its copies
-share with others, and no group of copies is spelled out as pairs.
+passages whose copies lie apart in both orders. There, and only for the windows of ``LEAST`` words
+that ``l`` and ``r`` leave possible and no passage found covers, other documents are asked for the
+same words, by a digest of 192 bits: a bitmap of the digests asked for drops their other windows
+where they are laid out. So no passage is lost, whatever its copies share with others, and no
+group of copies is spelled out as pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, record_batches, rows_of, texts
+from plumbline.llm.common import Scratch, among, record_batches, rows_of, texts
 from plumbline.llm.shingles import runs, words
 
 #: Words that a passage must have in common at least.
@@ -195,7 +197,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _not_covered(spans: DataFrame, asking: DataFrame) -> DataFrame:
-    """The rows of ``asking`` whose windows do not all lie within one passage of the ``spans``."""
+    """The rows of ``asking`` whose windows do not all lie within one passage of the ``spans``, less windows that do at its end."""
     no_other = F.lit(None).cast("bigint").alias("other")
     windows = asking.select(
         "doc_id", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + LEAST).alias("stop"), no_other,
@@ -204,7 +206,8 @@ def _not_covered(spans: DataFrame, asking: DataFrame) -> DataFrame:
     none = [F.lit(None).cast("int").alias(n) for n in ("pos", "low", "high")]
     numbered = _numbered(spans.select("doc_id", "start", "stop", "other", F.lit(True).alias("span"), *none).union(windows))
     end = F.max(F.when(F.col("span"), F.col("stop"))).over(Window.partitionBy("doc_id", "passage"))
-    return numbered.withColumn("end", end).filter("NOT span AND (end IS NULL OR end < stop)").select("doc_id", "pos", "low", "high")
+    left = numbered.withColumn("end", end).filter("NOT span AND (end IS NULL OR end < stop)")
+    return left.select("doc_id", "pos", "low", F.least("high", F.col("pos") - F.col("end") + (LEAST - 1)).alias("high"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -237,19 +240,24 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.array(F.when(by_right, _span(x_left, r, c("x.other"))), F.when(by_left, _span(l, y_right, c("y.other")))), lambda s: s.isNotNull()
     )
     spans = scratch.keep(possible.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*"))
-    range_ = possible.select("doc_id", "pos", (LEAST - r).alias("low"), l.alias("high"), (~by_right | ~by_left).alias("open"))
-    asking = scratch.keep(_not_covered(spans, range_.filter("open").drop("open")))
+    range_ = possible.select("doc_id", "pos", (LEAST - r).alias("low"), l.alias("high"))
+    # Of a suffix that neighbours do not cover as a whole, the windows that neither of its two matches covers.
+    low, high = F.when(by_right, x_left + 1).otherwise(LEAST - r), F.when(by_left, LEAST - 1 - y_right).otherwise(l)
+    open_ = possible.filter(~by_right | ~by_left).select("doc_id", "pos", low.alias("low"), high.alias("high"))
+    asking = scratch.keep(_not_covered(spans, open_.filter("low <= high")))
     if asking.limit(1).count():
         # All suffixes of a run that asks lay out the windows asked for that they may share with others.
-        head = F.xxhash64(F.substring_index(F.decode("before", "ISO-8859-1"), " ", RUN))
-        named = scratch.keep(suffixes.select("doc_id", "pos", head.alias("head")))
-        asked = named.join(asking, ["doc_id", "pos"]).groupBy("head").agg(F.min("low").alias("least"), F.max("high").alias("most"))
-        wanted = range_.join(named, ["doc_id", "pos"]).join(scratch.keep(asked), "head")
+        head = F.xxhash64(F.substring_index(F.decode("before", "ISO-8859-1"), " ", RUN)).alias("head")
+        named = scratch.keep(suffixes.select("doc_id", "pos", head))
+        asked = scratch.keep(named.join(asking, ["doc_id", "pos"]).groupBy("head").agg(F.min("low").alias("least"), F.max("high").alias("most")))
+        wanted = range_.join(among(named, "head", asked.select("head")), ["doc_id", "pos"]).join(asked, "head")
         wanted = wanted.select("doc_id", "pos", F.greatest("low", "least").alias("low"), F.least("high", "most").alias("high"))
-        windows = scratch.keep(_open_windows(suffixes, scratch.keep(wanted.filter("low <= high"))))
-        shared = scratch.keep(windows.groupBy("words").agg(*ends).filter("a <> b"))
+        of_these = scratch.keep(among(suffixes.select("*", head), "head", asked.select("head")).drop("head"))
+        windows = scratch.keep(_open_windows(of_these, asking))
+        others = among(_open_windows(of_these, wanted.filter("low <= high")), "words", windows.select("words"))
+        shared = scratch.keep(others.groupBy("words").agg(*ends).filter("a <> b"))
         other = F.when(c("doc_id") == c("a"), c("b")).otherwise(c("a")).alias("other")
-        scratch.drop(suffixes, named, asking)
+        scratch.drop(suffixes, named, asking, of_these)
         spans = spans.union(windows.join(shared, "words").select("doc_id", "start", (c("start") + LEAST).alias("stop"), other))
     numbered = _numbered(spans.withColumn("span", F.lit(True)))
     return (

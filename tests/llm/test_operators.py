@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, mixing, near_dedup, order_minhash, packing, quality, secret_scan, sharding, stream_dedup, subword, suffix_dedup
+from plumbline.llm.common import among
 from tests.llm import corpus
 
 
@@ -410,6 +411,36 @@ def test_windows_that_are_open_have_a_bounded_size(spark):
     assert all(found[2, 45 - k] == found[1, 40 - k] for k in range(3, 10))
 
 
+def test_windows_are_asked_for_only_where_no_passage_covers_them(spark, monkeypatch):
+    spans = spark.createDataFrame([(1, 0, 60, 2), (1, 100, 170, 3), (2, 0, 40, 1)], "doc_id long, start int, stop int, other long")
+    rows = [(1, 20, 0, 20), (1, 110, 0, 10), (2, 60, 5, 9)]
+    asking = spark.createDataFrame(rows, "doc_id long, pos int, low int, high int")
+    # Windows that begin 20 to 10 words before the place end by word 60, and the second row's lie in a passage.
+    assert sorted(map(tuple, suffix_dedup._not_covered(spans, asking).collect())) == [(1, 20, 0, 9), (2, 60, 5, 9)]
+
+    r = random.Random(12)
+    phrase, more = corpus.prose(r, 40), corpus.prose(r, 25)
+    rows = [f"{corpus.prose(r, 15)} {phrase} {more} {corpus.prose(r, 15)}" for _ in range(200)]
+    for k in range(24):
+        own = corpus.prose(r, 20)
+        passage = (f"{own} {phrase}", f"{phrase} {own}", f"{phrase.split(' ', 20)[-1]} {own} {phrase}")[k % 3]
+        rows += [f"{corpus.prose(r, 12)} {passage} {corpus.prose(r, 12)}" for _ in range(2)]
+    kept, keep = [], suffix_dedup.Scratch.keep
+    monkeypatch.setattr(suffix_dedup.Scratch, "keep", lambda self, df, **k: kept.append(keep(self, df, **k)) or kept[-1])
+    monkeypatch.setattr(suffix_dedup.Scratch, "drop", lambda *_: None)
+    assert passages_of(spark, rows) == corpus.repeated_words(list(enumerate(rows)))
+    laid_out = [x for x in kept if "words" in x.columns and "start" in x.columns]
+    # Nearly all of the 200 documents are covered by their own passage and keep no window, whoever asks.
+    assert laid_out and len({x["doc_id"] for x in laid_out[0].collect()} & set(range(200))) < 10
+
+
+def test_rows_whose_key_may_be_wanted(spark):
+    rows, wanted = spark.range(20000).selectExpr("id", "encode(id, 'UTF-8') key"), spark.range(0, 20000, 100).selectExpr("encode(id, 'UTF-8') key")
+    found = {x["id"] for x in among(rows, "key", wanted).collect()}
+    assert found >= set(range(0, 20000, 100)) and len(found) < 2500
+    assert among(rows, "key", wanted.limit(0)).count() == 0
+
+
 def passages_of(spark, rows):
     got = defaultdict(set)
     for x in suffix_dedup.repeats(corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(rows)])).collect():
