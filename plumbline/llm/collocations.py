@@ -14,7 +14,8 @@ passes on frequent phrases, and those at its bounds, which its neighbours may ha
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -24,11 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, record_batches, rows_of
+from plumbline.llm.shingles import mix
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 SCALE, HELD_PERCENT = 2_000_000, 80
 #: Bytes of texts whose graph a task holds at a time.
 BLOCK = 12 << 20
+#: Cells of the table of counts of each length, and of the part of one that is a row.
+CELLS, PART = 1 << 24, 1 << 18
 #: Between the words of a key: smaller than any other byte in it, so that what begins alike stands together.
 GAP = b"\x00"
 #: A-Z in lower case, ends of pieces as line breaks, tabs as spaces.
@@ -49,38 +53,63 @@ def unescaped(raw: bytes) -> bytes:
     return re.sub(rb"\x01([\x01\x02])", lambda m: b"\x01" if m[1] == b"\x01" else b"\x00", raw) if b"\x01" in raw else raw
 
 
-def graph(texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
-    """Unary paths and ends of pieces of some texts, as words with ``GAP`` between them, and how often they occur.
-
-    An end has three words at most, a path at least four.
-    """
+def _told(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, dict[bytes, int]]:
+    """The words of some texts with a line break around every piece, a number for each, and the words by number."""
     numbers: dict[bytes, int] = defaultdict(count().__next__)
-    nothing, bound = numbers[b""], numbers[b"\n"]
+    numbers[b"\n"]
     told = b"\n".join([b"", *texts, b""]).translate(_TABLE)
-    words = escaped(told).replace(b"\n", b" \n ").split(b" ")
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    at = np.flatnonzero(ids != nothing)
-    ids = ids[at]
-    word = lambda i, j: GAP.join([words[k] for k in at[i:j]])
-
-    inner = ids != bound
-    if not inner.any():
+    words = list(filter(None, escaped(told).replace(b"\n", b" \n ").split(b" ")))
+    return words, np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), numbers
+
+
+def _room(ids: np.ndarray) -> np.ndarray:
+    """How many words from each place on are in its piece, ``LONGEST`` at most."""
+    inner = ids != 0
+    room, run = inner.astype(np.int8), inner
+    for k in range(1, LONGEST):
+        run = run[:-1] & inner[k:]
+        room[: len(run)] += run
+    return room
+
+
+def _cells(lang: bytes, ids: np.ndarray, numbers: dict[bytes, int], room: np.ndarray, table: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length from two words on, the places that have as many, and the cells of the runs there in a ``table`` of so many."""
+    hashes = mix(np.fromiter(map(zlib.crc32, numbers), np.uint64, len(numbers)) + np.uint64(1))[ids]
+    out = hashes + np.uint64(zlib.crc32(lang))
+    for size in range(2, LONGEST + 1):
+        out = out[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[size - 1 :]
+        at = np.flatnonzero(room >= size)
+        yield size, at, (mix(out[at]) % np.uint64(table)).astype(np.int64)
+
+
+def graph(texts: list[bytes], lang: bytes = b"", frequent: np.ndarray | None = None) -> Iterator[tuple[bytes, int]]:
+    """Unary paths and ends of some texts, as words with ``GAP`` between them, and how often they occur.
+
+    An end has three words at most, a path at least four. ``frequent`` has a row of bits for each
+    length from two words on: the cells of runs that may be frequent. Others are cut to ends.
+    """
+    words, ids, numbers = _told(texts)
+    reach = _room(ids)
+    if not reach.any():
         return
-    last = np.flatnonzero(inner[:-1] & ~inner[1:])  # the last word of each piece
-    ends: Counter = Counter()
+    if frequent is not None:
+        kept = np.minimum(reach, 1)
+        for size, at, cells in _cells(lang, ids, numbers, reach, 8 * frequent.shape[1]):
+            may = (frequent[size - 2][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+            at = at[may]
+            kept[at[kept[at] == size - 1]] = size
+        reach = kept
+    word = lambda i, j: GAP.join(words[i:j])
+
     for size in range(1, LONGEST):
-        whole = last[last + 1 >= size]
-        for k in range(1, size):
-            whole = whole[inner[whole - k]]
-        _, first, times = np.unique(_ranks(ids, whole - size + 1, size), return_index=True, return_counts=True)
-        for i, n in zip(whole[first].tolist(), times.tolist()):
-            ends[word(i - size + 1, i + 1)] += n
-    yield from ends.items()
-
-    run = inner[: -LONGEST + 1].copy()
-    for k in range(1, LONGEST):
-        run &= inner[k : len(inner) - LONGEST + 1 + k]
-    edges_at = np.flatnonzero(run)
+        ends = np.flatnonzero(reach == size)
+        if len(ends):
+            _, first, times = np.unique(_ranks(ids, ends, size), return_index=True, return_counts=True)
+            for i, n in zip(ends[first].tolist(), times.tolist()):
+                yield word(i, i + size), n
+
+    edge = reach == LONGEST
+    edges_at = np.flatnonzero(edge)
     if not len(edges_at):
         return
     # Nodes that edges lead from and to, by rank.
@@ -90,8 +119,8 @@ def graph(texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
     _, first, weight = np.unique(source * node_count + target, return_index=True, return_counts=True)
     into = np.bincount(target[first], minlength=node_count)
     out = np.bincount(source[first], minlength=node_count)
-    begins = source[~inner[edges_at - 1]]  # a bound stands before every piece
-    stops = target[~inner[edges_at + LONGEST]]
+    begins = source[~edge[edges_at - 1]]  # a bound stands before every piece
+    stops = target[~edge[edges_at + 1]]
     unary = (into == 1) & (out == 1)
     unary[begins] = False
     unary[stops] = False
@@ -115,36 +144,86 @@ def _ranks(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _paths(docs: DataFrame) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[bytes, list[bytes]]]:
+    """Languages and some of their texts, ``block`` bytes at a time."""
+    held, size = defaultdict(list), 0
+    for lang, text in rows_of(batches, "lang", "text"):
+        raw = text.encode()
+        held[lang].append(raw)
+        size += len(raw)
+        if size >= block:
+            yield from ((k.encode(), v) for k, v in held.items())
+            held.clear()
+            size = 0
+    yield from ((k.encode(), v) for k, v in held.items())
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+
+
+def _frequent(docs: DataFrame, least: int) -> np.ndarray:
+    """For each length from two words on, the bits of the cells whose runs occur ``least`` times together."""
+    top, parts = min(least, 255), CELLS // PART
+    levels = LONGEST - 1
+    schema = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            counts = None
+            for lang, texts in _blocks(batches, BLOCK):
+                _, ids, numbers = _told(texts)
+                if counts is None:
+                    counts = np.zeros((levels, CELLS), np.uint32)
+                for size, _, cells in _cells(lang, ids, numbers, _room(ids), CELLS):
+                    np.add.at(counts[size - 2], cells, np.uint32(1))
+                    np.minimum(counts[size - 2], top, out=counts[size - 2])
+            if counts is not None:
+                for i, part in enumerate(counts.reshape(-1, PART)):
+                    if part.any():
+                        yield i, pa.compress(part.astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+
+        yield from record_batches(found(), schema, 16)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            part, total = None, None
+            for i, raw in rows_of(batches, "part", "cells"):
+                cells = np.frombuffer(pa.decompress(raw, PART, codec="zstd", asbytes=True), np.uint8)
+                if part is not None and i != part:
+                    yield part, np.packbits(total >= top, bitorder="little").tobytes()
+                    total = None
+                part, total = i, cells.astype(np.uint64) if total is None else total + cells
+            if part is not None:
+                yield part, np.packbits(total >= top, bitorder="little").tobytes()
+
+        yield from record_batches(found(), schema, 16)
+
+    ddl = "part int, cells binary"
+    added = _named(docs).mapInArrow(tables, ddl).repartition("part").sortWithinPartitions("part").mapInArrow(sums, ddl)
+    bits = np.zeros((levels * parts, PART // 8), np.uint8)
+    for r in added.collect():  # a bit for each cell, whatever the input
+        bits[r["part"]] = np.frombuffer(r["cells"], np.uint8)
+    return bits.reshape(levels, -1)
+
+
+def _paths(docs: DataFrame, least: int) -> DataFrame:
     """``run``, the language and the words of a path or an end with ``GAP`` between them, and ``times``."""
     schema = pa.schema([("run", pa.binary()), ("times", pa.int64())])
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            held, size = defaultdict(list), 0
-
-            def flush():
-                for lang, texts in held.items():
-                    head = escaped(lang.encode()) + GAP
-                    for words, times in graph(texts):
-                        yield head + words, times
-                held.clear()
-
-            for lang, text in rows_of(batches, "lang", "text"):
-                raw = text.encode()
-                held[lang].append(raw)
-                size += len(raw)
-                if size >= BLOCK:
-                    yield from flush()
-                    size = 0
-            yield from flush()
+            for lang, texts in _blocks(batches, BLOCK):
+                head = escaped(lang) + GAP
+                for words, times in graph(texts, lang, frequent.value):
+                    yield head + words, times
 
         yield from record_batches(found(), schema, 8192)
 
-    named = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    return named.mapInArrow(run, "run binary, times bigint")
+    return _named(docs).mapInArrow(run, "run binary, times bigint")
 
 
 def _edges(paths: DataFrame) -> DataFrame:
@@ -204,7 +283,7 @@ def flows(rows: Iterator[tuple[str, int]], least: int) -> Iterator[tuple[str, st
 
 def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     """``lang``, ``phrase``, ``words`` in it and ``f``, for phrases of at most ``LONGEST`` words and each language as a whole."""
-    paths = scratch.keep(_paths(docs))
+    paths = scratch.keep(_paths(docs, least))
     spread = _edges(paths).repartitionByRange("key").sortWithinPartitions("key")
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
 

@@ -75,6 +75,24 @@ def test_phrases_against_plain_version(spark, monkeypatch, block):
     assert sorted(map(tuple, found.collect())) == plain_phrases(rows, 3, 40)
 
 
+@pytest.mark.parametrize("cells", [1 << 7, 1 << 20])
+def test_phrases_whatever_share_cells(spark, monkeypatch, cells):
+    monkeypatch.setattr(collocations, "CELLS", cells)
+    monkeypatch.setattr(collocations, "PART", cells // 4)
+    rows = phrase_rows()
+    assert sorted(map(tuple, collocations.mine(corpus.frame(spark, rows), least=5, top=60).collect())) == plain_phrases(rows, 5, 60)
+
+
+def test_runs_too_rare_are_cut_to_ends(spark):
+    r = random.Random(8)
+    texts = [f"{' '.join(f'w{r.randrange(900)}' for _ in range(30))} the very same few words here" for _ in range(60)]
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    runs = collocations._paths(corpus.frame(spark, rows).coalesce(1), 30).collect()
+    edges = [x for x in runs if bytes(x["run"]).count(b"\x00") >= 4]
+    assert [bytes(x["run"]).split(b"\x00") for x in edges] == [b"en the very same few words here".split()]
+    assert sum(x["times"] * max(1, bytes(x["run"]).count(b"\x00") - 3) for x in runs) == sum(len(t.split()) for t in texts)
+
+
 def test_phrases_odd_inputs(data, docs, empty):
     found = collocations.mine(docs, least=2)
     assert sorted(map(tuple, found.collect())) == plain_phrases(data, 2, 2000)
