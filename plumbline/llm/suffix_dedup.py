@@ -37,6 +37,8 @@ RUN = 10
 WINDOW = LEAST - RUN + 1
 #: Longer words are compared by a digest of 192 bits, so that a suffix has a bounded size.
 WORD_BYTES = 64
+#: Different windows whose documents a task sums up at a time.
+HELD = 1 << 17
 ORDER = ["own", "cross", "doc_id", "pos"]
 
 
@@ -163,23 +165,47 @@ def _matches(suffixes: DataFrame, own: str, cross: str, scratch: Scratch) -> Dat
     return met.union(edges).filter(F.col("n_own") >= RUN).select("doc_id", "pos", best)
 
 
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for doc_id, pos, low, high, after, before in rows_of(batches, "doc_id", "pos", "low", "high", "after", "before"):
+        w = before.split(b" ")[RUN:-1][::-1]
+        w, at = w + after.split(b" ")[:-1], len(w)
+        for k in range(low, high + 1):
+            if len(w[at - k : at - k + LEAST]) == LEAST:
+                yield doc_id, pos - k, hashlib.blake2b(_ended(w[at - k : at - k + LEAST]), digest_size=24).digest()
+
+
+def _met(suffixes: DataFrame, wanted: DataFrame) -> DataFrame:
+    return suffixes.join(wanted, ["doc_id", "pos"]).select("doc_id", "pos", "low", "high", "after", "before")
+
+
 def _open_windows(suffixes: DataFrame, wanted: DataFrame) -> DataFrame:
     """The windows that begin ``low`` to ``high`` words before a kept position: ``doc_id``, ``start``, ``words``, a digest of theirs."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from record_batches(_laid_out(batches), schema)
+
+    return _met(suffixes, wanted).mapInArrow(run, "doc_id bigint, start int, words binary")
+
+
+def _window_ends(suffixes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``words`` of the same windows with ``a`` and ``b``, the smallest and the largest document of a part that has them."""
+    schema = pa.schema([("words", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for doc_id, pos, low, high, after, before in rows_of(batches, "doc_id", "pos", "low", "high", "after", "before"):
-                w = before.split(b" ")[RUN:-1][::-1]
-                w, at = w + after.split(b" ")[:-1], len(w)
-                for k in range(low, high + 1):
-                    if len(w[at - k : at - k + LEAST]) == LEAST:
-                        yield doc_id, pos - k, hashlib.blake2b(_ended(w[at - k : at - k + LEAST]), digest_size=24).digest()
+            held: dict[bytes, tuple[int, int]] = {}
+            for doc_id, _, words_ in _laid_out(batches):
+                a, b = held.get(words_, (doc_id, doc_id))
+                held[words_] = min(a, doc_id), max(b, doc_id)
+                if len(held) == HELD:
+                    yield from ((w, *ends) for w, ends in held.items())
+                    held.clear()
+            yield from ((w, *ends) for w, ends in held.items())
 
         yield from record_batches(found(), schema)
 
-    met = suffixes.join(wanted, ["doc_id", "pos"]).select("doc_id", "pos", "low", "high", "after", "before")
-    return met.mapInArrow(run, "doc_id bigint, start int, words binary")
+    return _met(suffixes, wanted).mapInArrow(run, "words binary, a bigint, b bigint")
 
 
 def _span(left: Column, right: Column, other: Column) -> Column:
@@ -254,8 +280,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         wanted = wanted.select("doc_id", "pos", F.greatest("low", "least").alias("low"), F.least("high", "most").alias("high"))
         of_these = scratch.keep(among(suffixes.select("*", head), "head", asked.select("head")).drop("head"))
         windows = scratch.keep(_open_windows(of_these, asking))
-        others = among(_open_windows(of_these, wanted.filter("low <= high")), "words", windows.select("words"))
-        shared = scratch.keep(others.groupBy("words").agg(*ends).filter("a <> b"))
+        others = among(_window_ends(of_these, wanted.filter("low <= high")), "words", windows.select("words"))
+        shared = scratch.keep(others.groupBy("words").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b"))
         other = F.when(c("doc_id") == c("a"), c("b")).otherwise(c("a")).alias("other")
         scratch.drop(suffixes, named, asking, of_these)
         spans = spans.union(windows.join(shared, "words").select("doc_id", "start", (c("start") + LEAST).alias("stop"), other))

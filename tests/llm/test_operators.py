@@ -434,6 +434,18 @@ def test_windows_are_asked_for_only_where_no_passage_covers_them(spark, monkeypa
     assert laid_out and len({x["doc_id"] for x in laid_out[0].collect()} & set(range(200))) < 10
 
 
+def test_equal_windows_of_a_task_are_one_row(spark, monkeypatch):
+    w = corpus.prose(random.Random(4), 90).split()
+    ended = lambda some: "".join(f"{x} " for x in some).encode()
+    rows = [(i, 40, ended(w[40:90]), ended(w[40:50] + w[:40][::-1])) for i in range(200)]
+    suffixes = spark.createDataFrame(rows, "doc_id long, pos int, after binary, before binary").coalesce(1)
+    wanted = spark.range(200).selectExpr("id as doc_id", "40 as pos", "0 as low", "3 as high").coalesce(1)
+    found = suffix_dedup._window_ends(suffixes, F.broadcast(wanted)).collect()
+    assert len(found) == 4 == len({bytes(x["words"]) for x in found}) and {(x["a"], x["b"]) for x in found} == {(0, 199)}
+    monkeypatch.setattr(suffix_dedup, "HELD", 3)
+    assert len(suffix_dedup._window_ends(suffixes, F.broadcast(wanted)).collect()) > 200
+
+
 def test_rows_whose_key_may_be_wanted(spark):
     rows, wanted = spark.range(20000).selectExpr("id", "encode(id, 'UTF-8') key"), spark.range(0, 20000, 100).selectExpr("encode(id, 'UTF-8') key")
     found = {x["id"] for x in among(rows, "key", wanted).collect()}
